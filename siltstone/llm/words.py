@@ -57,6 +57,11 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def lower_hash_table() -> np.ndarray:
+    """The byte table of hashes that don't tell ASCII capitals from small letters."""
+    return _BYTE
+
+
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = _EXACT) -> np.ndarray:
     """Hashes of ``data[start:end]`` for each pair; equal bytes have equal hashes wherever they stand."""
     up, down = _POWERS.get(len(data) + 1)
