@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from siltstone.plans import ORACLE_SQL, QUERIES, chats, documents, evaluation, tokens, vectors
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "chats", "documents", "evaluation", "tokens", "vectors"]
