@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.labelled import fold, labelled_sample
+from siltstone.llm.storage import Workspace
 from siltstone.llm.words import hash_ranges, lower_hash_table, mix64, text_blocks
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    """``sample`` bounds the labelled rows that are learned from, ``voters`` the lexicon.
+    """``sample`` bounds the labelled rows that are learned from, ``voters`` the lexicon, ``candidates`` the features that it is chosen from.
 
     A voter needs ``min_documents`` toxic documents (fewer if there are very few) and that share of toxic ones.
     """
@@ -39,6 +40,10 @@ class ToxicityConfig:
     cover: int = 4
     rounds: int = 30
     agree: tuple[int, ...] = (1, 2, 3)
+    candidates: int = 50_000
+
+    def least(self, toxic: int) -> int:
+        return min(self.min_documents, max(1, toxic // 4))
 
 
 _LETTER = np.zeros(256, bool)
@@ -86,6 +91,28 @@ def sample_batches(cfg: ToxicityConfig):
     return run
 
 
+def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function: (label, features) to (h, t, c), documents with a feature by label, summed over a batch."""
+    for batch in batches:
+        label = batch.column(0).to_numpy()
+        for at in range(0, batch.num_rows, 512):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)[at : at + 512]]
+            h, number = np.unique(np.concatenate(sets), return_inverse=True)
+            toxic = np.bincount(number, np.repeat(label[at : at + 512], [len(x) for x in sets]), minlength=len(h)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(toxic), pa.array(np.bincount(number, minlength=len(h)) - toxic)], names=["h", "t", "c"])
+
+
+def keep_batches(keys: np.ndarray):
+    """A mapInArrow function over (label, features) that leaves the features among the sorted ``keys``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), keys, assume_unique=True).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["label", "features"])
+
+    return run
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     prior: float
@@ -108,7 +135,7 @@ def choose_voters(sets: list[np.ndarray], labels: np.ndarray, cfg: ToxicityConfi
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     of_toxic = labels[row] == 1
     t, c = np.bincount(number[of_toxic], minlength=len(keys)), np.bincount(number[~of_toxic], minlength=len(keys))
-    least = min(cfg.min_documents, max(1, toxic // 4))
+    least = cfg.least(toxic)
     good = (t >= least) & (t >= cfg.precision * (t + c))
     known = of_toxic & good[number]
     number, row = number[known], row[known]
@@ -191,13 +218,23 @@ def _design(present: np.ndarray, agree: tuple[int, ...]) -> np.ndarray:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Fits on at most ``cfg.sample`` labelled rows for which the column ``learn`` over ``labels`` holds."""
+    ws = Workspace(docs.sparkSession, "toxicity")
     rows = labelled_sample(docs, labels, "toxic", learn, cfg.sample).select("label", "text")
-    found = rows.mapInArrow(sample_batches(cfg), "label int, features binary").toArrow()
-    order = sorted(range(found.num_rows), key=lambda i: (found["label"][i].as_py(), found["features"][i].as_py()))
-    y = np.array([found["label"][i].as_py() for i in order], np.int64)
-    sets = [np.frombuffer(found["features"][i].as_py(), np.uint64) for i in order]
-    prior = (y.sum() + 0.5) / (len(y) + 1)
-    keys = choose_voters(sets, y, cfg) if len(y) else np.zeros(0, np.uint64)
+    features = ws.save(rows.mapInArrow(sample_batches(cfg), "label int, features binary"), "features")
+    sizes = {r.label: r["count"] for r in features.groupBy("label").count().collect()}
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    prior = (toxic + 0.5) / (toxic + clean + 1)
+    keys = np.zeros(0, np.uint64)
+    if toxic and clean:
+        counts = features.mapInArrow(count_batches, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        counts = counts.where((F.col("t") >= cfg.least(toxic)) & (F.col("t") >= cfg.precision * (F.col("t") + F.col("c"))))
+        known = counts.orderBy(F.desc("t"), "h").limit(cfg.candidates).select("h").toArrow()["h"].to_numpy().view(np.uint64)
+        found = features.mapInArrow(keep_batches(np.sort(known)), "label int, features binary").toArrow().to_pylist()
+        found.sort(key=lambda r: (r["label"], r["features"]))
+        y = np.array([r["label"] for r in found], np.int64)
+        sets = [np.frombuffer(r["features"], np.uint64) for r in found]
+        keys = choose_voters(sets, y, cfg)
+    ws.drop(features)
     if not len(keys):
         return ToxicityModel(float(min(prior, 0.49)))
     present = np.stack([np.isin(keys, s, assume_unique=True) for s in sets])
