@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.words import hash_chunks, text_blocks
+from siltstone.llm.words import SPACE, hash_chunks, text_blocks
 
 
 @dataclass(frozen=True)
@@ -41,12 +41,17 @@ class PackConfig:
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]")
 
 
+#: Chunks that are encoded as one string.
+_JOINED = 2048
+
+
 class DocumentTokenizer:
     """Token ids of whole documents, without the end token.
 
     Texts are cut where the tokenizer's own pattern always cuts, before the last white space ahead of a word; each
-    distinct chunk is encoded once and found again by its hash, so that common words cost a lookup in numpy.  A text with
-    other white space than ASCII's is encoded whole.  The table of chunks is emptied at ``cached_chunks``.
+    distinct chunk is encoded once and found again by its hash, so that common words cost a lookup in numpy.  New chunks
+    that start with white space are encoded joined, and the ids dealt back by the bytes of each token.  A text with other
+    white space than ASCII's is encoded whole.  The table of chunks is emptied at ``cached_chunks``.
     """
 
     def __init__(self, cfg: PackConfig) -> None:
@@ -61,20 +66,42 @@ class DocumentTokenizer:
         self.model = Tokenizer.from_file(str(path))
         self.model.encode_special_tokens = True
         self.limit = cfg.cached_chunks
+        self.bytes_of = np.zeros(self.model.get_vocab_size(), np.int64)
+        for token, number in self.model.get_vocab().items():
+            self.bytes_of[number] = len(token)  # a character stands for each byte
         self._clear()
 
     def _clear(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids = np.zeros(0, "<u4")
 
-    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+    def _encode(self, chunks: list[bytes], apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks in a row, and how many each has; those ``apart`` can't be joined to others."""
+        near, far = np.flatnonzero(~apart), np.flatnonzero(apart)
+        size = np.zeros(len(chunks), np.int64)
+        alone = [np.array(e.ids, "<u4") for e in self.model.encode_batch_fast([chunks[i].decode() for i in far], add_special_tokens=False)]
+        size[far] = [len(x) for x in alone]
+        groups = [near[i : i + _JOINED] for i in range(0, len(near), _JOINED)]
+        together = self.model.encode_batch_fast([b"".join(chunks[i] for i in g).decode() for g in groups], add_special_tokens=False)
+        joined = np.fromiter(chain.from_iterable(e.ids for e in together), "<u4")
+        ends = np.cumsum(np.fromiter((len(chunks[i]) for i in near), np.int64, len(near)))
+        reached = np.cumsum(self.bytes_of[joined])
+        last = np.searchsorted(reached, ends)
+        if len(near) and not np.array_equal(reached[last], ends):
+            raise ValueError("a token crosses the border of a chunk")
+        size[near] = np.diff(last + 1, prepend=0)
+        ids = np.empty(int(size.sum()), "<u4")
+        ids[np.repeat(~apart, size)] = joined
+        ids[np.repeat(apart, size)] = np.concatenate([np.zeros(0, "<u4"), *alone])
+        return ids, size
+
+    def _learn(self, keys: np.ndarray, chunks: list[bytes], apart: np.ndarray) -> None:
         """Adds new chunks; ``keys`` is sorted and none of them is known."""
         if len(self.keys) > self.limit:
             self._clear()
-        ids = [e.ids for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        ids, size = self._encode(chunks, apart)
         at = np.cumsum(size) - size + len(self.ids)
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), "<u4", int(size.sum()))])
+        self.ids = np.concatenate([self.ids, ids])
         place = np.searchsorted(self.keys, keys)
         self.keys, self.at, self.size = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.size, place, size)
 
@@ -89,13 +116,19 @@ class DocumentTokenizer:
             keys, starts, ends, first = hash_chunks(data, bounds)
             distinct, where, number = np.unique(keys, return_index=True, return_inverse=True)
             raw = data.tobytes()
+            odd = any(x in raw for x in (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f"))
             if len(distinct):
                 new = np.flatnonzero(~self._known(distinct))
                 if len(self.keys) + len(new) > self.limit:
                     self._clear()
                     new = np.arange(len(distinct))
                 if len(new):
-                    self._learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in where[new]])
+                    new_at = where[new]
+                    chunks = [raw[i:j] for i, j in zip(starts[new_at].tolist(), ends[new_at].tolist(), strict=True)]
+                    apart = ~SPACE[data[starts[new_at]]]
+                    if odd:
+                        apart |= np.fromiter((_ODD_SPACE.search(c) is not None for c in chunks), bool, len(chunks))
+                    self._learn(distinct[new], chunks, apart)
                 place = np.searchsorted(self.keys, distinct)[number]
                 size = self.size[place]
                 total = np.concatenate([[0], np.cumsum(size)])
@@ -103,7 +136,6 @@ class DocumentTokenizer:
                 cut = total[first]
             else:
                 ids, cut = np.zeros(0, "<u4"), np.zeros(end - at + 1, np.int64)
-            odd = any(x in raw for x in (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a", b"\xe2\x80", b"\xe2\x81", b"\xe3\x80", b"\x1c", b"\x1d", b"\x1e", b"\x1f"))
             for i in range(end - at):
                 if odd and _ODD_SPACE.search(raw, bounds[i], bounds[i + 1]):
                     yield np.array(self.model.encode(raw[bounds[i] : bounds[i + 1]].decode(), add_special_tokens=False).ids, "<u4")

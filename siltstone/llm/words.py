@@ -19,8 +19,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -79,7 +79,7 @@ def hash_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     if len(data) == 0:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, np.zeros(len(bounds), np.int64)
-    word = ~_SPACE[data]
+    word = ~SPACE[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = bounds[:-1][bounds[:-1] < len(data)]
@@ -100,7 +100,7 @@ def hash_chunks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     if n == 0:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, np.zeros(len(bounds), np.int64)
-    space = _SPACE[data]
+    space = SPACE[data]
     first = np.zeros(n + 1, bool)
     first[: n - 1] = space[:-1] & ~space[1:]
     inner = bounds[1:][bounds[1:] > 0]
