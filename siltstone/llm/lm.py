@@ -3,8 +3,9 @@
 Unigrams and bigrams of all training texts are counted exactly by hash.  The filter holds each one under every level from 1 to
 floor(log2(count)); a level is found by probing upwards until a probe fails, so a stored count is at most its true one
 (but for false positives).  All probes of one n-gram fall into one 64 KB block, so blocks are built on executors and only
-joined on the driver; the filter's size is proportional to the n-grams seen twice or more and is checked against ``filter_bytes``
-before it is broadcast: beyond that bits an entry fall, never entries.
+joined on the driver; the filter's size is proportional to its entries, at ``bits`` an entry.  It is broadcast while it has at
+most ``filter_bytes``; beyond that its blocks stay in the shared folder, the distinct keys of each run of texts are shuffled to
+slices of blocks, and the levels go back to the run: the same levels and scores as by broadcast.
 
 A level stands for the mean count of all n-grams of that level, taken over the whole corpus.  Probability of a word after
 another: a * c(vw) / c(v) + (1 - a) * (c(w) + 1) / (N + V + 2), where a word without a level counts once.  Here a is the share of
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,13 @@ _END = np.uint64(0x5EED0E4D0E4D5EED)
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 _ONE = np.uint64(0xA24BAED4963EE407)
 _BLOCK_BITS = 1 << 19
+_BLOCK_BYTES = _BLOCK_BITS // 8
+#: Blocks of the filter that are built and probed together.
+_SLICE = 32
+#: Bytes of text whose distinct keys are probed together where the filter isn't broadcast.
+_RUN_BYTES = 4 << 20
+#: Keys packed in one row at most: Spark puts up to 10,000 rows in a batch.
+_PACKED = 1024
 
 
 def tokens_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -129,11 +138,129 @@ def build_batches(blocks: int, probes: int):
     return run
 
 
+def slices_of(block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Slice numbers of the filter and row numbers whose block lies in each, ``_PACKED`` at most at once."""
+    part = block // _SLICE
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
+    for i, j in zip(cut[:-1], cut[1:], strict=True):
+        for k in range(i, j, _PACKED):
+            yield int(part[i]), order[k : min(k + _PACKED, j)]
+
+
+def entry_batches(blocks: int):
+    """A mapInArrow function: (kind, h, n) to (slice, keys, logs), packed in runs of 1 M rows; logs are floor(log2(n)) in a byte."""
+
+    def packed(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
+        kind, h, n = (np.concatenate([b.column(i).to_numpy() for b in kept]) for i in range(3))
+        key = key_of(kind, h.view(np.uint64))
+        log = np.floor(np.log2(n)).astype(np.uint8)
+        rows = [(part, key[at].tobytes(), log[at].tobytes()) for part, at in slices_of(block_of(key, blocks))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["slice", "keys", "logs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                kept.append(batch)
+                size += batch.num_rows
+            if size > 1_000_000:
+                yield packed(kept)
+                kept, size = [], 0
+        if kept:
+            yield packed(kept)
+
+    return run
+
+
+def filter_batches(blocks: int, probes: int):
+    """A mapInArrow function over the rows of ``entry_batches`` in order of slice: (block, bits)."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> pa.RecordBatch:
+            key, n = np.frombuffer(b"".join(keys), np.uint64), np.int64(1) << np.frombuffer(b"".join(logs), np.uint8).astype(np.int64)
+            block = block_of(key, blocks)
+            order = np.argsort(block)
+            return pa.RecordBatch.from_arrays([pa.array(block[order]), pa.array(key[order].view(np.int64)), pa.array(n[order])], names=["block", "key", "n"])
+
+        now, keys, logs = -1, [], []
+        for batch in batches:
+            for part, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now and keys:
+                    yield rows()
+                    keys, logs = [], []
+                now = part
+                keys.append(k)
+                logs.append(n)
+        if keys:
+            yield rows()
+
+    return lambda batches: build_batches(blocks, probes)(unpacked(batches))
+
+
+def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function: (row, text) to (run, row, text)."""
+    run = TaskContext.get().partitionId() << 32
+    for batch in batches:
+        for at, end, _, _ in text_blocks(batch.column(1), _RUN_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(end - at, run)), *(c.slice(at, end - at) for c in batch.columns)], names=["run", "row", "text"])
+            run += 1
+
+
+def ask_batches(blocks: int):
+    """A mapInArrow function: (run, text) to (slice, run, block, data), the distinct keys of a run by slice; block is -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs = batch.column(0).to_numpy()
+            cut = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1], True]) if len(runs) else np.zeros(1, int)
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                keys = [x for _, _, tokens, _ in tokens_of(batch.column(1).slice(i, j - i)) for x in (key_of(1, tokens), key_of(2, pair_hashes(tokens)))]
+                key = np.unique(np.concatenate(keys))
+                parts, data = zip(*((part, key[at].tobytes()) for part, at in slices_of(block_of(key, blocks))), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(parts, pa.int64()), pa.array(np.full(len(parts), runs[i])), pa.array(np.full(len(parts), -1)), pa.array(data, pa.binary())], names=["slice", "run", "block", "data"]
+                )
+
+    return run
+
+
+def answer_batches(blocks: int, probes: int):
+    """A mapInArrow function over blocks of the filter (run is -1) and keys of runs, in order of slice and run: (run, keys, levels)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, bits = -1, np.zeros(_SLICE * _BLOCK_BYTES, np.uint8)
+        for batch in batches:
+            for part, asked, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    now, bits = part, np.zeros(_SLICE * _BLOCK_BYTES, np.uint8)
+                if asked < 0:
+                    at = block % _SLICE * _BLOCK_BYTES
+                    bits[at : at + _BLOCK_BYTES] = np.frombuffer(data, np.uint8)
+                    continue
+                level = LogBloom(bits, blocks, probes, part * _SLICE).levels(np.frombuffer(data, np.uint64)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([asked], pa.int64()), pa.array([data], pa.binary()), pa.array([level.tobytes()], pa.binary())], names=["run", "keys", "levels"])
+
+    return run
+
+
+class FoundLevels:
+    """Levels that were probed elsewhere, by key."""
+
+    def __init__(self, keys: list[bytes], levels: list[bytes]) -> None:
+        self.keys, first = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_index=True)
+        self.found = np.frombuffer(b"".join(levels), np.uint8)[first].astype(np.int64)
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.keys, keys)]
+
+
 class LogBloom:
-    """The filter: levels of keys by probing."""
+    """The filter, or its blocks from ``first`` on: levels of keys by probing."""
 
-    def __init__(self, data: np.ndarray, blocks: int, probes: int) -> None:
-        self.data, self.blocks, self.probes = data, blocks, probes
+    def __init__(self, data: np.ndarray, blocks: int, probes: int, first: int = 0) -> None:
+        self.data, self.blocks, self.probes, self.first = data, blocks, probes, first
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         found = np.zeros(len(keys), np.int64)
@@ -143,7 +270,7 @@ class LogBloom:
         while len(live):
             block, bit = _places(keys[live], q, self.probes, self.blocks)
             for p in range(self.probes):
-                at = block * (_BLOCK_BITS // 8) + (bit[:, p] >> 3)
+                at = (block - self.first) * _BLOCK_BYTES + (bit[:, p] >> 3)
                 ok = (self.data[at] >> (7 - (bit[:, p] & 7)).astype(np.uint8)) & 1 == 1
                 live, block, bit = live[ok], block[ok], bit[ok]
             found[live] = q
@@ -151,34 +278,56 @@ class LogBloom:
         return found
 
 
-def score_batches(shared, blocks: int, cfg: BloomConfig, total: int, distinct: int, means: dict[int, np.ndarray], share: float, exact: bool):
-    """A mapInArrow function: (row, text) to (row, n_tokens, score, n_known, base_score); the last two only with exact counts."""
+def score_batches(shared, blocks: int, cfg: BloomConfig, total: int, distinct: int, means: dict[int, np.ndarray], share: float, exact: bool, whole: bool = True):
+    """A mapInArrow function: (row, text) to (row, n_tokens, score, n_known, base_score); the last two only with exact counts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, keys, counts = shared.value
-        bloom = LogBloom(data, blocks, cfg.probes)
+    Where the filter isn't ``whole``, rows are (run, part, row, text, keys, levels) in order of run and part: a run's levels
+    are part 0, its texts part 1.
+    """
+
+    def scored(batch: pa.RecordBatch, levels: LogBloom | FoundLevels, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         norm = float(total + distinct + 1)
         table = np.log10((np.arange(1, 65).astype(float)) / norm)
+        for at, end, tokens, cut in tokens_of(batch.column(1)):
+            size = np.diff(cut)
+            words, number = np.unique(tokens, return_inverse=True)
+            one = means[1][np.minimum(levels.levels(key_of(1, words)), 63)]
+            unigram = (one + 1) / (norm + 1)
+            before = np.concatenate([[np.searchsorted(words, _END)], number[:-1]])
+            pair = means[2][np.minimum(levels.levels(key_of(2, pair_hashes(tokens))), 63)]
+            history = one[before]
+            a = share * np.maximum(history - 1, 0) / (history - 1 + cfg.prior)
+            p = (1 - a) * unigram[number] + a * np.minimum(pair, history) / history
+            score = np.add.reduceat(np.log10(p), cut[:-1])
+            columns = [batch.column(0).slice(at, end - at), pa.array(size), pa.array(score)]
+            if exact:
+                place = np.searchsorted(keys, words)
+                place[place == len(keys)] = 0
+                c = np.where(keys[place] == words, counts[place], 0) if len(keys) else np.zeros(len(words), np.int64)
+                base = np.where(c < 64, table[np.minimum(c, 63)], np.log10((c + 1) / norm))
+                columns += [pa.array(np.add.reduceat((c > 0)[number].astype(np.int64), cut[:-1])), pa.array(np.add.reduceat(base[number], cut[:-1]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "score", "n_known", "base_score"][: len(columns)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, keys, counts = shared.value
+        if whole:
+            bloom = LogBloom(data, blocks, cfg.probes)
+            for batch in batches:
+                yield from scored(batch, bloom, keys, counts)
+            return
+        now, found, asked, got = -1, None, [], []
         for batch in batches:
-            for at, end, tokens, cut in tokens_of(batch.column(1)):
-                size = np.diff(cut)
-                words, number = np.unique(tokens, return_inverse=True)
-                one = means[1][np.minimum(bloom.levels(key_of(1, words)), 63)]
-                unigram = (one + 1) / (norm + 1)
-                before = np.concatenate([[np.searchsorted(words, _END)], number[:-1]])
-                pair = means[2][np.minimum(bloom.levels(key_of(2, pair_hashes(tokens))), 63)]
-                history = one[before]
-                a = share * np.maximum(history - 1, 0) / (history - 1 + cfg.prior)
-                p = (1 - a) * unigram[number] + a * np.minimum(pair, history) / history
-                score = np.add.reduceat(np.log10(p), cut[:-1])
-                columns = [batch.column(0).slice(at, end - at), pa.array(size), pa.array(score)]
-                if exact:
-                    place = np.searchsorted(keys, words)
-                    place[place == len(keys)] = 0
-                    c = np.where(keys[place] == words, counts[place], 0) if len(keys) else np.zeros(len(words), np.int64)
-                    base = np.where(c < 64, table[np.minimum(c, 63)], np.log10((c + 1) / norm))
-                    columns += [pa.array(np.add.reduceat((c > 0)[number].astype(np.int64), cut[:-1])), pa.array(np.add.reduceat(base[number], cut[:-1]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "score", "n_known", "base_score"][: len(columns)])
+            runs, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.flatnonzero(np.r_[True, (runs[1:] != runs[:-1]) | (part[1:] != part[:-1]), True]) if len(runs) else np.zeros(1, int)
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                if runs[i] != now:
+                    now, found, asked, got = runs[i], None, [], []
+                if part[i] == 0:
+                    asked += batch.column(4).slice(i, j - i).to_pylist()
+                    got += batch.column(5).slice(i, j - i).to_pylist()
+                    continue
+                found = found or FoundLevels(asked, got)
+                yield from scored(pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), batch.column(3).slice(i, j - i)], names=["row", "text"]), found, keys, counts)
 
     return run
 
@@ -208,19 +357,17 @@ def score_texts(spark: SparkSession, docs: DataFrame, learn: Column, cfg: BloomC
             means[r.kind][r.level :] = r.n / r.v
     share = of(2, lambda r: r.n - r.v) / max(total, 1)
     entries = int(sum(r.level * r.v for r in stats))
-    blocks = min(-(-entries * cfg.bits // _BLOCK_BITS), cfg.filter_bytes * 8 // _BLOCK_BITS)
-    data = np.zeros(blocks * _BLOCK_BITS // 8, np.uint8)
-    if blocks:
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                key = key_of(b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(block_of(key, blocks)), pa.array(key.view(np.int64)), b.column(2)], names=["block", "key", "n"])
-
-        rows = counts.where("n > 1").mapInArrow(keyed, "block long, key long, n long").repartition("block").sortWithinPartitions("block")
-        for batch in rows.mapInArrow(build_batches(blocks, cfg.probes), "block long, bits binary").toArrow().to_batches():
+    blocks = -(-entries * cfg.bits // _BLOCK_BITS)
+    whole = blocks * _BLOCK_BYTES <= cfg.filter_bytes
+    data = np.zeros(blocks * _BLOCK_BYTES if whole else 0, np.uint8)
+    rows = counts.where("n > 1").mapInArrow(entry_batches(blocks), "slice long, keys binary, logs binary").repartition("slice").sortWithinPartitions("slice")
+    bloom = rows.mapInArrow(filter_batches(blocks, cfg.probes), "block long, bits binary")
+    if not whole:
+        bloom = ws.save(bloom, "filter")
+    elif blocks:
+        for batch in bloom.toArrow().to_batches():
             for block, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data[block * (_BLOCK_BITS // 8) : (block + 1) * (_BLOCK_BITS // 8)] = np.frombuffer(bits.as_buffer(), np.uint8)
+                data[block * _BLOCK_BYTES : (block + 1) * _BLOCK_BYTES] = np.frombuffer(bits.as_buffer(), np.uint8)
     exact = distinct <= cfg.broadcast_tokens
     keys, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
     if exact and distinct:
@@ -231,16 +378,29 @@ def score_texts(spark: SparkSession, docs: DataFrame, learn: Column, cfg: BloomC
         del found
     shared = spark.sparkContext.broadcast((data, keys, numbers))
     fields = "row long, n_tokens long, score double" + ", n_known long, base_score double" * exact
-    texts = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
+
+    def scored(texts: DataFrame) -> DataFrame:
+        score = score_batches(shared, blocks, cfg, total, distinct, means, share, exact, whole)
+        if whole:
+            return texts.mapInArrow(score, fields)
+        runs = ws.save(texts.mapInArrow(run_batches, "run long, row long, text string"), "runs")
+        asked = runs.select("run", "text").mapInArrow(ask_batches(blocks), "slice long, run long, block long, data binary")
+        stored = bloom.select(F.expr(f"block div {_SLICE}").alias("slice"), F.lit(-1).cast("long").alias("run"), "block", F.col("bits").alias("data"))
+        answers = stored.unionByName(asked).repartition("slice").sortWithinPartitions("slice", "run").mapInArrow(answer_batches(blocks, cfg.probes), "run long, keys binary, levels binary")
+        none = lambda kind: F.lit(None).cast(kind)
+        levels = answers.select("run", F.lit(0).alias("part"), none("long").alias("row"), none("string").alias("text"), "keys", "levels")
+        both = levels.unionByName(runs.select("run", F.lit(1).alias("part"), "row", "text", none("binary").alias("keys"), none("binary").alias("levels")))
+        return both.repartition("run").sortWithinPartitions("run", "part").mapInArrow(score, fields)
+
     if exact:
-        out = texts.mapInArrow(score_batches(shared, blocks, cfg, total, distinct, means, share, True), fields).withColumnRenamed("row", "doc_id")
+        out = scored(docs.select(F.col("doc_id").cast("long").alias("row"), "text")).withColumnRenamed("row", "doc_id")
     else:
         numbered = ws.save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
-        scored = numbered.select("row", "text").mapInArrow(score_batches(shared, blocks, cfg, total, distinct, means, share, False), fields)
+        per_score = scored(numbered.select("row", "text"))
         per = numbered.select("row", "text").mapInArrow(token_batches, "row long, h long, n long").join(counts.where("kind = 1").select("h", F.col("n").alias("c")), "h", "left")
         c = F.coalesce("c", F.lit(0))
         base = per.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(total + distinct + 1)))).alias("base_score"))
-        out = numbered.select("row", "doc_id").join(scored, "row").join(base, "row").drop("row")
+        out = numbered.select("row", "doc_id").join(per_score, "row").join(base, "row").drop("row")
     return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -201,6 +201,19 @@ def test_bloom_levels_hold():
     assert (bloom.levels(rng.integers(0, 1 << 63, 3000).astype(np.uint64)) > 0).mean() < 0.2
 
 
+@pytest.mark.parametrize("tokens", [12_000_000, 3])
+def test_bloom_filter_grows_past_its_broadcast(spark, tokens):
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"w{rng.randrange(30_000)}" for _ in range(400))) for i in range(300)]
+    rows += [(1000 + i, t) for i, t in rows[:150]] + [(2000, None), (2001, "")]
+    score = lambda **kw: {r.doc_id: r for r in lm.score_texts(spark, frame(spark, rows), labelled.fold("doc_id", 7) != 2, lm.BloomConfig(**kw)).collect()}
+    whole, parts = score(), score(filter_bytes=1 << 16, broadcast_tokens=tokens)
+    assert parts.keys() == whole.keys()
+    for i, r in whole.items():
+        assert (parts[i].n_tokens, parts[i].n_known) == (r.n_tokens, r.n_known)
+        assert math.isclose(parts[i].score, r.score, rel_tol=1e-9) and math.isclose(parts[i].base_score, r.base_score, rel_tol=1e-9)
+
+
 def labelled_docs(spark):
     rng = random.Random(9)
     plain = ["walk", "tree", "house", "river", "stone", "bread", "light", "cloud"]
