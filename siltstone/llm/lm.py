@@ -1,14 +1,14 @@
 """Operator 7: language-model scores from a log-frequency Bloom filter.
 
 Unigrams and bigrams of all training texts are counted exactly by hash.  The filter holds each one under every level from 1 to
-floor(log2(count)); a level is found by probing upwards until a probe fails, so a stored count is at most its true one
+1 + floor(log2(count)), so that a count of one is level 1 and no count is level 0; a level is found by probing upwards until a probe fails, so a stored count is at most its true one
 (but for false positives).  All probes of one n-gram fall into one 64 KB block, so blocks are built on executors and only
 joined on the driver; the filter's size is proportional to its entries, at ``bits`` an entry.  It is broadcast while it has at
 most ``filter_bytes``; beyond that its blocks stay in the shared folder, the distinct keys of each run of texts are shuffled to
 slices of blocks, and the levels go back to the run: the same levels and scores as by broadcast.
 
 A level stands for the mean count of all n-grams of that level, taken over the whole corpus.  Probability of a word after
-another: a * c(vw) / c(v) + (1 - a) * (c(w) + 1) / (N + V + 2), where a word without a level counts once.  Here a is the share of
+another: a * c(vw) / c(v) + (1 - a) * (c(w) + 1) / (N + V + 1), where a word without a level counts 0.  Here a is the share of
 training pairs that would have been seen without the pair itself, the sum of c - 1 over N, times (c(v) - 1) / (c(v) - 1 + prior).
 
 The base score needs exact counts: they are broadcast while there are at most ``broadcast_tokens`` of them; beyond that, each
@@ -128,7 +128,7 @@ def build_batches(blocks: int, probes: int):
                     if now >= 0:
                         yield done()
                     now, bits = int(block[i]), np.zeros(_BLOCK_BITS, bool)
-                level = np.floor(np.log2(n[i:j])).astype(int)
+                level = 1 + np.floor(np.log2(n[i:j])).astype(int)
                 for q in range(1, int(level.max()) + 1):
                     _, at = _places(key[i:j][level >= q], q, probes, blocks)
                     bits[at.ravel()] = True
@@ -292,12 +292,12 @@ def score_batches(shared, blocks: int, cfg: BloomConfig, total: int, distinct: i
             size = np.diff(cut)
             words, number = np.unique(tokens, return_inverse=True)
             one = means[1][np.minimum(levels.levels(key_of(1, words)), 63)]
-            unigram = (one + 1) / (norm + 1)
+            unigram = (one + 1) / norm
             before = np.concatenate([[np.searchsorted(words, _END)], number[:-1]])
             pair = means[2][np.minimum(levels.levels(key_of(2, pair_hashes(tokens))), 63)]
             history = one[before]
             a = share * np.maximum(history - 1, 0) / (history - 1 + cfg.prior)
-            p = (1 - a) * unigram[number] + a * np.minimum(pair, history) / history
+            p = (1 - a) * unigram[number] + a * np.minimum(pair, history) / np.maximum(history, 1)
             score = np.add.reduceat(np.log10(p), cut[:-1])
             columns = [batch.column(0).slice(at, end - at), pa.array(size), pa.array(score)]
             if exact:
@@ -347,20 +347,19 @@ def score_texts(spark: SparkSession, docs: DataFrame, learn: Column, cfg: BloomC
     learn = F.coalesce(learn, F.lit(False))
     counts = docs.where(learn).select("text").mapInArrow(count_batches, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
     counts = ws.save(counts, "counts")
-    level = F.floor(F.log2("n")).cast("int").alias("level")
+    level = (1 + F.floor(F.log2("n"))).cast("int").alias("level")
     stats = counts.groupBy("kind", level).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     of = lambda kind, f: sum(f(r) for r in stats if r.kind == kind)
     total, distinct = of(1, lambda r: r.n), of(1, lambda r: r.v)
-    means = {1: np.ones(64), 2: np.zeros(64)}
+    means = {1: np.zeros(64), 2: np.zeros(64)}
     for r in sorted(stats, key=lambda r: r.level):
-        if r.level:
-            means[r.kind][r.level :] = r.n / r.v
+        means[r.kind][r.level :] = r.n / r.v
     share = of(2, lambda r: r.n - r.v) / max(total, 1)
     entries = int(sum(r.level * r.v for r in stats))
     blocks = -(-entries * cfg.bits // _BLOCK_BITS)
     whole = blocks * _BLOCK_BYTES <= cfg.filter_bytes
     data = np.zeros(blocks * _BLOCK_BYTES if whole else 0, np.uint8)
-    rows = counts.where("n > 1").mapInArrow(entry_batches(blocks), "slice long, keys binary, logs binary").repartition("slice").sortWithinPartitions("slice")
+    rows = counts.mapInArrow(entry_batches(blocks), "slice long, keys binary, logs binary").repartition("slice").sortWithinPartitions("slice")
     bloom = rows.mapInArrow(filter_batches(blocks, cfg.probes), "block long, bits binary")
     if not whole:
         bloom = ws.save(bloom, "filter")

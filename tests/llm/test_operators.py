@@ -214,6 +214,21 @@ def test_bloom_filter_grows_past_its_broadcast(spark, tokens):
         assert math.isclose(parts[i].score, r.score, rel_tol=1e-9) and math.isclose(parts[i].base_score, r.base_score, rel_tol=1e-9)
 
 
+def test_pair_seen_once_scores_above_unseen(spark):
+    learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, f"a b a c u{i} v{i}") for i in learned[:-1]] + [(learned[-1], "a b rare")] + [(held[0], "b rare"), (held[1], "c rare")]
+    got = {r.doc_id: r.score for r in lm.score_texts(spark, frame(spark, rows), labelled.fold("doc_id", 7) != 2).collect()}
+    assert got[held[0]] > got[held[1]] + 0.1
+    n = np.array([1, 2, 3, 4])
+    import pyarrow as pa
+
+    keys = np.arange(1, 5, dtype=np.uint64)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(4, np.int64)), pa.array(keys.view(np.int64)), pa.array(n)], names=["block", "key", "n"])
+    (made,) = lm.build_batches(1, 4)(iter([batch]))
+    assert lm.LogBloom(np.frombuffer(made.column(1)[0].as_py(), np.uint8), 1, 4).levels(keys).tolist() == [1, 2, 2, 3]
+
+
 def labelled_docs(spark):
     rng = random.Random(9)
     plain = ["walk", "tree", "house", "river", "stone", "bread", "light", "cloud"]
