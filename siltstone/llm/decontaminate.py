@@ -2,9 +2,10 @@
 
 Numbers, names (capitalised words inside a sentence) and units after numbers become typed placeholders; lower-cased
 template words are joined by the hash of windows of ``window`` words.  An item leaks into a document when at least
-``coverage`` of its windows stand there and its slots agree: along the alignment, equal item values have equal document
-values and different ones have different values, so that a consistently renamed question is caught and a text that only
-shares a form isn't.
+``coverage`` of its windows stand there and its names agree: inside the windows that matched, each at its own shift, at
+least ``agreement`` of the names go along with one document name for each item name and the other way round, so that a
+consistently renamed question is caught.  Numbers and units are free, as equal ones may be equal by chance; only where more
+than half of the matched words are slots must all kinds agree, so that a text that only shares a form isn't caught.
 
 Windows are made and probed inside one pass; the items' windows are broadcast only while they are at most
 ``broadcast_windows``, beyond that both sides are shuffled by hash.  Texts are read again for documents that matched alone.
@@ -35,6 +36,7 @@ _SEPARATORS = r"[^\p{L}\p{M}\p{Nd}⟦⟧]+"
 class DecontaminationConfig:
     window: int = 8
     coverage: float = 0.5
+    agreement: float = 0.75
     broadcast_windows: int = 1_000_000
     broadcast_docs: int = 1_000_000
 
@@ -85,6 +87,18 @@ def _with_slots(rows: DataFrame, ids: list[str]) -> DataFrame:
     return rows.select(*ids, F.filter(F.concat(*slots), lambda s: s.pos.isNotNull()).alias("slots"))
 
 
+def _agreement(met: Column) -> Column:
+    """The share of ``met`` that the commonest partner of each value accounts for, in the worse direction."""
+    pairs = F.transform(F.array_distinct(F.transform(met, lambda m: F.struct(m.kind, m.ours, m.theirs))), lambda p: F.struct(p.kind, p.ours, p.theirs, F.size(F.filter(met, lambda m: (m.kind == p.kind) & (m.ours == p.ours) & (m.theirs == p.theirs))).alias("n")))
+
+    def one_way(name: str) -> Column:
+        values = F.array_distinct(F.transform(met, lambda m: F.struct(m.kind.alias("kind"), m[name].alias("value"))))
+        best = F.transform(values, lambda v: F.array_max(F.transform(F.filter(pairs, lambda p: (p.kind == v.kind) & (p[name] == v.value)), lambda p: p.n)))
+        return F.aggregate(best, F.lit(0), lambda a, n: a + n)
+
+    return F.when(F.size(met) == 0, F.lit(1.0)).otherwise(F.least(one_way("ours"), one_way("theirs")) / F.size(met))
+
+
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
     """(doc_id, item_id, hits, windows, coverage, slots, changed) for every item that leaks into a document."""
     ws = Workspace(spark, "leaks")
@@ -95,17 +109,25 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg:
     found = _windows(docs.where("doc_id is not null"), ["doc_id"], cfg.window).join(probe, "h")
     shifts = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"))
     totals = item_windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"))
-    hits = shifts.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hits"), F.max_by("shift", F.struct(F.size("at"), -F.col("shift"))).alias("shift"))
+    best = shifts.select("doc_id", "item_id", "shift", F.size("at").alias("n"), F.explode("at").alias("item_pos")).groupBy("doc_id", "item_id", "item_pos").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
+    hits = best.groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.collect_list(F.struct("item_pos", "shift")).alias("aligned"))
     hits = ws.save(hits.join(totals, "item_id").where(F.col("hits") >= cfg.coverage * F.col("windows")), "hits")
 
     ids = hits.select("doc_id").distinct()
     bounded = hits.count() <= cfg.broadcast_docs
     texts = _with_slots(docs.join(F.broadcast(ids) if bounded else ids, "doc_id", "left_semi"), ["doc_id"])
     pairs = hits.join(texts.withColumnRenamed("slots", "theirs"), "doc_id").join(_with_slots(items, ["item_id"]).withColumnRenamed("slots", "ours"), "item_id")
-    met = F.transform("ours", lambda o: F.struct(o.kind.alias("kind"), o.value.alias("ours"), F.filter("theirs", lambda t: (t.pos == o.pos + F.col("shift")) & (t.kind == o.kind))[0].value.alias("theirs")))
-    pairs = pairs.withColumn("met", F.array_distinct(F.filter(met, lambda m: m.theirs.isNotNull())))
-    one_way = lambda name: F.size(F.array_distinct(F.transform("met", lambda m: F.struct(m.kind, m[name])))) == F.size("met")
-    leaks = pairs.where(one_way("ours") & one_way("theirs"))
+    inside = lambda w: F.transform(
+        F.filter("ours", lambda o: (o.pos >= w.item_pos) & (o.pos < w.item_pos + cfg.window)), lambda o: F.struct(o.pos.alias("pos"), w["shift"].alias("shift"), o.kind.alias("kind"), o.value.alias("ours"))
+    )
+    pairs = pairs.withColumn("stood", F.array_distinct(F.flatten(F.transform("aligned", inside))))
+    words = F.size(F.array_distinct(F.flatten(F.transform("aligned", lambda w: F.sequence(w.item_pos, w.item_pos + cfg.window - 1)))))
+    met = F.transform("stood", lambda o: F.struct(o.pos.alias("pos"), o.kind.alias("kind"), o.ours.alias("ours"), F.filter("theirs", lambda t: (t.pos == o.pos + o["shift"]) & (t.kind == o.kind))[0].value.alias("theirs")))
+    pairs = pairs.select("doc_id", "item_id", "hits", "windows", words.alias("words"), F.filter(met, lambda m: m.theirs.isNotNull()).alias("met"))
+    names = _agreement(F.filter("met", lambda m: m.kind == "names")) >= cfg.agreement
+    literal = 2 * F.size(F.array_distinct(F.transform("met", lambda m: m.pos))) <= F.col("words")
+    leaks = pairs.where(names & (literal | (_agreement(F.col("met")) >= cfg.agreement)))
+    leaks = leaks.withColumn("met", F.array_distinct(F.transform("met", lambda m: F.struct(m.kind.alias("kind"), m.ours.alias("ours"), m.theirs.alias("theirs")))))
     changed = F.size(F.filter("met", lambda m: m.ours != m.theirs))
     out = leaks.groupBy("doc_id", "item_id").agg(
         F.max("hits").cast("long").alias("hits"), F.max("windows").cast("long").alias("windows"), F.max(F.size("met")).cast("long").alias("slots"), F.min(changed).cast("long").alias("changed")

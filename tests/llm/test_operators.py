@@ -166,6 +166,17 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(spark, frame(spark, docs), bench).collect() if r.doc_id < 7) == [3, 4, 5, 6]
 
 
+def test_leaks_with_free_numbers(spark):
+    item = "a shop sells 3 pens for the whole school class and then it orders 3 maps of 4 large towns and rivers"
+    docs = [
+        (1, item.replace("3 pens", "9 pens")), (2, item.replace("3 maps", "5 maps").replace("3 pens", "7 pens")), (3, item.replace("3", "5").replace("4", "5")),
+        (4, item[: item.index(" and then")] + " or 8 and a lot of other things besides"), (5, item.replace("school class", "school year class").replace("4", "3")), (6, "1 2 3 5 5 5 5 5 9 9 9 9"),
+    ]
+    bench = spark.createDataFrame([(10, item), (11, "1 2 3 4 5 6 7 8 9 10 11 12")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark, frame(spark, docs), bench, decontaminate.DecontaminationConfig(coverage=0.2)).collect()}
+    assert got == {(i, 10) for i in range(1, 6)}
+
+
 def test_leaks_without_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(spark, frame(spark, [(1, "a b c d e f g h i j")]), none).count() == 0
