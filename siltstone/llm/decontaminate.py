@@ -1,7 +1,8 @@
 """Operator 5: benchmark leaks in documents, re-parameterised questions included.  DataFrame functions only.
 
-Numbers, names (capitalised words inside a sentence) and units after numbers become typed placeholders; lower-cased
-template words are joined by the hash of windows of ``window`` words.  An item leaks into a document when at least
+Numbers, names (capitalised words, but for function words that don't stand inside a sentence) and units after numbers become
+typed placeholders; lower-cased template words are joined by the hash of windows of ``window`` words, once with names as
+placeholders and once with their letters, so that a copy in other case is found too.  An item leaks into a document when at least
 ``coverage`` of its windows stand there and its names agree: inside the windows that matched, each at its own shift, at
 least ``agreement`` of the names go along with one document name for each item name and the other way round, so that a
 consistently renamed question is caught.  Numbers and units are free, as equal ones may be equal by chance; only where more
@@ -26,7 +27,12 @@ from siltstone.llm.storage import Workspace
 #: Units that stand after a number.
 UNITS = "kg|g|mg|km|m|cm|mm|mi|ft|in|lb|oz|l|ml|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|inches|pounds?|dollars?|euros?|cents?|percent|degrees?|litres?|liters?|grams?|kilograms?|kilometers?|kilometres?"
 NAME, NUMBER, UNIT = "⟦name⟧", "⟦num⟧", "⟦unit⟧"
-_NAME = r"\p{Lu}(?<=[\p{Ll},;:] .)\p{L}+"
+#: Words that are no names where a sentence or a quote starts with them.
+FUNCTION_WORDS = (
+    "The|An|And|But|Or|Nor|So|Yet|If|Then|Than|When|While|Where|Who|Whom|Whose|Which|What|Why|How|That|This|These|Those|There|Here|He|She|It|We|You|They|His|Her|Its|Our|Your|Their|My|"
+    "Is|Are|Was|Were|Be|Am|Do|Does|Did|Has|Have|Had|Can|Could|Will|Would|Shall|Should|May|Might|Must|Not|No|Of|In|On|At|By|For|From|With|To|As|After|Before|During|Each|Every|All|Some|Any|Both|One|Now|Also"
+)
+_NAME = rf"\p{{Lu}}(?<=[\p{{Ll}},;:] .)\p{{L}}+|(?<!\p{{L}})(?!(?:{FUNCTION_WORDS})(?!\p{{L}}))\p{{Lu}}\p{{L}}+"
 _NUMBER = r"\d+(?:[.,:/]\d+)*"
 _UNIT = rf"(?<={NUMBER}) ?(?:{UNITS})(?!\p{{L}})"
 _SEPARATORS = r"[^\p{L}\p{M}\p{Nd}⟦⟧]+"
@@ -34,22 +40,23 @@ _SEPARATORS = r"[^\p{L}\p{M}\p{Nd}⟦⟧]+"
 
 @dataclass(frozen=True)
 class DecontaminationConfig:
-    window: int = 8
+    window: int = 5
     coverage: float = 0.5
     agreement: float = 0.75
     broadcast_windows: int = 1_000_000
     broadcast_docs: int = 1_000_000
 
 
-def template(text: Column) -> Column:
+def template(text: Column, names: bool = True) -> Column:
     """The text with typed placeholders, in lower case."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, NAME)
+    text = F.coalesce(text, F.lit(""))
+    text = F.regexp_replace(text, _NAME, NAME) if names else text
     text = F.regexp_replace(text, _NUMBER, NUMBER)
     return F.lower(F.regexp_replace(text, _UNIT, f" {UNIT}"))
 
 
-def template_words(text: Column) -> Column:
-    return F.array_remove(F.split(template(text), _SEPARATORS), "")
+def template_words(text: Column, names: bool = True) -> Column:
+    return F.array_remove(F.split(template(text, names), _SEPARATORS), "")
 
 
 def slot_values(text: Column) -> Column:
@@ -65,14 +72,16 @@ def slot_values(text: Column) -> Column:
 
 
 def _windows(rows: DataFrame, ids: list[str], k: int) -> DataFrame:
-    """(ids, pos, h) for every window of k template words of ``text``; one row of nulls where there is none.
+    """(ids, pos, h) for every window of k template words of ``text``, and again where its names' letters give another hash; one row of nulls where there is none.
 
     No filter stands on the words and the generator is an outer one: Spark would copy the whole chain of expressions
     into each filter that it pushes down or infers.
     """
-    words = rows.select(*ids, F.transform(template_words(F.col("text")), lambda w: F.xxhash64(w)).alias("words"))
-    hashes = F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), lambda i: F.xxhash64(F.slice("words", i, k)))
-    return words.select(*ids, F.when(F.size("words") >= k, hashes).alias("hashes")).select(*ids, F.posexplode_outer("hashes").alias("pos", "h"))
+    hashed = lambda names: F.transform(template_words(F.col("text"), names), lambda w: F.xxhash64(w))
+    words = rows.select(*ids, hashed(True).alias("words"), hashed(False).alias("plain"))
+    both = lambda i: F.array_distinct(F.array(F.xxhash64(F.slice("words", i, k)), F.when(F.size("words") == F.size("plain"), F.xxhash64(F.slice("plain", i, k))).otherwise(F.xxhash64(F.slice("words", i, k)))))
+    hashes = F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), both)
+    return words.select(*ids, F.when(F.size("words") >= k, hashes).alias("hashes")).select(*ids, F.posexplode_outer("hashes").alias("pos", "hs")).select(*ids, "pos", F.explode_outer("hs").alias("h"))
 
 
 def _with_slots(rows: DataFrame, ids: list[str]) -> DataFrame:
@@ -122,7 +131,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg:
     )
     pairs = pairs.withColumn("stood", F.array_distinct(F.flatten(F.transform("aligned", inside))))
     words = F.size(F.array_distinct(F.flatten(F.transform("aligned", lambda w: F.sequence(w.item_pos, w.item_pos + cfg.window - 1)))))
-    met = F.transform("stood", lambda o: F.struct(o.pos.alias("pos"), o.kind.alias("kind"), o.ours.alias("ours"), F.filter("theirs", lambda t: (t.pos == o.pos + o["shift"]) & (t.kind == o.kind))[0].value.alias("theirs")))
+    met = F.transform("stood", lambda o: F.struct(o.pos.alias("pos"), o.kind.alias("kind"), o.ours.alias("ours"), F.get(F.filter("theirs", lambda t: (t.pos == o.pos + o["shift"]) & (t.kind == o.kind)), F.lit(0)).value.alias("theirs")))
     pairs = pairs.select("doc_id", "item_id", "hits", "windows", words.alias("words"), F.filter(met, lambda m: m.theirs.isNotNull()).alias("met"))
     names = _agreement(F.filter("met", lambda m: m.kind == "names")) >= cfg.agreement
     literal = 2 * F.size(F.array_distinct(F.transform("met", lambda m: m.pos))) <= F.col("words")

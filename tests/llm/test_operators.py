@@ -177,6 +177,13 @@ def test_leaks_with_free_numbers(spark):
     assert got == {(i, 10) for i in range(1, 6)}
 
 
+def test_leaks_of_sentences_that_start_with_names(spark):
+    items = ["Tom has 3 apples. Ann has 5 apples. Tom eats 2 of the red apples and Ann eats 1 of hers.", "a small grey bird sat on old wooden fences near our quiet village pond today", "Than heoron eratsh therin sh in esheon. Erstlyat of an blees inthon. Reerth with anat. Tisher that the"]
+    docs = [(1, items[0].replace("Tom", "Bob").replace("Ann", "Eve").replace("3", "8")), (2, items[1].replace("wooden ", "")), (3, items[2].lower()), (4, "Nothing of this kind. Stands in here. Not at all.")]
+    bench = spark.createDataFrame(list(enumerate(items, 10)), "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark, frame(spark, docs), bench).collect()} == {(1, 10), (2, 11), (3, 12)}
+
+
 def test_leaks_without_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(spark, frame(spark, [(1, "a b c d e f g h i j")]), none).count() == 0
