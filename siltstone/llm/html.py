@@ -22,11 +22,17 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-HIDDEN = frozenset("head script style template noscript title meta link iframe object audio video canvas svg math datalist noembed noframes area base param source track textarea select".split())
+#: Tags inside an svg element that have the name "svg:" and theirs; all but text are never shown.
+SVG = frozenset("text desc metadata defs symbol clippath mask pattern marker".split())
+HIDDEN = frozenset("head script style template noscript title meta link iframe audio video canvas datalist noembed noframes area base param source track annotation annotation-xml".split()) | {
+    f"svg:{x}" for x in SVG - {"text"}
+}
+#: Start tags that leave an open head open.
+HEAD = frozenset("html head base basefont bgsound link meta title script style template noframes noscript".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset".split())
-BLOCK = SPACED | frozenset("html body address article aside center details dialog dd dir div dt figcaption footer form header hgroup legend li main menu nav search section summary caption thead tbody tfoot tr".split())
+BLOCK = SPACED | frozenset("html body address article aside center details dialog dd dir div dt figcaption footer form header hgroup legend li main menu nav search section summary caption thead tbody tfoot tr option optgroup svg:text".split())
 #: A start tag ends the open element of the set, unless one of the walls is nearer.
-_PARAGRAPH_ENDS = BLOCK - frozenset("html body caption thead tbody tfoot tr li dd dt legend".split()) | {"hr"}
+_PARAGRAPH_ENDS = BLOCK - frozenset("html body caption thead tbody tfoot tr li dd dt legend option optgroup svg:text".split()) | {"hr"}
 _IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -65,6 +71,7 @@ class Node:
 def build_tree(page: str) -> Node:
     root = Node("#root")
     stack = [root]
+    foreign = False
 
     def close(tags: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> None:
         for i in range(len(stack) - 1, 0, -1):
@@ -78,14 +85,20 @@ def build_tree(page: str) -> Node:
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
+            if stack[-1].tag == "head" and page[at:].strip():
+                close({"head"}, set())
             stack[-1].children.append(unescape(page[at:]))
             break
         if m.start() > at:
+            if stack[-1].tag == "head" and page[at : m.start()].strip():
+                close({"head"}, set())
             stack[-1].children.append(unescape(page[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if foreign and tag in SVG and any(x.tag == "svg" for x in stack):
+            tag = f"svg:{tag}"
         if m[1]:
             if tag == "p" and not any(x.tag == "p" for x in stack):
                 stack[-1].children.append(Node("p"))
@@ -94,6 +107,11 @@ def build_tree(page: str) -> Node:
             else:
                 close({tag}, frozenset() if tag in ("table", "body", "html") else {"table"} if tag in ("td", "th", "tr") else _WALLS - {tag})
             continue
+        if stack[-1].tag == "head" and tag not in HEAD:
+            close({"head"}, set())
+        if foreign and tag in _PARAGRAPH_ENDS:
+            close({"svg", "math"}, _WALLS | {"foreignobject", "annotation-xml", "svg:desc"})
+        foreign = foreign or tag in ("svg", "math")
         if tag in _PARAGRAPH_ENDS:
             close({"p"}, _WALLS)
         if tag in _IMPLIED:
@@ -107,7 +125,7 @@ def build_tree(page: str) -> Node:
             if tag in ("textarea", "title"):
                 node.children.append(unescape(page[at : end.start() if end else n]))
             at = end.end() if end else n
-        elif tag not in VOID and not (m[3] and m[3].endswith("/") and tag in ("svg", "math", "path")) and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and not (m[3] and m[3].endswith("/") and (tag in ("svg", "math", "path") or (foreign and any(x.tag in ("svg", "math") for x in stack)))) and len(stack) < MAX_DEPTH:
             stack.append(node)
     return root
 
@@ -174,6 +192,10 @@ class Renderer:
                 self.need(2)
                 self.lines(plain_text(child).strip("\n"))
                 self.need(2)
+            elif tag == "textarea":
+                self.need(1)
+                self.lines(plain_text(child).strip("\n"))
+                self.need(1)
             elif tag == "table":
                 self.need(2)
                 self.table(child)
@@ -187,6 +209,9 @@ class Renderer:
             elif tag in BLOCK:
                 lines = 1 if tag in ("ul", "ol") and node.tag == "li" else 2 if tag in SPACED else 1
                 self.need(lines)
+                if tag == "optgroup":
+                    self.words(child.get("label") or "")
+                    self.need(lines)
                 self.render(child)
                 self.need(lines)
             else:

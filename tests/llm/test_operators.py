@@ -300,6 +300,18 @@ def test_visible_text(page, text):
     assert html.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>t</title><h1>a</h1><p>b", "a\n\nb"), ("<head><meta x>plain <b>c</b>", "plain c"), ("<head><style>x</style> <link><body>y", "y"), ("<head><template><p>no</p></template><p>y", "y"),
+        ("<p>a <textarea>b\n c</textarea>", "a\nb\n c"), ("<select><option>Red<option>Blue<optgroup label=More><option>Grey</select>x", "Red\nBlue\nMore\nGrey\nx"), ("<object data=x>fall <i>back</i></object>", "fall back"),
+        ("<svg><defs/><rect/><title>no</title><desc>no</desc><text>A</text><text>B</text></svg>c", "A\nB\nc"), ("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math>", "x=1"), ("<div><svg><defs><p>shown</div>z", "shown\n\nz"),
+    ],
+)
+def test_text_that_browsers_show(page, text):
+    assert html.visible_text(page) == text
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a/", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "http://b/\n", "é" * 50_000), (4, "http://c/", None), (5, "http://d/", ""), (6, "http://e/", "\r\n\r\nWARC/1.1\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
