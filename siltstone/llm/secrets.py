@@ -2,7 +2,8 @@
 
 Three base patterns (``assign``, ``access``, ``hex``) are always reported.  The method adds ``entropy`` spans: candidate
 strings of one character class are slid over by a window whose Shannon entropy is kept by incremental counts, and
-windows above the class's threshold are joined, unless an allow-list pattern covers the candidate.
+windows above the class's threshold are joined, unless an allow-list pattern covers the candidate.  Such a span may overlap
+base spans; it's left out only where they cover it whole.
 
 Whole blocks of bytes are screened by numpy first (run lengths of a class) and by substring search, so that patterns
 run over few texts; screens never drop a text that a pattern could match.
@@ -85,6 +86,17 @@ def entropy_windows(text: str, window: int, bits: float) -> list[tuple[int, int]
     return [(a, b) for a, b in found]
 
 
+def join_ranges(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """``ranges`` in order, those that overlap or touch joined."""
+    joined: list[tuple[int, int]] = []
+    for s, e in sorted(ranges):
+        if joined and s <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
+        else:
+            joined.append((s, e))
+    return joined
+
+
 class Scanner:
     """Finds the spans of one text: (start, kind number, end) in order of start, then kind."""
 
@@ -129,14 +141,8 @@ class Scanner:
                 for m in pattern.finditer(text):
                     if self.allow is None or not self.allow.fullmatch(m[0]):
                         added += [(m.start() + a, m.start() + b) for a, b in entropy_windows(m[0], window, bits)]
-            base = sorted((s, e) for s, _, e in out)
-            joined: list[list[int]] = []
-            for s, e in sorted(added):
-                if joined and s <= joined[-1][1]:
-                    joined[-1][1] = max(e, joined[-1][1])
-                else:
-                    joined.append([s, e])
-            out += [(s, 3, e) for s, e in joined if not any(a < e and s < b for a, b in base)]
+            base = join_ranges([(s, e) for s, _, e in out])
+            out += [(s, 3, e) for s, e in join_ranges(added) if not any(a <= s and e <= b for a, b in base)]
         return sorted(out)
 
 
