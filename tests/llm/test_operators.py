@@ -69,6 +69,18 @@ def test_minmax_components(spark, block):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
 
 
+def test_components_of_a_long_chain(spark):
+    from siltstone.llm import graph, storage
+
+    ids = list(range(2000))
+    random.Random(7).shuffle(ids)
+    edges = [*zip(ids[:1500], ids[1:1500], strict=False), *zip(ids[1500:], ids[1501:], strict=False)]
+    ws = storage.Workspace(spark, "chain")
+    got = {r.node: r.component for r in graph.connected_components(ws, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: min(part) for part in (ids[:1500], ids[1500:]) for i in part}
+    assert ws._n < 60
+
+
 def test_minmax_empty_table(spark):
     assert minhash.near_duplicates(spark, frame(spark, [])).count() == 0
 
