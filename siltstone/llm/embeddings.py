@@ -1,13 +1,20 @@
 """Operator 2: near-duplicate embeddings by spherical k-means cells and blocked cosines.
 
 Equal vectors of a label collapse to one, with their number.  Centroids are fitted on a bounded sample; every vector goes
-home to its nearest centroid.  It visits each other cell whose border is no farther than the angle of the threshold: a
-vector x with home c has no neighbour in the cell of d once x.(c-d)/|c-d| > sin(arccos(threshold)).  So no link between
-cells is lost.  Within a cell, blocks of queries meet blocks of residents in one matrix product each, in double precision;
-a task returns counts of links and a spanning forest, never all pairs.
+home to its nearest centroid and visits the cells whose border is near.  Two linked vectors are at most
+``sqrt(2 - 2 * threshold)`` apart, so along the line between their centroids their distances to the border add up to no more than
+that, and one of the two is within half of it: with ``sigmas`` infinite a vector visits each cell within that half, and no
+link is lost.  The default takes that the difference of two linked vectors has no preferred direction: then its part along
+one line is about normal with a deviation of the distance over the root of the dimensions, and ``sigmas`` of these are
+enough (4: fewer than 1 in 10,000 pairs at the very threshold that also lie across a border).  The half shrinks to that; far
+fewer cells are visited.  Where both of a pair visit each other's cell, each counts its own links; where one does, it counts for both.
+
+Within a cell, blocks of queries meet blocks of residents in one matrix product each, in double precision; a task returns
+counts of links and a spanning forest, never all pairs.  Vectors travel in the type of their column.
 
 Only vectors with an equal label that isn't null, of equal length, without null or non-finite components and not zero are
-compared; any other row, and one with a null vec_id, has 0 links and stands for itself. 
+compared; any other row, and one with a null vec_id, has 0 links and stands for itself.  Rows that share a vec_id are rows of
+their own.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +37,17 @@ class CellConfig:
     """``sample`` bounds the vectors that centroids are fitted on, ``max_cells`` what is sent to every task."""
 
     threshold: float = 0.93
+    sigmas: float = 4.0
     sample: int = 20_000
-    rows_per_cell: int = 16_384
+    rows_per_cell: int = 1024
     max_cells: int = 1024
     rounds: int = 12
     block: int = 2048
 
+    def reach(self, dim: int) -> float:
+        """How far from the border a vector still visits the cell behind it."""
+        return np.sqrt(2 - 2 * self.threshold) / 2 * min(1.0, self.sigmas / np.sqrt(dim)) + 1e-9
+
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     """Unit centroids of unit vectors; starts from vectors spread over the sample."""
@@ -49,35 +61,49 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
-def assign_batches(centroids: np.ndarray, threshold: float):
-    """A mapInArrow function: (rep, label, m, embedding) to one row for each cell that a vector lives in or visits."""
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    x = vectors.astype(float)
+    x /= np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def assign_batches(centroids: np.ndarray, cfg: CellConfig):
+    """A mapInArrow function: (rep, label, m, embedding) to one row for each cell that a vector lives in or visits.
+
+    ``others`` are the cells that a resident visits, as 32-bit numbers, or the home of a visitor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reach = np.sqrt(1 - threshold**2) + 1e-9
         gap = np.linalg.norm(centroids[:, None, :] - centroids[None, :, :], axis=2) if len(centroids) else np.zeros((0, 0))
         for batch in batches:
             rep, label, m = (batch.column(i).to_numpy() for i in range(3))
             vectors = batch.column(3)
-            dims = vectors.value_lengths().to_numpy()
+            flat, at = vectors.flatten().to_numpy(zero_copy_only=False), vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
+            dims = np.diff(at)
             for dim in np.unique(dims):
-                rows = np.flatnonzero(dims == dim)
-                x = np.stack([vectors[int(i)].values.to_numpy(zero_copy_only=False) for i in rows]).astype(float)
-                x /= np.abs(x).max(1)[:, None]
-                x /= np.linalg.norm(x, axis=1)[:, None]
-                if len(centroids) and centroids.shape[1] == dim:
-                    s = x @ centroids.T
-                    home = s.argmax(1)
-                    visits = s[np.arange(len(rows)), home][:, None] - s <= reach * gap[home]
-                    visits[np.arange(len(rows)), home] = True
-                else:
-                    home, visits = np.zeros(len(rows), np.int64), np.ones((len(rows), 1), bool)
-                at, cell = np.nonzero(visits)
-                for i in range(0, len(at), 4096):
-                    a, c = at[i : i + 4096], cell[i : i + 4096]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(label[rows[a]].astype(np.int64)), pa.array(np.full(len(a), dim, np.int64)), pa.array(c.astype(np.int64)), pa.array(home[a] == c), pa.array(rep[rows[a]]), pa.array(m[rows[a]]), pa.array([v.tobytes() for v in x[a]], pa.binary())],
-                        names=["label", "dim", "cell", "home", "rep", "m", "x"],
-                    )
+                same = np.flatnonzero(dims == dim)
+                for part in np.array_split(same, -(-len(same) // 2048)):
+                    raw = flat[at[part][:, None] + np.arange(dim)]
+                    n = len(part)
+                    if len(centroids) and centroids.shape[1] == dim:
+                        s = unit_rows(raw) @ centroids.T
+                        home = s.argmax(1)
+                        near = s[np.arange(n), home][:, None] - s <= cfg.reach(dim) * gap[home]
+                        near[np.arange(n), home] = False
+                    else:
+                        home, near = np.zeros(n, np.int64), np.zeros((n, 1), bool)
+                    row, cell = np.nonzero(near)
+                    visited = np.split(cell.astype(np.int32), np.searchsorted(row, np.arange(1, n)))
+                    who, where = np.concatenate([np.arange(n), row]), np.concatenate([home, cell])
+                    others = [v.tobytes() for v in visited] + [h.tobytes() for h in home[row].astype(np.int32)]
+                    bytes_of = [v.tobytes() for v in raw]
+                    for i in range(0, len(who), 4096):
+                        a = who[i : i + 4096]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(label[part[a]].astype(np.int64)), pa.array(np.full(len(a), dim, np.int64)), pa.array(where[i : i + 4096].astype(np.int64)), pa.array(np.arange(i, i + len(a)) < n),
+                             pa.array(rep[part[a]]), pa.array(m[part[a]]), pa.array(others[i : i + 4096], pa.binary()), pa.array([bytes_of[k] for k in a], pa.binary())],
+                            names=["label", "dim", "cell", "home", "rep", "m", "others", "x"],
+                        )
 
     return run
 
@@ -94,40 +120,51 @@ def _local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare_batches(threshold: float):
-    """A mapInArrow function over rows (task, query, rep, m, x) in order of task: (a, b, n), an edge or a count of links."""
+def compare_batches(threshold: float, kind: str):
+    """A mapInArrow function over rows (task, query, cell, home, rep, m, others, x) in order of task: (a, b, n), an edge or a count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, 1, rows=1 << 13):
+        for table in groups(batches, 1):
             key = table.column(0).to_numpy()
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
             for i, j in zip(cut[:-1], cut[1:], strict=True):
                 part = table.slice(i, j - i)
-                query = part.column(1).to_numpy(zero_copy_only=False)
-                rep, m = part.column(2).to_numpy(), part.column(3).to_numpy()
-                x = np.frombuffer(b"".join(part.column(4).to_pylist())).reshape(j - i, -1)
+                query, home = (part.column(c).to_numpy(zero_copy_only=False) for c in (1, 3))
+                rep, m, others = part.column(4).to_numpy(), part.column(5).to_numpy(), part.column(6)
                 q, r = np.flatnonzero(query), np.flatnonzero(~query)
                 if not len(q) or not len(r):
                     continue
+                x = unit_rows(np.frombuffer(b"".join(part.column(7).to_pylist()), kind).reshape(j - i, -1))
                 near = x[q] @ x[r].T >= threshold
                 near &= rep[q][:, None] != rep[r][None, :]
-                counts = near @ m[r]
-                ids, number = np.unique(rep, return_inverse=True)
                 a, b = np.nonzero(near)
+                counts = np.bincount(a, m[r][b], len(q))
+                # a resident that doesn't visit the visitor's home has no other way to learn of the link
+                silent = np.zeros(len(a), bool)
+                for k in np.flatnonzero(~home[q][a]):
+                    silent[k] = others[int(q[a[k]])].as_py() not in _cells(others[int(r[b[k]])].as_py())
+                told = np.bincount(b[silent], m[q][a[silent]], len(r))
+                ids, number = np.unique(rep, return_inverse=True)
                 label = _local_components(len(ids), number[q][a], number[r][b])
-                moved, linked = np.flatnonzero(label != np.arange(len(ids))), np.flatnonzero(counts)
+                moved, linked, heard = np.flatnonzero(label != np.arange(len(ids))), np.flatnonzero(counts), np.flatnonzero(told)
+                own = np.concatenate([rep[q][linked], rep[r][heard]])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([ids[moved], rep[q][linked]])), pa.array(np.concatenate([ids[label[moved]], rep[q][linked]])), pa.array(np.concatenate([np.zeros(len(moved), np.int64), counts[linked].astype(np.int64)]))],
+                    [pa.array(np.concatenate([ids[moved], own])), pa.array(np.concatenate([ids[label[moved]], own])), pa.array(np.concatenate([np.zeros(len(moved)), counts[linked], told[heard]]).astype(np.int64))],
                     names=["a", "b", "n"],
                 )
 
     return run
 
 
+def _cells(others: bytes) -> set[bytes]:
+    return {others[i : i + 4] for i in range(0, len(others), 4)}
+
+
 def near_embeddings(spark: SparkSession, vectors: DataFrame, cfg: CellConfig = CellConfig()) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors(vec_id, embedding, label)``."""
     ws = Workspace(spark, "cells")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite, F.lit(False))).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(1), "embedding"))
     good = rows.where("ok")
@@ -139,11 +176,10 @@ def near_embeddings(spark: SparkSession, vectors: DataFrame, cfg: CellConfig = C
     centroids = np.zeros((0, 0))
     if k > 1:
         sample = classes.where(F.size("embedding") == dim.d).orderBy("h1", "h2").select("embedding").limit(cfg.sample).toArrow()["embedding"].combine_chunks()
-        x = sample.flatten().to_numpy().reshape(len(sample), -1)
-        x = x / np.abs(x).max(1)[:, None]
-        centroids = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], min(k, len(x)), cfg.rounds)
+        x = unit_rows(sample.flatten().to_numpy().reshape(len(sample), -1))
+        centroids = spherical_kmeans(x, min(k, len(x)), cfg.rounds)
 
-    placed = ws.save(classes.select("rep", "label", "m", "embedding").mapInArrow(assign_batches(centroids, cfg.threshold), "label long, dim long, cell long, home boolean, rep long, m long, x binary"), "placed")
+    placed = ws.save(classes.select("rep", "label", "m", "embedding").mapInArrow(assign_batches(centroids, cfg), "label long, dim long, cell long, home boolean, rep long, m long, others binary, x binary"), "placed")
     cell = ["label", "dim", "cell"]
     shape = placed.groupBy(*cell).agg(F.ceil(F.count_if("home") / cfg.block).alias("rs"), F.ceil(F.count("*") / cfg.block).alias("qs")).where("rs > 0")
     spread = placed.join(shape, cell).withColumn("h", F.xxhash64("rep"))
@@ -151,8 +187,8 @@ def near_embeddings(spark: SparkSession, vectors: DataFrame, cfg: CellConfig = C
     q, r = F.pmod("h", F.col("qs")), F.pmod("h", F.col("rs"))
     asks = F.transform(F.sequence(zero, F.col("rs") - one), lambda j: F.struct(F.xxhash64(*cell, q, j).alias("task"), F.lit(True).alias("query")))
     answers = F.transform(F.sequence(zero, F.col("qs") - one), lambda i: F.struct(F.xxhash64(*cell, i, r).alias("task"), F.lit(False).alias("query")))
-    tasks = spread.select(F.explode(F.when(F.col("home"), F.concat(asks, answers)).otherwise(asks)).alias("t"), "rep", "m", "x").select("t.task", "t.query", "rep", "m", "x")
-    found = ws.save(tasks.repartition("task").sortWithinPartitions("task", "rep").mapInArrow(compare_batches(cfg.threshold), "a long, b long, n long"), "found")
+    tasks = spread.select(F.explode(F.when(F.col("home"), F.concat(asks, answers)).otherwise(asks)).alias("t"), "cell", "home", "rep", "m", "others", "x").select("t.task", "t.query", "cell", "home", "rep", "m", "others", "x")
+    found = ws.save(tasks.repartition("task").sortWithinPartitions("task", "rep").mapInArrow(compare_batches(cfg.threshold, kind.replace("float", "f4").replace("double", "f8")), "a long, b long, n long"), "found")
     ws.drop(placed)
 
     counts = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
     """Cuts a stream that is sorted by its first ``keys`` columns into batches that end where a group ends.
 
     A batch holds one group at least; it's for groups of bounded size.
