@@ -1,17 +1,21 @@
 """Operator 8: layout-aware text of HTML pages.
 
 A tree builder supplies implied end tags (paragraphs, list items, table rows and cells, options, description terms) and closes what a
-closing tag leaves open.  The renderer walks the tree under visibility rules and emits all visible text: white space of
-inline text is collapsed, blocks stand on lines of their own with a blank line around paragraphs, headings, lists, tables and
-quotes, list items have markers and indents, table cells are padded to columns, and preformatted text stays as it is.
-
-Elements deeper than 256 become siblings, so that no page exhausts the stack.  A null or empty page has the empty text.
-Unclosed comments and tags at the end of a page are dropped, as browsers do.
+closing tag leaves open.  Visibility rules come from tags, attributes, inline styles and the page's own style sheets as far as their
+selectors are a tag, a class, an id or a tag with a class; ``visibility`` is inherited and may be taken back below, ``display: none``
+may not.  The renderer walks the tree and emits all visible text: white space of inline text is collapsed, blocks stand on lines
+of their own with a blank line around paragraphs, headings, lists, tables and quotes, list items have markers and indents,
+table cells are padded to columns under their column and row spans, and preformatted text stays as it is.
+
+Neither depth nor size of a page is limited: nothing recurses.  A null or empty page has the empty text; a null page_id stays null,
+rows with equal ids are rows of their own, an empty table gives an empty result.  Unclosed comments and tags at the end of a
+page are dropped, as browsers do.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -19,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 256
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
 #: Tags inside an svg element that have the name "svg:" and theirs; all but text are never shown.
@@ -41,15 +44,20 @@ _IMPLIED = {
 _WALLS = frozenset("td th table caption button body".split())
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_DISPLAY = re.compile(r"display\s*:\s*([a-z-]+)", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*([a-z-]+)", re.I)
+_RULE = re.compile(r"([^{}@;]+)\{([^{}]*)\}")
+_SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("attributes", "children", "tag")
+    """``seen`` is whether text that stands right in it shows, ``shown`` whether it makes a box at all."""
+
+    __slots__ = ("attributes", "children", "seen", "shown", "tag")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.attributes, self.children = tag, attributes, []
+        self.tag, self.attributes, self.children, self.seen, self.shown = tag, attributes, [], True, True
 
     def get(self, name: str) -> str | None:
         for m in _ATTRIBUTE.finditer(self.attributes):
@@ -57,29 +65,94 @@ class Node:
                 return unescape(m[2] or m[3] or m[4] or "")
         return None
 
-    def visible(self) -> bool:
-        if self.tag in HIDDEN:
-            return False
-        if not self.attributes:
-            return True
-        low = self.attributes.lower()
-        if "hidden" in low and (self.get("hidden") is not None or (self.tag == "input" and self.get("type") == "hidden")):
-            return False
-        return not ("style" in low and _UNSEEN.search(self.get("style") or ""))
+    def span(self, name: str) -> int:
+        """A colspan or rowspan, at most the 1000 that browsers heed."""
+        value = self.get(name) if name in self.attributes.lower() else None
+        return min(max(int(value), 1), 1000) if value and value.isascii() and value.isdigit() else 1
+
+
+class Sheet:
+    """What style sheets say on display and visibility, by selector; of equal selectors the last counts."""
+
+    def __init__(self) -> None:
+        self.rules: dict[tuple[str, str, str], dict[str, str]] = defaultdict(dict)
+
+    def add(self, css: str) -> None:
+        css = re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S)
+        depth, flat = 0, []
+        for part in re.split(r"(@[^{};]*[{;]|[{}])", css):  # leaves out what stands in @ blocks, media may not apply
+            if part.startswith("@"):
+                depth += part.endswith("{")
+            elif depth:
+                depth += (part == "{") - (part == "}")
+            else:
+                flat.append(part)
+        for names, body in _RULE.findall("".join(flat)):
+            said = declared(body)
+            for name in names.split(",") if said else ():
+                m = _SELECTOR.fullmatch(name.strip())
+                if m and m[0]:
+                    self.rules[(m[1] or "").lower(), m[2] or "", m[3] or ""].update(said)
+
+    def of(self, node: Node) -> dict[str, str]:
+        if not self.rules:
+            return {}
+        classes = (node.get("class") or "").split() if "class" in node.attributes.lower() else []
+        name = node.get("id") if "id" in node.attributes.lower() else None
+        keys = [(node.tag, "", ""), *(("", ".", c) for c in classes), *((node.tag, ".", c) for c in classes), *([("", "#", name), (node.tag, "#", name)] if name else [])]
+        out: dict[str, str] = {}
+        for key in keys:
+            out.update(self.rules.get(key, {}))
+        return out
+
+
+def declared(style: str) -> dict[str, str]:
+    """The last display and visibility of a list of declarations."""
+    return {k: found[-1].lower() for k, found in (("display", _DISPLAY.findall(style)), ("visibility", _VISIBILITY.findall(style))) if found}
+
+
+def apply_visibility(root: Node, sheet: Sheet) -> None:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        for child in node.children:
+            if isinstance(child, str):
+                continue
+            child.seen = node.seen
+            if child.tag in HIDDEN:
+                child.shown = False
+                continue
+            low = child.attributes.lower()
+            if low or sheet.rules:
+                if "hidden" in low and (child.get("hidden") is not None or (child.tag == "input" and child.get("type") == "hidden")):
+                    child.shown = False
+                    continue
+                said = sheet.of(child)
+                if "style" in low:
+                    said |= declared(child.get("style") or "")
+                if said.get("display") == "none":
+                    child.shown = False
+                    continue
+                if said.get("visibility") in ("hidden", "collapse", "visible"):
+                    child.seen = said["visibility"] == "visible"
+            todo.append(child)
 
 
 def build_tree(page: str) -> Node:
-    root = Node("#root")
+    root, sheet = Node("#root"), Sheet()
     stack = [root]
+    place: dict[str, list[int]] = defaultdict(list)
     foreign = False
 
+    def nearest(tags) -> int:
+        return max((place[t][-1] for t in tags if t in place and place[t]), default=0)
+
     def close(tags: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in walls:
-                return
+        """Closes the nearest open element of ``tags``, unless one of the walls is nearer."""
+        at = nearest(tags)
+        if at and at >= nearest(walls):
+            while len(stack) > at:
+                place[stack.pop().tag].pop()
 
     at, n = 0, len(page)
     while at < n:
@@ -97,10 +170,10 @@ def build_tree(page: str) -> Node:
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if foreign and tag in SVG and any(x.tag == "svg" for x in stack):
+        if foreign and tag in SVG and place["svg"]:
             tag = f"svg:{tag}"
         if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
+            if tag == "p" and not place["p"]:
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -112,7 +185,7 @@ def build_tree(page: str) -> Node:
         if foreign and tag in _PARAGRAPH_ENDS:
             close({"svg", "math"}, _WALLS | {"foreignobject", "annotation-xml", "svg:desc"})
         foreign = foreign or tag in ("svg", "math")
-        if tag in _PARAGRAPH_ENDS:
+        if tag in _PARAGRAPH_ENDS and place["p"]:
             close({"p"}, _WALLS)
         if tag in _IMPLIED:
             tags, walls = _IMPLIED[tag]
@@ -122,14 +195,30 @@ def build_tree(page: str) -> Node:
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            if tag in ("textarea", "title"):
-                node.children.append(unescape(page[at : end.start() if end else n]))
+            inside = page[at : end.start() if end else n]
+            if tag == "style":
+                sheet.add(inside)
+            elif tag in ("textarea", "title"):
+                node.children.append(unescape(inside))
             at = end.end() if end else n
-        elif tag not in VOID and not (m[3] and m[3].endswith("/") and (tag in ("svg", "math", "path") or (foreign and any(x.tag in ("svg", "math") for x in stack)))) and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and not (m[3] and m[3].endswith("/") and (tag in ("svg", "math", "path") or (foreign and (place["svg"] or place["math"])))):
+            place[tag].append(len(stack))
             stack.append(node)
+    apply_visibility(root, sheet)
     return root
 
 
+def finish(walk: Iterator) -> None:
+    """Runs a generator, and those that it yields in its place, on a stack of its own."""
+    todo = [walk]
+    while todo:
+        inner = next(todo[-1], None)
+        if inner is None:
+            todo.pop()
+        else:
+            todo.append(inner)
+
+
 class Renderer:
     """Lines of text; ``gap`` is how many line ends must stand before the next word."""
 
@@ -172,13 +261,14 @@ class Renderer:
     def text(self) -> str:
         return "\n".join(line.rstrip() for line in "".join(self.parts).split("\n")).strip("\n")
 
-    def render(self, node: Node) -> None:
+    def render(self, node: Node) -> Iterator:
         number = None
         for child in node.children:
             if isinstance(child, str):
-                self.words(child)
+                if node.seen:
+                    self.words(child)
                 continue
-            if not child.visible():
+            if not child.shown:
                 continue
             tag = child.tag
             if tag == "br":
@@ -186,109 +276,144 @@ class Renderer:
                 self.space = False
             elif tag == "hr":
                 self.need(1)
-                self.lines("---")
-                self.need(1)
-            elif tag == "pre":
-                self.need(2)
-                self.lines(plain_text(child).strip("\n"))
-                self.need(2)
-            elif tag == "textarea":
+                if child.seen:
+                    self.lines("---")
                 self.need(1)
+            elif tag in ("pre", "textarea"):
+                self.need(2 if tag == "pre" else 1)
                 self.lines(plain_text(child).strip("\n"))
-                self.need(1)
+                self.need(2 if tag == "pre" else 1)
             elif tag == "table":
                 self.need(2)
-                self.table(child)
+                yield self.table(child)
                 self.need(2)
             elif tag == "li":
                 if node.tag == "ol":
-                    number = int(node.get("start") or 1) if number is None and (node.get("start") or "1").lstrip("-").isdigit() else (number or 0) + 1
-                self.item(child, f"{number}. " if node.tag == "ol" else "- ")
+                    start = (node.get("start") or "1").strip() if number is None else ""
+                    number = (int(start) if start.lstrip("-").isdecimal() and start.isascii() else 1) if number is None else number + 1
+                yield self.item(child, f"{number}. " if node.tag == "ol" else "- ")
             elif tag in ("blockquote", "dd"):
-                self.nested(child, "  ", 2 if tag == "blockquote" else 1)
+                yield self.nested(child, "  ", 2 if tag == "blockquote" else 1)
             elif tag in BLOCK:
                 lines = 1 if tag in ("ul", "ol") and node.tag == "li" else 2 if tag in SPACED else 1
                 self.need(lines)
-                if tag == "optgroup":
+                if tag == "optgroup" and child.seen:
                     self.words(child.get("label") or "")
                     self.need(lines)
-                self.render(child)
+                yield self.render(child)
                 self.need(lines)
-            else:
-                self.render(child)
+            elif child.children:
+                yield self.render(child)
                 if tag in ("td", "th"):
                     self.space = True
 
-    def nested(self, node: Node, indent: str, lines: int) -> None:
+    def nested(self, node: Node, indent: str, lines: int) -> Iterator:
         self.need(lines)
         self.indent += indent
-        self.render(node)
+        yield self.render(node)
         self.indent = self.indent[: -len(indent)]
         self.need(lines)
 
-    def item(self, node: Node, marker: str) -> None:
+    def item(self, node: Node, marker: str) -> Iterator:
         self.need(1)
         before = self.indent, self.marker
-        self.indent, self.marker = self.indent + " " * len(marker), marker
-        self.render(node)
-        if self.marker:
-            self.need(1)
-            self.lines("")
+        self.indent, self.marker = self.indent + " " * len(marker), marker if node.seen else ""
+        yield self.render(node)
         self.indent, self.marker = before
         self.need(1)
 
-    def table(self, node: Node) -> None:
-        rows: list[list[list[str]]] = []
-
-        def cell(x: Node) -> list[str]:
-            inner = Renderer()
-            inner.render(x)
-            return inner.text().split("\n")
-
-        def walk(x: Node) -> None:
-            loose: list[list[str]] = []
+    def table(self, node: Node) -> Iterator:
+        """Rows of cells: each cell is its first column, its number of columns and its lines."""
+        rows: list[list[tuple[int, int, list[str]]]] = []
+        taken: dict[int, int] = {}
+
+        def add_row(cells: list[Node]) -> Iterator:
+            row, column, below = [], 0, {}
+            for cell in cells:
+                inner = Renderer()
+                yield inner.render(cell)
+                while taken.get(column, 0):
+                    column += 1
+                wide, deep = cell.span("colspan"), cell.span("rowspan")
+                row.append((column, wide, inner.text().split("\n")))
+                if deep > 1:
+                    below |= {k: deep for k in range(column, column + wide)}
+                column += wide
+            rows.append(row)
+            for k in [*taken]:
+                taken[k] -= 1
+                if taken[k] <= 0:
+                    del taken[k]
+            taken.update({k: v - 1 for k, v in below.items()})
+
+        def walk(x: Node) -> Iterator:
+            loose: list[Node] = []
             for child in x.children:
                 if isinstance(child, str):
-                    if child.strip():
+                    if child.strip() and x.seen:
                         self.words(child)
                         self.need(1)
-                elif child.visible():
+                elif child.shown:
                     if child.tag in ("td", "th"):
-                        loose.append(cell(child))
+                        loose.append(child)
                     elif child.tag in ("thead", "tbody", "tfoot"):
-                        walk(child)
+                        yield walk(child)
                     elif child.tag == "tr":
-                        rows.append([cell(c) for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and c.visible()])
+                        yield add_row([c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and c.shown])
                         stray = Node("#stray")
+                        stray.seen = child.seen
                         stray.children = [c for c in child.children if not (isinstance(c, Node) and c.tag in ("td", "th"))]
-                        self.render(stray)
+                        yield self.render(stray)
                     else:
                         self.need(1)
-                        self.render(child)
+                        yield self.render(child)
                         self.need(1)
             if loose:
-                rows.append(loose)
-
-        walk(node)
-        widths = [max((len(line) for r in rows if len(r) > k for line in r[k]), default=0) for k in range(max(map(len, rows), default=0))]
+                yield add_row(loose)
+
+        yield walk(node)
+        widths: dict[int, int] = defaultdict(int)
+        for wide_ones in (False, True):
+            for row in rows:
+                for column, wide, lines in row:
+                    if (wide > 1) is wide_ones:
+                        own = max(map(len, lines))
+                        rest = sum(widths[k] for k in range(column, column + wide - 1)) + 2 * (wide - 1)
+                        widths[column + wide - 1] = max(widths[column + wide - 1], own - rest)
+        starts, at = {}, 0
+        for k in range(max(widths, default=-1) + 1):
+            starts[k], at = at, at + widths[k] + 2
         for row in rows:
-            for i in range(max((len(c) for c in row), default=0)):
+            for i in range(max((len(lines) for _, _, lines in row), default=0)):
+                line = ""
+                for column, _, lines in row:
+                    if i < len(lines) and lines[i]:
+                        line = line.ljust(starts[column]) + lines[i]
                 self.need(1)
-                line = "  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(row, widths, strict=False)).rstrip()
-                if line:
-                    self.lines(line)
+                if line.rstrip():
+                    self.lines(line.rstrip())
 
 
 def plain_text(node: Node) -> str:
     """All visible text below, as it stands."""
-    return "".join(c if isinstance(c, str) else "\n" if c.tag == "br" else plain_text(c) if c.visible() else "" for c in node.children)
+    out: list[str] = []
+    todo: list[tuple[Node, str | Node]] = [(node, c) for c in reversed(node.children)]
+    while todo:
+        parent, x = todo.pop()
+        if isinstance(x, str):
+            out += [x] if parent.seen else []
+        elif x.tag == "br":
+            out.append("\n")
+        elif x.shown:
+            todo += [(x, c) for c in reversed(x.children)]
+    return "".join(out)
 
 
 def visible_text(page: str | None) -> str:
     if not page:
         return ""
     out = Renderer()
-    out.render(build_tree(page))
+    finish(out.render(build_tree(page)))
     return out.text()
 
 
