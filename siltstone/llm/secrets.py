@@ -8,7 +8,8 @@ base spans; it's left out only where they cover it whole.
 Whole blocks of bytes are screened by numpy first (run lengths of a class) and by substring search, so that patterns
 run over few texts; screens never drop a text that a pattern could match.
 
-Null and empty texts have no spans: counts 0 and the SHA-256 of the empty string.  Repeated rows give repeated results.
+Null and empty texts have no spans: counts 0 and the SHA-256 of the empty string.  Repeated rows give repeated results, a null
+doc_id stays null, an empty table gives an empty result, and texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -142,7 +144,10 @@ class Scanner:
                     if self.allow is None or not self.allow.fullmatch(m[0]):
                         added += [(m.start() + a, m.start() + b) for a, b in entropy_windows(m[0], window, bits)]
             base = join_ranges([(s, e) for s, _, e in out])
-            out += [(s, 3, e) for s, e in join_ranges(added) if not any(a <= s and e <= b for a, b in base)]
+            for s, e in join_ranges(added):
+                at = bisect_right(base, (s, len(text) + 1)) - 1
+                if at < 0 or base[at][1] < e:
+                    out.append((s, 3, e))
         return sorted(out)
 
 
