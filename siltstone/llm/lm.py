@@ -35,10 +35,10 @@ from siltstone.llm.words import hash_words, mix64, text_blocks
 
 @dataclass(frozen=True)
 class BloomConfig:
-    bits: int = 12
-    probes: int = 4
+    bits: int = 8
+    probes: int = 5
     prior: float = 50.0
-    filter_bytes: int = 128 << 20
+    filter_bytes: int = 96 << 20
     broadcast_tokens: int = 12_000_000
 
 
@@ -53,6 +53,8 @@ _SLICE = 32
 _RUN_BYTES = 4 << 20
 #: Keys packed in one row at most: Spark puts up to 10,000 rows in a batch.
 _PACKED = 1024
+#: Levels go up to 1 + floor(log2(2**63 - 1)): no count has a higher one, so probing ends there.
+_LEVELS = 63
 
 
 def tokens_of(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -99,7 +101,7 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _places(h: np.ndarray, level: int, probes: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """Block numbers and bit numbers (n, probes) of one level."""
-    a = mix64(h + np.uint64(level) * _PAIR)
+    a = mix64(h + np.array([level], np.uint64) * _PAIR)
     b = mix64(a ^ _ONE) | np.uint64(1)
     bits = (a[:, None] + np.arange(probes, dtype=np.uint64) * b[:, None]) & np.uint64(_BLOCK_BITS - 1)
     return block_of(h, blocks), bits.astype(np.int64)
@@ -267,7 +269,7 @@ class LogBloom:
         if not self.blocks:
             return found
         live, q = np.arange(len(keys)), 1
-        while len(live):
+        while len(live) and q <= _LEVELS:
             block, bit = _places(keys[live], q, self.probes, self.blocks)
             for p in range(self.probes):
                 at = (block - self.first) * _BLOCK_BYTES + (bit[:, p] >> 3)
@@ -291,10 +293,10 @@ def score_batches(shared, blocks: int, cfg: BloomConfig, total: int, distinct: i
         for at, end, tokens, cut in tokens_of(batch.column(1)):
             size = np.diff(cut)
             words, number = np.unique(tokens, return_inverse=True)
-            one = means[1][np.minimum(levels.levels(key_of(1, words)), 63)]
+            one = means[1][levels.levels(key_of(1, words))]
             unigram = (one + 1) / norm
             before = np.concatenate([[np.searchsorted(words, _END)], number[:-1]])
-            pair = means[2][np.minimum(levels.levels(key_of(2, pair_hashes(tokens))), 63)]
+            pair = means[2][levels.levels(key_of(2, pair_hashes(tokens)))]
             history = one[before]
             a = share * np.maximum(history - 1, 0) / (history - 1 + cfg.prior)
             p = (1 - a) * unigram[number] + a * np.minimum(pair, history) / np.maximum(history, 1)
@@ -309,7 +311,7 @@ def score_batches(shared, blocks: int, cfg: BloomConfig, total: int, distinct: i
             yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "score", "n_known", "base_score"][: len(columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, keys, counts = shared.value
+        data, keys, counts = (np.frombuffer(x, kind) for x, kind in zip(shared.value, (np.uint8, np.uint64, np.int32 if total < 1 << 31 else np.int64), strict=True))
         if whole:
             bloom = LogBloom(data, blocks, cfg.probes)
             for batch in batches:
@@ -333,12 +335,16 @@ def score_batches(shared, blocks: int, cfg: BloomConfig, total: int, distinct: i
 
 
 def token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A mapInArrow function: (row, text) to (row, h, n), a row's distinct tokens."""
+    """A mapInArrow function: (row, text) to (row, h, n), a row's distinct tokens, one batch for each block of texts."""
     for batch in batches:
-        for at, _, tokens, cut in tokens_of(batch.column(1)):
-            for i in range(len(cut) - 1):
-                h, n = np.unique(tokens[cut[i] : cut[i + 1]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at + i].as_py()] * len(h), pa.int64()), pa.array(h.view(np.int64)), pa.array(n)], names=["row", "h", "n"])
+        rows = batch.column(0).to_numpy()
+        for at, end, tokens, cut in tokens_of(batch.column(1)):
+            owner = np.repeat(np.arange(end - at), np.diff(cut))
+            order = np.lexsort((tokens, owner))
+            h, owner = tokens[order], owner[order]
+            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
+            n = np.diff(np.append(first, len(h)))
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at + owner[first]]), pa.array(h[first].view(np.int64)), pa.array(n)], names=["row", "h", "n"])
 
 
 def score_texts(spark: SparkSession, docs: DataFrame, learn: Column, cfg: BloomConfig = BloomConfig()) -> DataFrame:
@@ -368,14 +374,16 @@ def score_texts(spark: SparkSession, docs: DataFrame, learn: Column, cfg: BloomC
             for block, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data[block * _BLOCK_BYTES : (block + 1) * _BLOCK_BYTES] = np.frombuffer(bits.as_buffer(), np.uint8)
     exact = distinct <= cfg.broadcast_tokens
-    keys, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    keys, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32 if total < 1 << 31 else np.int64)
     if exact and distinct:
         found = counts.where("kind = 1").select("h", F.col("n").cast("int" if total < 1 << 31 else "long").alias("n")).toArrow()
         keys, numbers = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
         order = np.argsort(keys)
         keys, numbers = keys[order], numbers[order]
         del found
-    shared = spark.sparkContext.broadcast((data, keys, numbers))
+    # bytes are read back in place by a worker; arrays would be copied once more
+    shared = spark.sparkContext.broadcast((data.tobytes(), keys.tobytes(), numbers.tobytes()))
+    del data, keys, numbers
     fields = "row long, n_tokens long, score double" + ", n_known long, base_score double" * exact
 
     def scored(texts: DataFrame) -> DataFrame:
