@@ -1,18 +1,22 @@
 """Operator 5: benchmark leaks in documents, re-parameterised questions included.  DataFrame functions only.
 
-Numbers, names (capitalised words, but for function words that don't stand inside a sentence) and units after numbers become
-typed placeholders; lower-cased template words are joined by the hash of windows of ``window`` words, once with names as
-placeholders and once with their letters, so that a copy in other case is found too.  An item leaks into a document when at least
-``coverage`` of its windows stand there and its names agree: inside the windows that matched, each at its own shift, at
-least ``agreement`` of the names go along with one document name for each item name and the other way round, so that a
-consistently renamed question is caught.  Numbers and units are free, as equal ones may be equal by chance; only where more
+Numbers, names (runs of capitalised words, but for function words that don't stand inside a sentence) and units after numbers
+become typed placeholders.  Lower-cased template words are joined by the hash of windows of ``window`` words in two forms: with names
+as placeholders, and, where too few of these are found, with their letters, so that a copy in other case is found too.  An item
+leaks into a document when at least ``coverage`` of its windows stand there and its names agree: inside the windows that matched, each at its own
+shift, at least ``agreement`` of the names go along with one document name for each item name and the other way round, so that
+a consistently renamed question is caught.  Numbers and units are free, as equal ones may be equal by chance; only where more
 than half of the matched words are slots must all kinds agree, so that a text that only shares a form isn't caught.
 
+An item of fewer than ``window`` template words, but ``shortest`` at least, is one window as long as itself.  Windows of nothing
+but placeholders tell nothing and are no windows: without that, a table of numbers would meet itself at every shift.
+
 Windows are made and probed inside one pass; the items' windows are broadcast only while they are at most
 ``broadcast_windows``, beyond that both sides are shuffled by hash.  Texts are read again for documents that matched alone.
 
-Nulls, empty texts, and items of fewer than ``window`` template words match nothing.  Rows that share a doc_id are one
-document; repeated item_ids pool their windows.
+Nulls, empty texts, and items of fewer than ``shortest`` template words or of placeholders alone match nothing.  Rows that share a
+doc_id are one document; repeated item_ids pool their windows.  An empty table on either side gives an empty result; other columns are
+ignored, whatever their names.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ FUNCTION_WORDS = (
     "The|An|And|But|Or|Nor|So|Yet|If|Then|Than|When|While|Where|Who|Whom|Whose|Which|What|Why|How|That|This|These|Those|There|Here|He|She|It|We|You|They|His|Her|Its|Our|Your|Their|My|"
     "Is|Are|Was|Were|Be|Am|Do|Does|Did|Has|Have|Had|Can|Could|Will|Would|Shall|Should|May|Might|Must|Not|No|Of|In|On|At|By|For|From|With|To|As|After|Before|During|Each|Every|All|Some|Any|Both|One|Now|Also"
 )
-_NAME = rf"\p{{Lu}}(?<=[\p{{Ll}},;:] .)\p{{L}}+|(?<!\p{{L}})(?!(?:{FUNCTION_WORDS})(?!\p{{L}}))\p{{Lu}}\p{{L}}+"
+_NAME = rf"(?:\p{{Lu}}(?<=[\p{{Ll}},;:] .)\p{{L}}+|(?<!\p{{L}})(?!(?:{FUNCTION_WORDS})(?!\p{{L}}))\p{{Lu}}\p{{L}}+)(?: \p{{Lu}}\p{{L}}+)*"
 _NUMBER = r"\d+(?:[.,:/]\d+)*"
 _UNIT = rf"(?<={NUMBER}) ?(?:{UNITS})(?!\p{{L}})"
 _SEPARATORS = r"[^\p{L}\p{M}\p{Nd}⟦⟧]+"
@@ -41,6 +45,7 @@ _SEPARATORS = r"[^\p{L}\p{M}\p{Nd}⟦⟧]+"
 @dataclass(frozen=True)
 class DecontaminationConfig:
     window: int = 5
+    shortest: int = 3
     coverage: float = 0.5
     agreement: float = 0.75
     broadcast_windows: int = 1_000_000
@@ -71,29 +76,60 @@ def slot_values(text: Column) -> Column:
     )
 
 
-def _windows(rows: DataFrame, ids: list[str], k: int) -> DataFrame:
-    """(ids, pos, h) for every window of k template words of ``text``, and again where its names' letters give another hash; one row of nulls where there is none.
+#: The two forms of a template: names as placeholders, and with their letters.
+FORMS = ((1, True), (2, False))
+
+
+def _hashed(rows: DataFrame, ids: list[str]) -> DataFrame:
+    """(ids, w1, w2): the hashes of the template words of ``text`` in both forms."""
+    return rows.select(*ids, *(F.transform(template_words(F.col("text"), names), lambda w: F.xxhash64(w)).alias(f"w{form}") for form, names in FORMS))
+
+
+def _spread(words: DataFrame, ids: list[str], sizes) -> DataFrame:
+    """(ids, form, pos, h) for every window of each of ``sizes`` words; one row of nulls where there is none.
 
     No filter stands on the words and the generator is an outer one: Spark would copy the whole chain of expressions
     into each filter that it pushes down or infers.
     """
-    hashed = lambda names: F.transform(template_words(F.col("text"), names), lambda w: F.xxhash64(w))
-    words = rows.select(*ids, hashed(True).alias("words"), hashed(False).alias("plain"))
-    both = lambda i: F.array_distinct(F.array(F.xxhash64(F.slice("words", i, k)), F.when(F.size("words") == F.size("plain"), F.xxhash64(F.slice("plain", i, k))).otherwise(F.xxhash64(F.slice("words", i, k)))))
-    hashes = F.transform(F.sequence(F.lit(1), F.size("words") - k + 1), both)
-    return words.select(*ids, F.when(F.size("words") >= k, hashes).alias("hashes")).select(*ids, F.posexplode_outer("hashes").alias("pos", "hs")).select(*ids, "pos", F.explode_outer("hs").alias("h"))
+
+    def windows(form: int, size) -> Column:
+        column = F.col(f"w{form}")
+        made = F.transform(F.sequence(F.lit(1), F.size(column) - size + 1), lambda i: F.struct(F.lit(form).alias("form"), (i - 1).alias("pos"), F.xxhash64(F.lit(form), F.slice(column, i, size)).alias("h")))
+        return F.when(F.size(column) >= size, made).otherwise(F.array().cast("array<struct<form:int,pos:int,h:bigint>>"))
+
+    every = F.concat(*(windows(form, size) for form, _ in FORMS for size in sizes))
+    return words.select(*ids, F.explode_outer(every).alias("w")).select(*ids, "w.form", "w.pos", "w.h")
+
+
+def _item_windows(items: DataFrame, cfg: DecontaminationConfig) -> DataFrame:
+    """(item_id, form, item_pos, size, h) of the items' windows, without those of placeholders alone."""
+    words = _hashed(items, ["item_id"])
+    parts = []
+    for form, _ in FORMS:
+        column = F.col(f"w{form}")
+        size = F.least(F.lit(cfg.window), F.size(column))
+        slots = F.transform(F.array(*(F.lit(x) for x in (NAME, NUMBER, UNIT))), lambda x: F.xxhash64(x))
+        made = F.transform(F.sequence(F.lit(1), F.size(column) - size + 1), lambda i: F.struct((i - 1).alias("item_pos"), F.slice(column, i, size).alias("words")))  # noqa: B023
+        rows = words.where(F.size(column) >= cfg.shortest).select("item_id", F.lit(form).alias("form"), size.alias("size"), F.explode(made).alias("w"))
+        rows = rows.where(F.size(F.array_except("w.words", slots)) > 0)
+        parts.append(rows.select("item_id", "form", "w.item_pos", "size", F.xxhash64(F.lit(form), F.col("w.words")).alias("h")))
+    return parts[0].unionByName(parts[1])
 
 
 def _with_slots(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, slots): position, kind and value of every slot."""
-    rows = rows.select(*ids, template_words(F.col("text")).alias("words"), slot_values(F.col("text")).alias("values"))
+    """(ids, form, slots): position, kind and value of every slot, for each form."""
 
-    def slots_of(kind: str, name: str) -> Column:
-        at = F.filter(F.transform("words", lambda w, i: F.when(w == kind, i)), lambda i: i.isNotNull())
+    def slots_of(words: Column, kind: str, name: str) -> Column:
+        at = F.filter(F.transform(words, lambda w, i: F.when(w == kind, i)), lambda i: i.isNotNull())
         return F.zip_with(at, F.col(f"values.{name}"), lambda p, v: F.struct(p.alias("pos"), F.lit(name).alias("kind"), F.lower(v).alias("value")))
 
-    slots = [slots_of(NAME, "names"), slots_of(NUMBER, "numbers"), slots_of(UNIT, "units")]
-    return rows.select(*ids, F.filter(F.concat(*slots), lambda s: s.pos.isNotNull()).alias("slots"))
+    forms = []
+    for form, names in FORMS:
+        text = F.col("text") if names else F.lower("text")  # small letters alone hold no names
+        made = rows.select(*ids, template_words(F.col("text"), names).alias("words"), slot_values(text).alias("values"))
+        slots = [slots_of(F.col("words"), NUMBER, "numbers"), slots_of(F.col("words"), UNIT, "units"), *([slots_of(F.col("words"), NAME, "names")] if names else [])]
+        forms.append(made.select(*ids, F.lit(form).alias("form"), F.filter(F.concat(*slots), lambda s: s.pos.isNotNull()).alias("slots")))
+    return forms[0].unionByName(forms[1])
 
 
 def _agreement(met: Column) -> Column:
@@ -109,39 +145,43 @@ def _agreement(met: Column) -> Column:
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
-    """(doc_id, item_id, hits, windows, coverage, slots, changed) for every item that leaks into a document."""
+    """(doc_id, item_id, hits, windows, slots, changed, coverage) for every item that leaks into a document."""
     ws = Workspace(spark, "leaks")
     docs, items = docs.select("doc_id", "text"), benchmark.select("item_id", "text").where("item_id is not null")
-    item_windows = ws.save(_windows(items, ["item_id"], cfg.window).where("h is not null").withColumnRenamed("pos", "item_pos"), "windows")
+    item_windows = ws.save(_item_windows(items, cfg), "windows")
     few = item_windows.count() <= cfg.broadcast_windows
-    probe = F.broadcast(item_windows) if few else item_windows
-    found = _windows(docs.where("doc_id is not null"), ["doc_id"], cfg.window).join(probe, "h")
-    shifts = found.groupBy("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"))
-    totals = item_windows.groupBy("item_id").agg(F.countDistinct("item_pos").alias("windows"))
-    best = shifts.select("doc_id", "item_id", "shift", F.size("at").alias("n"), F.explode("at").alias("item_pos")).groupBy("doc_id", "item_id", "item_pos").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
-    hits = best.groupBy("doc_id", "item_id").agg(F.count("*").alias("hits"), F.collect_list(F.struct("item_pos", "shift")).alias("aligned"))
-    hits = ws.save(hits.join(totals, "item_id").where(F.col("hits") >= cfg.coverage * F.col("windows")), "hits")
+    sizes = sorted(r[0] for r in item_windows.select("size").distinct().collect())  # window sizes: at most cfg.window numbers
+    probe = F.broadcast(item_windows.drop("size")) if few else item_windows.drop("size")
+    found = _spread(_hashed(docs.where("doc_id is not null"), ["doc_id"]), ["doc_id"], sizes or [cfg.window]).join(probe, ["form", "h"])
+    pair = ["doc_id", "item_id", "form"]
+    shifts = found.groupBy(*pair, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"))
+    totals = item_windows.groupBy("item_id", "form").agg(F.countDistinct("item_pos").alias("windows"), F.max("size").alias("size"))
+    best = shifts.select(*pair, "shift", F.size("at").alias("n"), F.explode("at").alias("item_pos")).groupBy(*pair, "item_pos").agg(F.max_by("shift", F.struct("n", -F.col("shift"))).alias("shift"))
+    hits = best.groupBy(*pair).agg(F.count("*").alias("hits"), F.collect_list(F.struct("item_pos", "shift")).alias("aligned"))
+    hits = ws.save(hits.join(totals, ["item_id", "form"]).where(F.col("hits") >= cfg.coverage * F.col("windows")), "hits")
 
     ids = hits.select("doc_id").distinct()
     bounded = hits.count() <= cfg.broadcast_docs
     texts = _with_slots(docs.join(F.broadcast(ids) if bounded else ids, "doc_id", "left_semi"), ["doc_id"])
-    pairs = hits.join(texts.withColumnRenamed("slots", "theirs"), "doc_id").join(_with_slots(items, ["item_id"]).withColumnRenamed("slots", "ours"), "item_id")
+    pairs = hits.join(texts.withColumnRenamed("slots", "theirs"), ["doc_id", "form"]).join(_with_slots(items, ["item_id"]).withColumnRenamed("slots", "ours"), ["item_id", "form"])
     inside = lambda w: F.transform(
-        F.filter("ours", lambda o: (o.pos >= w.item_pos) & (o.pos < w.item_pos + cfg.window)), lambda o: F.struct(o.pos.alias("pos"), w["shift"].alias("shift"), o.kind.alias("kind"), o.value.alias("ours"))
+        F.filter("ours", lambda o: (o.pos >= w.item_pos) & (o.pos < w.item_pos + F.col("size"))), lambda o: F.struct(o.pos.alias("pos"), w["shift"].alias("shift"), o.kind.alias("kind"), o.value.alias("ours"))
     )
     pairs = pairs.withColumn("stood", F.array_distinct(F.flatten(F.transform("aligned", inside))))
-    words = F.size(F.array_distinct(F.flatten(F.transform("aligned", lambda w: F.sequence(w.item_pos, w.item_pos + cfg.window - 1)))))
-    met = F.transform("stood", lambda o: F.struct(o.pos.alias("pos"), o.kind.alias("kind"), o.ours.alias("ours"), F.get(F.filter("theirs", lambda t: (t.pos == o.pos + o["shift"]) & (t.kind == o.kind)), F.lit(0)).value.alias("theirs")))
-    pairs = pairs.select("doc_id", "item_id", "hits", "windows", words.alias("words"), F.filter(met, lambda m: m.theirs.isNotNull()).alias("met"))
+    words = F.size(F.array_distinct(F.flatten(F.transform("aligned", lambda w: F.sequence(w.item_pos, w.item_pos + F.col("size") - 1)))))
+    opposite = lambda o: F.get(F.filter("theirs", lambda t: (t.pos == o.pos + o["shift"]) & (t.kind == o.kind)), F.lit(0)).value
+    # a name beside the item's own in the document is a part of its run there, not another name
+    same = lambda ours, theirs: F.when(F.endswith(theirs, F.concat(F.lit(" "), ours)) | F.startswith(theirs, F.concat(ours, F.lit(" "))), ours).otherwise(theirs)
+    met = F.transform("stood", lambda o: F.struct(o.pos.alias("pos"), o.kind.alias("kind"), o.ours.alias("ours"), same(o.ours, opposite(o)).alias("theirs")))
+    pairs = pairs.select(*pair, "hits", "windows", words.alias("words"), F.filter(met, lambda m: m.theirs.isNotNull()).alias("met"))
     names = _agreement(F.filter("met", lambda m: m.kind == "names")) >= cfg.agreement
     literal = 2 * F.size(F.array_distinct(F.transform("met", lambda m: m.pos))) <= F.col("words")
-    leaks = pairs.where(names & (literal | (_agreement(F.col("met")) >= cfg.agreement)))
-    leaks = leaks.withColumn("met", F.array_distinct(F.transform("met", lambda m: F.struct(m.kind.alias("kind"), m.ours.alias("ours"), m.theirs.alias("theirs")))))
-    changed = F.size(F.filter("met", lambda m: m.ours != m.theirs))
-    out = leaks.groupBy("doc_id", "item_id").agg(
-        F.max("hits").cast("long").alias("hits"), F.max("windows").cast("long").alias("windows"), F.max(F.size("met")).cast("long").alias("slots"), F.min(changed).cast("long").alias("changed")
-    )
-    return out.withColumn("coverage", F.col("hits") / F.col("windows"))
+    leaks = pairs.withColumn("leaks", names & (literal | (_agreement(F.col("met")) >= cfg.agreement))).withColumn("met", F.array_distinct(F.transform("met", lambda m: F.struct(m.kind.alias("kind"), m.ours.alias("ours"), m.theirs.alias("theirs")))))
+    changed = F.size(F.filter("met", lambda m: m.ours != m.theirs)).cast("long")
+    # rows of one doc_id: the one that leaks counts; letters count only where the form with placeholders has too few windows
+    row = F.struct("form", (~F.col("leaks")).alias("clean"), -F.col("hits"), F.col("hits").cast("long").alias("hits"), F.col("windows").cast("long").alias("windows"), F.size("met").cast("long").alias("slots"), changed.alias("changed"))
+    out = leaks.groupBy("doc_id", "item_id").agg(F.min(row).alias("best")).where("not best.clean")
+    return out.select("doc_id", "item_id", "best.hits", "best.windows", "best.slots", "best.changed", (F.col("best.hits") / F.col("best.windows")).alias("coverage"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
