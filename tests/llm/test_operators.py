@@ -90,13 +90,14 @@ def test_keep_one_keeps_other_columns(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3] and set(out.columns) == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
-def test_embedding_links(spark):
+@pytest.mark.parametrize("sigmas", [4.0, math.inf])
+def test_embedding_links(spark, sigmas):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(30, 8))
     x = np.concatenate([base, base[:10] + 0.05 * rng.normal(size=(10, 8)), base[:3]])
     rows = [(i, [float(v) for v in np.float32(e)], i % 2) for i, e in enumerate(x)]
     rows += [(100, None, 1), (101, [0.0] * 8, 1), (102, [float("nan")] * 8, 1), (103, [1.0, None, 1.0], 1), (104, [1.0] * 8, None), (105, [1.0, 2.0], 1), (106, [2.0, 4.0], 1)]
-    got = {r.vec_id: r for r in embeddings.near_embeddings(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), embeddings.CellConfig(rows_per_cell=8, block=4)).collect()}
+    got = {r.vec_id: r for r in embeddings.near_embeddings(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), embeddings.CellConfig(rows_per_cell=8, block=4, sigmas=sigmas)).collect()}
     good = {i: (np.array(e), label) for i, e, label in rows if label is not None and e and None not in e and np.isfinite(e).all() and any(e)}
     linked = [
         (a, b) for a, (x, k) in good.items() for b, (y, m) in good.items() if a < b and k == m and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93
@@ -105,12 +106,40 @@ def test_embedding_links(spark):
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (count[i], want[i], want[i] == i) for i in want}
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_query_against_all_pairs(spark, kind):
+    """The recall of the default reach over many cells, where differences are at the threshold."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(900, 32))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    far = rng.normal(size=(900, 32))
+    far -= (far * base).sum(1)[:, None] * base
+    far /= np.linalg.norm(far, axis=1)[:, None]
+    angle = np.arccos(rng.uniform(0.9, 0.96, 900))[:, None]
+    x = np.float32(np.concatenate([base, np.cos(angle) * base + np.sin(angle) * far]))
+    rows = [(i, [float(v) for v in e], i % 900 % 3) for i, e in enumerate(x)]
+    got = {r.vec_id: r for r in embeddings.near_embeddings(spark, spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int"), embeddings.CellConfig(rows_per_cell=30)).collect()}
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = (u @ u.T >= 0.93) & (np.arange(1800)[:, None] % 900 % 3 == np.arange(1800)[None, :] % 900 % 3)
+    np.fill_diagonal(near, False)
+    want = components(range(1800), list(zip(*np.nonzero(near), strict=True)))
+    links = {i: int(n) for i, n in enumerate(near.sum(1))}
+    assert sum(r.n_links for r in got.values()) == sum(links.values()) > 500
+    assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (links[i], want[i]) for i in links}
+
+
+def test_embedding_empty_table(spark):
+    assert embeddings.near_embeddings(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int, n_links string")).count() == 0
+
+
 def test_packing_round_trip(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     rng = random.Random(5)
     rows = corpus(2, 60) + [(1000, "wörd  two\n\n\nthree   \n x  y  z" * 400), (1001, "<|endoftext|> a"), (1002, "日本 語\r\n 1²3 …")]
+    rows += [(1010, "\n\t\u180e\n"), (1011, "\n\tQ\n x"), (1012, "  \n\n z"), (1013, " " * 5000), (1014, "x\x1cy \x85 z")]
     rows.append((1003, " ".join(rng.choice("abcdefg") * rng.randint(1, 9) for _ in range(9000))))
     got = packing.pack_documents(frame(spark, rows)).collect()
     model = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
@@ -207,6 +236,90 @@ def test_leaks_of_sentences_that_start_with_names(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark, frame(spark, docs), bench).collect()} == {(1, 10), (2, 11), (3, 12)}
 
 
+def test_leaks_of_parts_long_names_and_short_items(spark):
+    items = [
+        "Anna Berg sold 14 old lamps at the market on Monday and Anna Berg kept 3 of them for the winter", "Name three red fruits", "11 12 13 14 15 16 17 18", "Who?",
+        "the boat that left the harbour in the morning came home late in the rain with all of its nets torn",
+    ]
+    words_ = items[0].split()
+    docs = [
+        (1, "It says: Tom sold 9 old lamps at the market on Friday and Tom kept 5 of them for the winter"), (2, "x " + " ".join(words_[: 2 * len(words_) // 3])), (3, " ".join([*words_[:8], "quite", *words_[8:]])),
+        (4, "please name three red fruits now"), (5, "Name three green fruits"), (6, "1 2 3 4 5 6 7 8 9 10 " * 400), (7, "11 12 13 14 15 16 17 18"), (8, items[4].upper()), (9, "the boat that left the harbour"), (None, items[4]),
+    ]
+    bench = spark.createDataFrame(list(enumerate(items, 10)), "item_id long, text string").selectExpr("*", "1 as doc_id", "2 as hits")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark, frame(spark, docs), bench).collect()}
+    assert got == {(1, 10), (2, 10), (3, 10), (4, 11), (8, 14)}
+
+
+def leaks_by_hand(docs, items, cfg):
+    """The form with placeholders, by loops over lists of words."""
+    import regex
+
+    functions = decontaminate.FUNCTION_WORDS
+    name = regex.compile(rf"(?:(?<=[\p{{Ll}},;:] )\p{{Lu}}\p{{L}}+|(?<!\p{{L}})(?!(?:{functions})(?!\p{{L}}))\p{{Lu}}\p{{L}}+)(?: \p{{Lu}}\p{{L}}+)*")
+
+    def template(text):
+        out, values = [], []
+        for part in regex.split(r"(\x00\d+\x00)", name.sub(lambda m: (values.append(m[0].lower()), f"\x00{len(values) - 1}\x00")[1], text)):
+            if part.startswith("\x00"):
+                out.append(("N", values[int(part.strip("\x00"))]))
+                continue
+            after = False
+            for w in regex.findall(r"\d+(?:[.,:/]\d+)*|[\p{L}\p{M}]+", part.lower()):
+                kind = "#" if w[0].isdigit() else "U" if after and regex.fullmatch(decontaminate.UNITS, w) else ""
+                out.append((kind, w))
+                after = kind == "#"
+        return out
+
+    found = set()
+    for item_id, text in items:
+        ours = template(text)
+        k = min(cfg.window, len(ours))
+        shape = lambda t, i: tuple(kind or w for kind, w in t[i : i + k])  # noqa: B023, E731
+        spots = [i for i in range(len(ours) - k + 1) if any(not kind for kind, _ in ours[i : i + k])] if len(ours) >= cfg.shortest else []
+        for doc_id, doc in docs:
+            theirs = template(doc or "")
+            at = {i: [j for j in range(len(theirs) - k + 1) if shape(theirs, j) == shape(ours, i)] for i in spots}
+            hits = [i for i in spots if at[i]]
+            if not spots or len(hits) < cfg.coverage * len(spots):
+                continue
+            shifts = Counter(j - i for i in hits for j in at[i])
+            pairs = set()
+            for i in hits:
+                best = max((j - i for j in at[i]), key=lambda d: (shifts[d], -d))
+                pairs |= {(p, best) for p in range(i, i + k) if ours[p][0]}
+            names = [(ours[p][1], theirs[p + d][1]) for p, d in pairs if ours[p][0] == "N"]
+            one = lambda ps: sum(max(Counter(y for x, y in ps if x == v).values()) for v in {x for x, _ in ps})
+            if not names or min(one(names), one([(y, x) for x, y in names])) >= cfg.agreement * len(names):
+                found.add((doc_id, item_id))
+    return found
+
+
+def test_leaks_against_loops(spark):
+    rng = random.Random(21)
+    people, plain = ["Tom", "Ann", "Mary Lee", "Bob", "Eve Stone"], ["sells", "apples", "from", "a", "wooden", "cart", "near", "old", "river", "and", "gives", "them", "away", "each", "day", "small", "town", "bread"]
+    word = lambda: rng.choice(people) if rng.random() < 0.15 else f"{rng.randint(1, 99)} kg of" if rng.random() < 0.12 else rng.choice(plain)
+    items = [(i, " ".join(["so", *(word() for _ in range(rng.randint(2, 24)))])) for i in range(40)]
+    docs = []
+    for i, text in items * 3:
+        w = text.split()
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice([*people, *plain])
+        docs.append((len(docs), " ".join([*(rng.choice(plain) for _ in range(rng.randint(0, 9))), *w[: rng.randint(len(w) // 2, len(w))], "end"])))
+    cfg = decontaminate.DecontaminationConfig()
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark, frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    by_names = leaks_by_hand(docs, items, cfg)
+    assert len(by_names) > 30 and by_names - got == set()
+    # what is found by letters alone stands in the document word for word in half of its windows
+    low = lambda t: re.findall(r"[a-z]+|\d+", t.lower())
+    for doc_id, item_id in got - by_names:
+        ours, theirs = low(dict(items)[item_id]), low(dict(docs)[doc_id])
+        k = min(5, len(ours))
+        have = {tuple("#" if x.isdigit() else x for x in theirs[j : j + k]) for j in range(len(theirs))}
+        spots = [tuple("#" if x.isdigit() else x for x in ours[i : i + k]) for i in range(len(ours) - k + 1)]
+        assert sum(x in have for x in spots) >= 0.4 * len(spots)
+
+
 def test_leaks_without_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(spark, frame(spark, [(1, "a b c d e f g h i j")]), none).count() == 0
@@ -335,6 +448,26 @@ def test_text_that_browsers_show(page, text):
     assert html.visible_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div>" * 300 + "<p hidden>SECRET</p>x", "x"), ("<span>" * 20_000 + "a<i style='display:none'>b</i>" + "</span>" * 20_000 + "c", "ac"), ("<table><tr><td>" * 400 + "deep", "deep"),
+        ("<style>.a,#b{display:none} p.c{visibility:hidden} @media print{.d{display:none}}</style><p class='x a'>1<p id=b>2<p class=c>3<b style='visibility:visible'>4</b><p class=d>5", "4\n\n5"),
+        ("<div style='visibility:hidden'>no<span style='visibility: visible'>yes</span></div>", "yes"), ("<style>p{display:none}p{display:block}</style><p>shown", "shown"),
+        ("<table><tr><td colspan=2>Wide one<td>End<tr><td>a<td>b<td>c</table>", "Wide one  End\na  b      c"), ("<table><tr><td rowspan=2>x<td>1<tr><td>2</table>", "x  1\n   2"), ("<ol start=3><li>a<li>b</ol>", "3. a\n4. b"),
+    ],
+)
+def test_visibility_and_spans(page, text):
+    assert html.visible_text(page) == text
+
+
+def test_html_query_rows(spark):
+    rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (None, None, None), (2, "u", "x" * 300_000)]
+    got = html.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' as text", "1 as n_chars")).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 1), (1, 1), (2, 300_000)]
+    assert html.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://a/", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "http://b/\n", "é" * 50_000), (4, "http://c/", None), (5, "http://d/", ""), (6, "http://e/", "\r\n\r\nWARC/1.1\r\n")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
