@@ -16,8 +16,9 @@ Plan, built for groups of any size:
 
 Probability to miss a pair at 0.8 by its bands: (1 - 0.8**6)**42 < 3e-6.
 
-Nulls and texts without words have no shingles, are linked with nothing and stand for themselves.  Rows that share a
-doc_id count as one document.  Rows with a null doc_id are left out of the groups and returned with null component.
+Nulls and texts without words have no shingles, are linked with nothing and stand for themselves.  doc_ids should be distinct: rows
+that share one are rows of their own, each in the group of its own text.  Rows with a null doc_id are left out of the groups and
+returned with null component.  An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

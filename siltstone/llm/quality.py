@@ -6,7 +6,8 @@ weighs the rules and drops most.  What is left is compiled into one Spark column
 scoring stays in the engine's generated code.
 
 Null and empty texts have all statistics 0 and get the score of those.  Without labels of both kinds the score is the
-smoothed share of label 1.  Repeated rows get equal scores.
+smoothed share of label 1.  Repeated rows get equal scores.  Rows with a null doc_id are scored as held out.  An empty table gives an
+empty result.  A column to keep that is named like a statistic is an error.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ STATISTICS = (
 
 @dataclass(frozen=True)
 class QualityConfig:
-    """``sample`` bounds the labelled rows that are learned from."""
+    """``sample`` bounds the labelled rows that are learned from, ``bag`` those that one tree is grown on."""
 
     sample: int = 20_000
+    bag: int = 4_000
     trees: int = 24
     depth: int = 3
     cuts: int = 24
@@ -96,6 +98,8 @@ def statistics_batches(text_at: int):
 
 
 def with_statistics(docs: DataFrame, keep: tuple[str, ...], text_col: str = "text") -> DataFrame:
+    if {*STATISTICS, "_text"} & set(keep):
+        raise ValueError("the columns to keep may not be named like a statistic")
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
     return rows.mapInArrow(statistics_batches(len(keep)), kept + ", ".join(f"{s} double" for s in STATISTICS))
@@ -136,7 +140,7 @@ def grow_rules(x: np.ndarray, y: np.ndarray, cfg: QualityConfig) -> list[Rule]:
 
     for _ in range(cfg.trees):
         features = rng.choice(x.shape[1], max(2, x.shape[1] // 2), replace=False)
-        split(rng.integers(0, len(y), min(len(y), 4000)), (), features)
+        split(rng.integers(0, len(y), min(len(y), cfg.bag)), (), features)
     return list(rules)
 
 
@@ -204,5 +208,5 @@ def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query: learns from labels whose fold isn't 1 of 3, scores all documents."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = fit_quality(docs, labels, fold("doc_id", 3) != 1)
-    scored = with_statistics(docs, ("doc_id",)).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), model.score().alias("score"))
+    scored = with_statistics(docs, ("doc_id",)).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(True)).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))

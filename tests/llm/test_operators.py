@@ -493,3 +493,125 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.select("doc_id").distinct().count() > 100
+
+
+def table_dir(path, spark, docs, labels=None, benchmark=None, extra=()):
+    """The tables of a small corpus, with extra columns on documents."""
+    kinds = {"labels": ("doc_id long, quality int, toxic int", labels or []), "benchmark": ("item_id long, text string", benchmark or [])}
+    frame(spark, docs).selectExpr("*", *extra).coalesce(1).write.parquet(f"{path}/documents.parquet")
+    for name, (schema, rows) in kinds.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/{name}.parquet")
+    return str(path)
+
+
+CLASHES = ("'x' as score", "'x' as words", "1 as kept", "2 as component_id", "3 as n_shingles", "4 as `row`", "'x' as h", "'x' as `_text`", "5 as piece")
+
+
+@pytest.mark.parametrize("name", ["op1_minmax_dedup", "op3_best_fit_packing", "op4_rule_quality", "op5_template_decontamination", "op6_secret_scan", "op7_bloom_lm", "op9_weak_toxicity", "pipeline"])
+def test_queries_on_odd_tables(spark, tmp_path, name):
+    """Empty tables, and nulls, repeats, long texts and clashing columns, give rows for every document or none."""
+    import corpus_pipeline
+    from siltstone.llm import entry
+
+    query = {**entry.QUERIES, "pipeline": corpus_pipeline.run}[name]
+    assert query(spark, table_dir(tmp_path / "none", spark, [])).count() == 0
+    long = " ".join(f"w{i % 977} x{i % 31}" for i in range(120_000))
+    docs = [(1, "a b c d e"), (1, "a b c d e"), (2, None), (None, "some text"), (3, ""), (4, long), (5, long), (6, " \n\t ")]
+    out = query(spark, table_dir(tmp_path / "odd", spark, docs, [(1, None, 1), (None, 1, 0), (4, 1, 0)], [(1, None), (None, "x"), (2, ""), (2, "none of this stands there at all")], CLASHES))
+    ids = [r.doc_id for r in out.select("doc_id").collect()]
+    if name in ("op1_minmax_dedup", "op4_rule_quality", "op6_secret_scan", "op7_bloom_lm", "op9_weak_toxicity"):
+        assert sorted(i or 0 for i in ids) == sorted(i or 0 for i, _ in docs)
+    elif name == "op5_template_decontamination":
+        assert ids == []
+    else:
+        # the pipeline drops 1, which is labelled toxic, and 5, a copy of 4
+        assert {2, 3, 4, 6, None} <= set(ids) and {1 in ids, 5 in ids} == {name != "pipeline"}
+
+
+def test_language_model_scores_by_exact_counts(spark):
+    """Scores of a filter without false positives, by the same formula over levels of exact counts."""
+    rows = corpus(6, 150)
+    learned = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two = Counter(), Counter()
+    for t in learned:
+        tokens = [None, *words(t), None]
+        one.update(tokens[1:])
+        two.update(zip(tokens[:-1], tokens[1:], strict=True))
+    level = lambda c: 1 + int(math.log2(c)) if c else 0
+
+    def mean(count):
+        by = {}
+        for c in count.values():
+            by.setdefault(level(c), []).append(c)
+        return lambda c: sum(by[level(c)]) / len(by[level(c)]) if c else 0.0
+
+    m1, m2 = mean(one), mean(two)
+    total, distinct, cfg = sum(one.values()), len(one), lm.BloomConfig(bits=400)
+    share = sum(c - 1 for c in two.values()) / total
+    got = {r.doc_id: r.score for r in lm.score_texts(spark, frame(spark, rows), labelled.fold("doc_id", 7) != 2, cfg).collect()}
+    for i, t in rows:
+        tokens, want = [None, *words(t), None], 0.0
+        for v, w in zip(tokens[:-1], tokens[1:], strict=True):
+            history = m1(one[v])
+            a = share * max(history - 1, 0) / (history - 1 + cfg.prior)
+            want += math.log10((1 - a) * (m1(one[w]) + 1) / (total + distinct + 1) + a * min(m2(two[v, w]), history) / max(history, 1))
+        assert math.isclose(got[i], want, rel_tol=1e-9), (i, got[i], want)
+
+
+def test_document_queries_against_brute_force(spark):
+    """Query 1 and the counts of query 6 over a whole table."""
+    import pyarrow.parquet as pq
+
+    from siltstone.llm import entry
+
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()]
+    sets = {i: shingles(t, 4) for i, t in rows}
+    by_size = sorted(sets, key=lambda i: len(sets[i]))
+    linked = [(a, b) for k, a in enumerate(by_size) for b in by_size[k + 1 :] if sets[a] and 100 * len(sets[a]) >= 80 * len(sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    want = components(sets, linked)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in entry.QUERIES["op1_minmax_dedup"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: (len(sets[i]), want[i], want[i] == i) for i in sets}
+
+
+def test_entropy_spans_by_full_recount():
+    """Joined windows against a fresh count of every window."""
+    rng = random.Random(17)
+    for _ in range(200):
+        text = "".join(rng.choice("abcdef0123456789XYZQW") if rng.random() < 0.8 else "a" for _ in range(rng.randint(1, 90)))
+        n, bits = rng.choice([8, 24]), rng.choice([2.0, 3.0, 3.6])
+        good = set()
+        for i in range(len(text) - n + 1):
+            w = text[i : i + n]
+            h = -sum(c / n * math.log2(c / n) for c in Counter(w).values())
+            if h >= bits - 1e-9 and 0 < sum(c.isdigit() for c in w) < n:
+                good |= {*range(i, i + n)}
+        got = {k for a, b in secrets.entropy_windows(text, n, bits) for k in range(a, b)}
+        assert got == good
+
+
+def test_pipeline_against_its_parts(spark, tmp_path):
+    """What each stage drops or changes, on planted cases."""
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    plain = ["walk", "tree", "house", "river", "stone", "bread", "light", "cloud", "field", "lamp", "chair", "glass"]
+    text = lambda n: " ".join(rng.choice(plain) for _ in range(n))
+    item = "the old captain counted seven silver coins and hid them under the third step of the broken stair"
+    docs = [(i, text(60)) for i in range(300)]
+    toxic = [i for i in range(300) if i % 6 == 0]
+    docs = [(i, t + rng.choice([" you moron", " what scumbags"]) if i in toxic else t) for i, t in docs]
+    copy = docs[7][1]
+    docs += [(400, copy), (401, copy.upper()), (402, f"x {text(5)} {item} {text(9)}"), (403, text(30) + " password: hunter2hunter2"), (404, None), (405, "")]
+    path = table_dir(tmp_path / "p", spark, docs, [(i, 1, int(i in toxic)) for i in range(200)], [(1, item)])
+    out = corpus_pipeline.run(spark, path).collect()
+    ids = {r.doc_id for r in out}
+    want = {i for i, _ in docs} - set(toxic) - {400, 401, 402}
+    assert ids == want
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    model = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    secret = dict(docs)[403].replace("password: hunter2hunter2", "[SECRET]")
+    (row,) = [r for r in out if r.doc_id == 403]
+    assert row.ids_crc32 == zlib.crc32(np.array([*model.encode(secret, add_special_tokens=False).ids, 0], "<u4").tobytes())
