@@ -1,6 +1,9 @@
 """A corpus pipeline of five operators; every stage works on all that the one before it kept.
 
-The tokens of the last stage refer to the texts that the fourth leaves.
+The tokens of the last stage refer to the texts that the fourth leaves.  The stages before it return the five columns of documents;
+other columns, whatever their names, end with the first stage.  Null and empty texts are clean in every stage and packed as their
+end token; rows with a null doc_id stay up to the last stage.  Rows that share a doc_id go together where one of them is a leak
+or a near duplicate.  An empty table of documents, labels or benchmark items gives an empty result or leaves documents alone.
 """
 
 from __future__ import annotations
@@ -61,7 +64,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder before the next reads it."""
     ws = Workspace(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = ws.save(stage(spark, docs, sf_dir), name)
+        ws.drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
