@@ -296,7 +296,8 @@ def score_batches(shared, blocks: int, cfg: BloomConfig, total: int, distinct: i
             one = means[1][levels.levels(key_of(1, words))]
             unigram = (one + 1) / norm
             before = np.concatenate([[np.searchsorted(words, _END)], number[:-1]])
-            pair = means[2][levels.levels(key_of(2, pair_hashes(tokens)))]
+            pairs, place = np.unique(pair_hashes(tokens), return_inverse=True)  # frequent pairs have many levels to probe
+            pair = means[2][levels.levels(key_of(2, pairs))][place]
             history = one[before]
             a = share * np.maximum(history - 1, 0) / (history - 1 + cfg.prior)
             p = (1 - a) * unigram[number] + a * np.minimum(pair, history) / np.maximum(history, 1)
