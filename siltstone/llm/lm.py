@@ -47,6 +47,7 @@ _PAIR = np.uint64(0x9FB21C651E98DF25)
 _ONE = np.uint64(0xA24BAED4963EE407)
 _BLOCK_BITS = 1 << 19
 _BLOCK_BYTES = _BLOCK_BITS // 8
+_BIT, _THREE, _SEVEN = np.uint64(_BLOCK_BITS - 1), np.uint64(3), np.uint64(7)
 #: Blocks of the filter that are built and probed together.
 _SLICE = 32
 #: Bytes of text whose distinct keys are probed together where the filter isn't broadcast.
@@ -101,12 +102,17 @@ def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _places(h: np.ndarray, level: int, probes: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     """Block numbers and bit numbers (n, probes) of one level."""
-    a = mix64(h + np.array([level], np.uint64) * _PAIR)
-    b = mix64(a ^ _ONE) | np.uint64(1)
-    bits = (a[:, None] + np.arange(probes, dtype=np.uint64) * b[:, None]) & np.uint64(_BLOCK_BITS - 1)
+    place, step = _strides(h, level)
+    bits = (place[:, None] + np.arange(probes, dtype=np.uint64) * step[:, None]) & _BIT
     return block_of(h, blocks), bits.astype(np.int64)
 
 
+def _strides(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the probes of a level start, and the odd distance between them."""
+    place = mix64(h + np.array([level], np.uint64) * _PAIR)
+    return place, mix64(place ^ _ONE) | np.uint64(1)
+
+
 def block_of(h: np.ndarray, blocks: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
 
@@ -268,15 +274,19 @@ class LogBloom:
         found = np.zeros(len(keys), np.int64)
         if not self.blocks:
             return found
-        live, q = np.arange(len(keys)), 1
-        while len(live) and q <= _LEVELS:
-            block, bit = _places(keys[live], q, self.probes, self.blocks)
-            for p in range(self.probes):
-                at = (block - self.first) * _BLOCK_BYTES + (bit[:, p] >> 3)
-                ok = (self.data[at] >> (7 - (bit[:, p] & 7)).astype(np.uint8)) & 1 == 1
-                live, block, bit = live[ok], block[ok], bit[ok]
+        base = (block_of(keys, self.blocks) - self.first) * _BLOCK_BYTES
+        live = np.arange(len(keys))
+        for q in range(1, _LEVELS + 1):
+            place, step = _strides(keys, q)
+            for _ in range(self.probes):
+                bit = place & _BIT
+                hit = np.flatnonzero((self.data[base + (bit >> _THREE).astype(np.int64)] >> (_SEVEN - (bit & _SEVEN)).astype(np.uint8)) & 1)
+                if len(hit) < len(live):
+                    live, keys, base, place, step = live[hit], keys[hit], base[hit], place[hit], step[hit]
+                place = place + step
+            if not len(live):
+                break
             found[live] = q
-            q += 1
         return found
 
 
