@@ -46,7 +46,7 @@ class MinMaxConfig:
     permutations: int = 128
     rows: int = 6
     margin: float = 0.15
-    block: int = 512
+    block: int = 256
     block_shingles: int = 4_000_000
     broadcast_rows: int = 1_000_000
 

@@ -59,7 +59,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
 
 
-@pytest.mark.parametrize("block", [512, 4])
+@pytest.mark.parametrize("block", [256, 4])
 def test_minmax_components(spark, block):
     rows = corpus()
     got = {r.doc_id: r for r in minhash.near_duplicates(spark, frame(spark, rows), minhash.MinMaxConfig(shingle=4, block=block)).collect()}
