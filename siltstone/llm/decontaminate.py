@@ -36,7 +36,7 @@ FUNCTION_WORDS = (
     "The|An|And|But|Or|Nor|So|Yet|If|Then|Than|When|While|Where|Who|Whom|Whose|Which|What|Why|How|That|This|These|Those|There|Here|He|She|It|We|You|They|His|Her|Its|Our|Your|Their|My|"
     "Is|Are|Was|Were|Be|Am|Do|Does|Did|Has|Have|Had|Can|Could|Will|Would|Shall|Should|May|Might|Must|Not|No|Of|In|On|At|By|For|From|With|To|As|After|Before|During|Each|Every|All|Some|Any|Both|One|Now|Also"
 )
-_NAME = rf"(?:\p{{Lu}}(?<=[\p{{Ll}},;:] .)\p{{L}}+|(?<!\p{{L}})(?!(?:{FUNCTION_WORDS})(?!\p{{L}}))\p{{Lu}}\p{{L}}+)(?: \p{{Lu}}\p{{L}}+)*"
+_NAME = rf"(?=\p{{Lu}})(?:.(?<=[\p{{Ll}},;:] .)\p{{L}}+|(?<!\p{{L}})(?!(?:{FUNCTION_WORDS})(?!\p{{L}})).\p{{L}}+)(?: \p{{Lu}}\p{{L}}+)*"
 _NUMBER = r"\d+(?:[.,:/]\d+)*"
 _UNIT = rf"(?<={NUMBER}) ?(?:{UNITS})(?!\p{{L}})"
 _SEPARATORS = r"[^\p{L}\p{M}\p{Nd}⟦⟧]+"
@@ -85,20 +85,35 @@ def _hashed(rows: DataFrame, ids: list[str]) -> DataFrame:
     return rows.select(*ids, *(F.transform(template_words(F.col("text"), names), lambda w: F.xxhash64(w)).alias(f"w{form}") for form, names in FORMS))
 
 
-def _spread(words: DataFrame, ids: list[str], sizes) -> DataFrame:
-    """(ids, form, pos, h) for every window of each of ``sizes`` words; one row of nulls where there is none.
+def _window_hash(form: int, words: Column, at: Column, size: int) -> Column:
+    """The hash of ``size`` words from ``at`` on; single words cost less to read than a slice."""
+    return F.xxhash64(F.lit(form), *(F.get(words, at + k) for k in range(size)))
+
+
+def _spread(words: DataFrame, ids: list[str], sizes: list[int]) -> DataFrame:
+    """(ids, n1, n2, pos, h): windows of each of ``sizes`` words, numbered through all forms and sizes; one row of nulls where there is none.
 
     No filter stands on the words and the generator is an outer one: Spark would copy the whole chain of expressions
     into each filter that it pushes down or infers.
     """
 
-    def windows(form: int, size) -> Column:
+    def windows(form: int, size: int) -> Column:
         column = F.col(f"w{form}")
-        made = F.transform(F.sequence(F.lit(1), F.size(column) - size + 1), lambda i: F.struct(F.lit(form).alias("form"), (i - 1).alias("pos"), F.xxhash64(F.lit(form), F.slice(column, i, size)).alias("h")))
-        return F.when(F.size(column) >= size, made).otherwise(F.array().cast("array<struct<form:int,pos:int,h:bigint>>"))
+        made = F.transform(F.sequence(F.lit(0), F.size(column) - size), lambda i: _window_hash(form, column, i, size))
+        return F.when(F.size(column) >= size, made).otherwise(F.array().cast("array<bigint>"))
 
     every = F.concat(*(windows(form, size) for form, _ in FORMS for size in sizes))
-    return words.select(*ids, F.explode_outer(every).alias("w")).select(*ids, "w.form", "w.pos", "w.h")
+    return words.select(*ids, F.size("w1").alias("n1"), F.size("w2").alias("n2"), every.alias("hs")).select(*ids, "n1", "n2", F.posexplode_outer("hs").alias("pos", "h"))
+
+
+def _place(sizes: list[int]) -> Column:
+    """The place in its text of window ``pos`` of ``_spread``, given the item's ``form`` and ``size``."""
+    before, out = F.lit(0), F.lit(None).cast("int")
+    for form, _ in FORMS:
+        for size in sizes:
+            out = F.when((F.col("form") == form) & (F.col("size") == size), F.col("pos") - before).otherwise(out)
+            before = before + F.greatest(F.col(f"n{form}") - (size - 1), F.lit(0))
+    return out
 
 
 def _item_windows(items: DataFrame, cfg: DecontaminationConfig) -> DataFrame:
@@ -109,10 +124,11 @@ def _item_windows(items: DataFrame, cfg: DecontaminationConfig) -> DataFrame:
         column = F.col(f"w{form}")
         size = F.least(F.lit(cfg.window), F.size(column))
         slots = F.transform(F.array(*(F.lit(x) for x in (NAME, NUMBER, UNIT))), lambda x: F.xxhash64(x))
-        made = F.transform(F.sequence(F.lit(1), F.size(column) - size + 1), lambda i: F.struct((i - 1).alias("item_pos"), F.slice(column, i, size).alias("words")))  # noqa: B023
+        made = F.transform(F.sequence(F.lit(0), F.size(column) - size), lambda i: F.struct(i.alias("item_pos"), F.slice(column, i + 1, size).alias("words")))  # noqa: B023
         rows = words.where(F.size(column) >= cfg.shortest).select("item_id", F.lit(form).alias("form"), size.alias("size"), F.explode(made).alias("w"))
         rows = rows.where(F.size(F.array_except("w.words", slots)) > 0)
-        parts.append(rows.select("item_id", "form", "w.item_pos", "size", F.xxhash64(F.lit(form), F.col("w.words")).alias("h")))
+        hashes = [F.when(F.col("size") == k, _window_hash(form, F.col("w.words"), F.lit(0), k)) for k in range(1, cfg.window + 1)]
+        parts.append(rows.select("item_id", "form", "w.item_pos", "size", F.coalesce(*hashes).alias("h")))
     return parts[0].unionByName(parts[1])
 
 
@@ -151,8 +167,8 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg:
     item_windows = ws.save(_item_windows(items, cfg), "windows")
     few = item_windows.count() <= cfg.broadcast_windows
     sizes = sorted(r[0] for r in item_windows.select("size").distinct().collect())  # window sizes: at most cfg.window numbers
-    probe = F.broadcast(item_windows.drop("size")) if few else item_windows.drop("size")
-    found = _spread(_hashed(docs.where("doc_id is not null"), ["doc_id"]), ["doc_id"], sizes or [cfg.window]).join(probe, ["form", "h"])
+    probe = F.broadcast(item_windows) if few else item_windows
+    found = _spread(_hashed(docs.where("doc_id is not null"), ["doc_id"]), ["doc_id"], sizes or [cfg.window]).join(probe, "h").withColumn("pos", _place(sizes or [cfg.window]))
     pair = ["doc_id", "item_id", "form"]
     shifts = found.groupBy(*pair, (F.col("pos") - F.col("item_pos")).alias("shift")).agg(F.collect_set("item_pos").alias("at"))
     totals = item_windows.groupBy("item_id", "form").agg(F.countDistinct("item_pos").alias("windows"), F.max("size").alias("size"))
