@@ -287,13 +287,3 @@ def cut_at_stop(text: Column, stops: tuple[str, ...]) -> Column:
     for stop in reversed(stops):
         out = F.when(F.contains(text, F.lit(stop)), F.substring_index(text, stop, 1)).otherwise(out)
     return out
-
-
-def split_reasoning(text: Column, start: str = "<think>", end: str = "</think>") -> Column:
-    """(reasoning, content): what stands between the tags, and what follows; without an end tag all the rest is reasoning."""
-    after = F.substring(text, F.instr(text, start) + len(start), F.length(text))
-    has, closed = F.contains(text, F.lit(start)), F.contains(text, F.lit(end))
-    return F.struct(
-        F.when(has, strip(F.substring_index(after, end, 1))).alias("reasoning"),
-        F.when(~has, text).when(closed, strip(F.substring(after, F.instr(after, end) + len(end), F.length(after)))).otherwise(F.lit("")).alias("content"),
-    )

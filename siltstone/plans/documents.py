@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.functions import sentences as S
 from siltstone.functions import text as T
+from siltstone.operators.retrieval import merge_passages, page_of
 from siltstone.plans import query
 
 _CHUNKS = "WITH c AS (SELECT doc_id, (n.i)::INT AS chunk, substr(text, n.i * 700 + 1, 700) AS chunk_text FROM documents, LATERAL (SELECT unnest(range(0, (length(text) + 699) // 700)) AS i) n) "
@@ -44,20 +46,26 @@ def chunk_dedup_provenance(docs):
     return chunks(docs).groupBy(F.md5("chunk_text").alias("digest")).agg(F.count("*").alias("occurrences"), F.min("doc_id").alias("first_doc"))
 
 
+_HITS = "SELECT doc_id, n.i * 200 AS start, least(n.i * 200 + 260, length(text)) AS stop, ((doc_id * 31 + n.i * 17) % 100) / 100.0 AS distance, text FROM documents, LATERAL (SELECT unnest(range(0, (length(text) + 199) // 200)) AS i) n WHERE (doc_id + n.i * n.i) % 3 < 2"
+
+
+def _hits(docs):
+    """Passages of 260 characters as a search might return them, with distances."""
+    i = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 200).cast("int"))).alias("i")
+    rows = docs.where(F.length("text") > 0).select("doc_id", "text", i).where((F.col("doc_id") + F.col("i") * F.col("i")) % 3 < 2)
+    start, stop = F.col("i") * 200, F.least(F.col("i") * 200 + 260, F.length("text"))
+    return rows.select("doc_id", start.alias("start"), stop.alias("stop"), F.expr("substring(text, i * 200 + 1, 260)").alias("text"), (((F.col("doc_id") * 31 + F.col("i") * 17) % 100) / 100.0).alias("distance"))
+
+
 @query(
     "documents",
-    sql="""WITH s AS (SELECT doc_id % 100 AS grp, n_chars * 7 % 20000 AS a, n_chars * 7 % 20000 + 150 AS b, doc_id FROM documents),
-o AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY grp ORDER BY a, b, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM s),
-i AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY grp ORDER BY a, b, doc_id ROWS UNBOUNDED PRECEDING) AS island FROM o)
-SELECT grp, min(a) AS start, max(b) AS stop, count(*) AS members FROM i GROUP BY grp, island""",
+    sql=f"""WITH s AS ({_HITS}), o AS (SELECT *, coalesce(start > max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM s),
+i AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS island FROM o)
+SELECT doc_id, min(start)::INT AS start, max(stop)::INT AS stop, count(*)::INT AS members, round(min(distance), 6) AS distance, md5(substr(any_value(text), min(start) + 1, max(stop) - min(start))) AS digest FROM i GROUP BY doc_id, island""",
 )
 def interval_merge(docs):
-    """Overlapping or touching intervals of a group become one."""
-    s = docs.select((F.col("doc_id") % 100).alias("grp"), (F.col("n_chars") * 7 % 20000).alias("a"), (F.col("n_chars") * 7 % 20000 + 150).alias("b"), "doc_id")
-    w = Window.partitionBy("grp").orderBy("a", "b", "doc_id")
-    fresh = F.coalesce(F.col("a") > F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)).cast("int")
-    i = s.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return i.groupBy("grp", "island").agg(F.min("a").alias("start"), F.max("b").alias("stop"), F.count("*").alias("members")).drop("island")
+    """Overlapping or touching passages of a document become one: stitched text and the least distance."""
+    return merge_passages(_hits(docs), ["doc_id"], "min").select("doc_id", "start", "stop", "members", F.round("distance", 6).alias("distance"), F.md5("text").alias("digest"))
 
 
 @query(
@@ -74,22 +82,31 @@ def token_budget(docs):
     return r.where("used < 4000").select("context", "doc_id", F.least("tokens", 4000 - F.col("used")).alias("taken"))
 
 
-@query(
-    "documents",
-    sql="""SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{M}\\p{Pc}]+|[^\\p{L}\\p{N}\\p{M}\\p{Pc}]+'),
-lambda p: CASE WHEN regexp_full_match(p, '[A-Z][A-Z0-9_]+') THEN p ELSE lower(p) END), '')) AS digest FROM documents""",
-)
+_PARTS = "regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+')"
+
+
+@query("documents", sql=f"SELECT doc_id, md5(array_to_string(list_transform({_PARTS}, lambda p: CASE WHEN regexp_full_match(p, '[A-Z_]+') THEN p ELSE lower(p) END), '')) AS digest FROM documents")
 def smart_lower(docs):
-    """Lower case but for words of capitals."""
+    """Lower case but for words of capitals and underscores."""
     return docs.select("doc_id", F.md5(T.smart_lower(F.col("text"))).alias("digest"))
 
 
-@query("documents", sql="SELECT doc_id, md5(translate(text, '0123456789', 'ABCDEFGHIJ')) AS digest FROM documents")
+@query("documents", sql=f"SELECT doc_id, md5(array_to_string(list_transform({_PARTS}, lambda p: CASE WHEN regexp_full_match(p, '[0-9]+') THEN translate(p, '0123456789', 'ABCDEFGHIJ') ELSE p END), '')) AS digest FROM documents")
 def num_to_char(docs):
-    """Digits as letters."""
+    """Words of digits as letters."""
     return docs.select("doc_id", F.md5(T.digits_to_letters(F.col("text"))).alias("digest"))
 
 
+@query(
+    "documents",
+    sql=f"""SELECT doc_id, md5(array_to_string(list_transform({_PARTS}, lambda p: CASE WHEN regexp_full_match(p, '[0-9]{{2,}}')
+THEN array_to_string(list_transform(string_split(translate(p, '0123456789', 'ABCDEFGHIJ'), ''), lambda c, i: repeat(c, (length(p) - i + 1)::BIGINT)), '') ELSE p END), '')) AS digest FROM documents""",
+)
+def num_to_runs(docs):
+    """Words of two digits or more as letters repeated by place."""
+    return docs.select("doc_id", F.md5(T.digits_to_runs(F.col("text"), 2)).alias("digest"))
+
+
 @query(
     "documents",
     sql="SELECT doc_id, md5(regexp_replace(translate(text, '!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), ' +', ' ', 'g')) AS digest FROM documents",
@@ -99,28 +116,84 @@ def strip_punct(docs):
     return docs.select("doc_id", F.md5(T.merge_spaces(T.strip_punctuation(F.col("text")))).alias("digest"))
 
 
-@query(
-    "documents",
-    sql="SELECT doc_id, len(w) AS words, md5(array_to_string(w, ' ')) AS digest FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '' AND x NOT IN ("
-    + ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-    + ")) AS w FROM documents)",
-)
+_STOPS = ", ".join("'" + w.replace("'", "''") + "'" for w in T.STOP_WORDS)
+
+
+@query("documents", sql=f"SELECT doc_id, md5(array_to_string(list_filter({_PARTS}, lambda x: x NOT IN ({_STOPS})), '')) AS digest FROM documents")
 def stopwords(docs):
-    """Without function words."""
-    return docs.select("doc_id", F.filter(T.word_tokens(F.col("text")), lambda w: ~w.isin(*T.STOP_WORDS)).alias("w")).select("doc_id", F.size("w").cast("long").alias("words"), F.md5(F.array_join("w", " ")).alias("digest"))
+    """Without function words; what stands between words stays."""
+    return docs.select("doc_id", F.md5(T.remove_stop_words(F.col("text"))).alias("digest"))
 
 
-@query(
-    "documents",
-    sql="""SELECT doc_id, md5(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '^' || chr(65279), ''),
-'\\r\\n?', chr(10), 'g'), '[' || chr(8233) || '\\f]', chr(10) || chr(10), 'g'), chr(8232), chr(10)), chr(173) || '\\n?', '', 'g'), '[ \\t' || chr(160) || ']+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'),
-'\\n{2,}', chr(8233), 'g'), chr(10), ' '), chr(8233), chr(10) || chr(10))) AS digest FROM documents""",
-)
+_BLANK = "[ \\t\\x0B\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]"
+_JOIN = "[\\p{L}\\p{Nl}\\p{No}]"
+
+
+def _unwrapped_sql(scanned: bool) -> str:
+    """All passes but the last, paragraph ends as chr(8233); the passes without look-around: wraps are replaced twice, as a letter may stand between two of them."""
+    x = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^\\x{FEFF}', ''), '\\r\\n?', chr(10), 'g'), '[\\x{2029}\\f]', chr(10) || chr(10), 'g'), '\\x{2028}', chr(10), 'g')"
+    wrap = lambda x, mark: f"regexp_replace(regexp_replace({x}, '({_JOIN}){mark}{_BLANK}*\\n{_BLANK}*({_JOIN})', '\\1\\2', 'g'), '({_JOIN}){mark}{_BLANK}*\\n{_BLANK}*({_JOIN})', '\\1\\2', 'g')"
+    if scanned:
+        x = f"regexp_replace({x}, '(?im)^{_BLANK}*(?:[0-9]+|(?:page|chapter){_BLANK}+(?:[0-9]+|[ivxlcdm]+)){_BLANK}*(?:\\n|\\z)', '', 'g')"
+    x = f"replace({wrap(x, '\\x{AD}')}, chr(173), '')"
+    x = wrap(wrap(x, "\\x{AC}"), "-") if scanned else x
+    return f"regexp_replace(regexp_replace({x}, '{_BLANK}+', ' ', 'g'), ' *\\n(?: *\\n)+ *', chr(8233), 'g')"
+
+
+def _clean_sql(scanned: bool) -> str:
+    x = _unwrapped_sql(scanned)
+    return f"SELECT doc_id, md5(replace(regexp_replace({x}, ' *\\n *', ' ', 'g'), chr(8233), chr(10) || chr(10))) AS digest FROM documents"
+
+
+@query("documents", sql=_clean_sql(False))
 def clean_conservative(docs):
     """The conservative clean-up."""
     return docs.select("doc_id", F.md5(T.clean(F.col("text"))).alias("digest"))
 
 
+@query("documents", sql=_clean_sql(True))
+def clean_scanned(docs):
+    """The clean-up of scanned books, hyphens at line ends joined."""
+    return docs.select("doc_id", F.md5(T.clean(F.col("text"), True, "scanned_book")).alias("digest"))
+
+
+@query("documents", sql=_clean_sql(False))
+def clean_with_offsets(docs):
+    """The text of the clean-up that also keeps offsets and counts."""
+    return docs.select("doc_id", F.md5(T.clean_report(F.col("text")).text).alias("digest"))
+
+
+@query("documents", sql=f"SELECT 'line_wraps' AS kind, sum(n)::BIGINT AS changes, count_if(n > 0)::BIGINT AS files FROM (SELECT len(regexp_extract_all({_unwrapped_sql(False)}, ' *\\n *')) AS n FROM documents)")
+def cleanup_totals(docs):
+    """How often wrapped lines were joined, and in how many texts."""
+    kinds = docs.select(F.explode(T.clean_report(F.col("text")).counts).alias("kind", "n"))
+    return kinds.where("kind = 'line_wraps'").groupBy("kind").agg(F.sum("n").alias("changes"), F.count("*").alias("files"))
+
+
+@query("documents")
+def cleanup_samples(docs):
+    """All kinds of clean-up of scanned texts: changes, texts, and the sample of the smallest doc_id."""
+    r = docs.select("doc_id", T.clean_report(F.col("text"), "scanned_book").alias("r"))
+    totals = r.select(F.explode("r.counts").alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("changes"), F.count("*").alias("files"))
+    first = r.select("doc_id", F.inline("r.snippets")).groupBy("kind").agg(F.min(F.struct("doc_id", "before", "after")).alias("f"))
+    return totals.join(first, "kind").select("kind", "changes", "files", F.col("f.doc_id").alias("first_doc"), "f.before", "f.after")
+
+
+_WORDS = "SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS t FROM documents"
+
+
+@query(
+    "documents",
+    sql=f"""WITH l AS ({_WORDS}), f AS (SELECT [CASE WHEN contains(t, chr(65533)) THEN 'replacement_character' END, CASE WHEN regexp_matches(t, '[\\x00-\\x08\\x0E-\\x1B\\x7F-\\x{{84}}\\x{{86}}-\\x{{9F}}]') THEN 'control_character' END,
+CASE WHEN regexp_matches(t, '\\pP') AND NOT regexp_matches(t, '[^\\pP \\t\\n\\x0B\\f\\r\\x{{85}}\\p{{Z}}]') THEN 'punctuation_fragment' END] AS flags FROM l)
+SELECT flag, count(*) AS words FROM (SELECT unnest(list_filter(flags, lambda x: x IS NOT NULL)) AS flag FROM f) GROUP BY flag""",
+)
+def word_flags(docs):
+    """How many runs between white space carry each flag of damage."""
+    words = docs.select(F.explode(T.word_tokens(F.col("text"))).alias("t"))
+    return words.select(F.explode(S.damage_flags(F.col("t"))).alias("flag")).groupBy("flag").agg(F.count("*").alias("words"))
+
+
 @query(
     "documents",
     sql="SELECT doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) AS letters, len(regexp_extract_all(text, '[\\p{L}\\p{M}\\p{N}]+')) AS words FROM documents",
@@ -147,11 +220,16 @@ def url_safe_predicate(pages):
     return pages.select("page_id", F.col("url").rlike(r"^https?://[^/\\@]+(/|$)").alias("allowed"))
 
 
-@query(
-    "documents",
-    sql="SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY lpad(regexp_extract(source, '[0-9]+'), 20, '0'), doc_id))::INT AS position FROM documents QUALIFY position BETWEEN 11 AND 20",
-)
-def paginate(docs):
-    """The second page of ten of each source."""
-    w = Window.partitionBy("source").orderBy(T.natural_key(F.col("source")), "doc_id")
-    return docs.select("doc_id", F.row_number().over(w).alias("position")).where("position between 11 and 20")
+_NATURAL = "array_to_string(list_transform(regexp_extract_all(lower({}), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '')"
+
+
+@query("pages", sql=f"SELECT page_id FROM pages ORDER BY {_NATURAL.format('url')}, page_id LIMIT 10 OFFSET ((least(3, (SELECT (count(*) + 9) // 10 FROM pages)) - 1) * 10)")
+def paginate(pages):
+    """The third page of ten by natural order of the address."""
+    return page_of(pages, [T.natural_key(F.col("url")), "page_id"], 3, 10).select("page_id")
+
+
+@query("pages", sql=f"SELECT page_id FROM pages ORDER BY {_NATURAL.format('url')}, page_id LIMIT 7 OFFSET (((SELECT (count(*) + 6) // 7 FROM pages) - 1) * 7)")
+def paginate_clamped(pages):
+    """A page beyond the end is the last one."""
+    return page_of(pages, [T.natural_key(F.col("url")), "page_id"], 1_000_000, 7).select("page_id")

@@ -9,16 +9,21 @@ from siltstone.functions.text import natural_key
 from siltstone.plans import query
 
 
-@query("part", sql="SELECT p_partkey, (dense_rank() OVER (PARTITION BY p_size ORDER BY array_to_string(list_transform(regexp_extract_all(lower(p_brand), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '')))::INT AS place FROM part")
-def natural_sort(part):
-    """Places of brands by natural order within a size."""
-    return part.select("p_partkey", F.dense_rank().over(Window.partitionBy("p_size").orderBy(natural_key(F.col("p_brand")))).alias("place"))
+@query("orders", sql="SELECT o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY array_to_string(list_transform(regexp_extract_all(lower(o_orderstatus || o_orderkey), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '')))::INT AS place FROM orders")
+def natural_sort(orders):
+    """Places of a customer's orders by natural order of status and number."""
+    return orders.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(natural_key(F.concat("o_orderstatus", F.col("o_orderkey").cast("string"))))).alias("place"))
 
 
-@query("orders", "customer", sql="SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def eval_already_done(orders, customer):
-    """What no entry of a log covers."""
-    return customer.join(orders, customer.c_custkey == orders.o_custkey, "left_anti").select("c_custkey")
+_RUN = "o_custkey % 10 AS a, o_orderstatus AS b, o_orderpriority AS c, floor(o_totalprice / 50000)::INT AS d"
+
+
+@query("orders", sql=f"WITH r AS (SELECT o_orderkey, {_RUN} FROM orders) SELECT o_orderkey, EXISTS (SELECT 1 FROM r l WHERE l.o_orderkey % 4 = 0 AND (l.a, l.b, l.c, l.d) = (r.a, r.b, r.c, r.d)) AS done FROM r WHERE o_orderkey % 4 = 1")
+def eval_already_done(orders):
+    """Which runs a log covers, by four columns."""
+    r = orders.select("o_orderkey", (F.col("o_custkey") % 10).alias("a"), F.col("o_orderstatus").alias("b"), F.col("o_orderpriority").alias("c"), F.floor(F.col("o_totalprice") / 50000).cast("int").alias("d"))
+    log = r.where("o_orderkey % 4 = 0").select("a", "b", "c", "d").distinct().withColumn("_done", F.lit(True))
+    return r.where("o_orderkey % 4 = 1").join(log, ["a", "b", "c", "d"], "left").select("o_orderkey", F.coalesce("_done", F.lit(False)).alias("done"))
 
 
 @query("orders", sql="SELECT a.o_orderkey AS before, b.o_orderkey AS after, a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus AS same FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey + 1")

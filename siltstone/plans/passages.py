@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import sentences as S
-from siltstone.functions.tools import tool_calls
+from siltstone.functions.tools import held_back, tool_calls
 from siltstone.operators import passages as P
 from siltstone.plans import query
 
@@ -51,11 +51,29 @@ def near_dup_suppress(docs):
     return g.select("doc_id", "digest", F.explode(P.keep_apart(F.col("starts"), 500)).alias("start"))
 
 
-@query("conversations", sql="""SELECT conv_id, turn, 0 AS call, 'lookup' AS name, '{"turn": ' || turn || '}' AS arguments FROM conversations""")
+#: One call of a tool with one argument, in each format; % is the argument.
+_WRITTEN = (
+    '<tool_call>{"name": "lookup", "parameters": {"turn": %}}</tool_call>', "<｜tool▁calls▁begin｜><｜tool▁call▁begin｜>lookup<｜tool▁sep｜>{\"turn\": %}<｜tool▁call▁end｜>", "<|tool_call_begin|>functions.lookup:0<|tool_call_argument_begin|>{\"turn\": %}<|tool_call_end|>",
+    '<|start|>assistant to=functions.lookup<|channel|>commentary json<|message|>{"turn": %}', "<|tool_call>call:lookup{turn:%}<tool_call|>", '<minimax:tool_call><invoke name="lookup"><parameter name="turn">%</parameter></invoke></minimax:tool_call>',
+    "<tool_call>lookup\n<arg_key>turn</arg_key>\n<arg_value>%</arg_value>\n</tool_call>", "<tool_call><function=lookup><parameter=turn>%</parameter></function></tool_call>", '[TOOL_CALLS]lookup[ARGS]{"turn": %}', 'lookup {"turn": %}',
+    "[lookup(turn=%)]", '```json\n{"function": {"name": "lookup", "arguments": {"turn": %}}}\n```',
+)
+
+
+@query("conversations", sql="""SELECT conv_id, turn, 0 AS call, 'lookup' AS name, '{"turn": ' || turn || '}' AS arguments FROM conversations WHERE NOT contains(text, '[')""")
 def tool_calls_parse(c):
-    """Calls in messages that carry one behind them."""
-    reply = F.concat(F.coalesce("text", F.lit("")), F.lit('\n<tool_call>{"name": "lookup", "parameters": {"turn": '), F.col("turn").cast("string"), F.lit("}}</tool_call>"))
-    return c.select("conv_id", "turn", F.posexplode(tool_calls(reply, ("lookup",))).alias("call", "c")).select("conv_id", "turn", "call", "c.name", "c.arguments")
+    """Calls in messages that carry one behind them, each in one of twelve ways of writing it."""
+    ways = F.array(*map(F.lit, _WRITTEN))
+    call = F.replace(F.get(ways, ((F.col("conv_id") + F.col("turn")) % len(_WRITTEN)).cast("int")), F.lit("%"), F.col("turn").cast("string"))
+    reply = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), call)
+    return c.where(~F.contains("text", F.lit("["))).select("conv_id", "turn", F.posexplode(tool_calls(reply, ("lookup",))).alias("call", "c")).select("conv_id", "turn", "call", "c.name", "c.arguments")
+
+
+@query("conversations", sql="SELECT conv_id, turn, turn % 3 = 0 OR (turn % 3 = 1 AND conv_id % 2 = 0) AS held FROM conversations")
+def tool_stream_held(c):
+    """Whether a reply that breaks off may be a call: a whole mark, the start of one, or neither."""
+    text = F.concat(F.translate("text", "<[t{", "____"), F.when(F.col("turn") % 3 == 0, " <tool_call>{").when(F.col("turn") % 3 == 1, F.when(F.col("conv_id") % 2 == 0, " <tool_ca").otherwise(" <tool_ca.")).otherwise(" x"))
+    return c.select("conv_id", "turn", held_back(text).alias("held"))
 
 
 def _rows(column: str):
