@@ -308,3 +308,22 @@ def text_offsets(tokens: Column) -> Column:
     """Where each token's text starts in the whole."""
     lengths = F.transform(tokens, lambda t: F.length(t).cast("double"))
     return bound(running(lengths), lambda s: F.transform(s, lambda x, i: (x - F.get(lengths, i)).cast("int")))
+
+
+def mirostat(steps: Column, draws: Column, tau: float, eta: float) -> Column:
+    """The tokens drawn over an array of logit arrays, with mu carried from each to the next; it starts at twice tau."""
+    carried = F.struct(F.array().cast("array<int>").alias("tokens"), F.lit(2.0 * tau).alias("mu"))
+    both = F.arrays_zip(steps.alias("x"), draws.alias("u"))
+    step = lambda s, b: bound(mirostat_step(b.x, s.mu, tau, eta, b.u), lambda r: F.struct(F.concat(s.tokens, F.array(r.token)).alias("tokens"), r.mu.alias("mu")))
+    return F.aggregate(both, carried, step)
+
+
+def adaptive(steps: Column, draws: Column, target: float, decay: float) -> Column:
+    """The tokens drawn over an array of logit arrays, with the weighted mean of what was drawn carried on."""
+    rest = 1 - min(decay, 0.99)
+    carried = F.struct(F.array().cast("array<int>").alias("tokens"), F.lit(target / rest).alias("weighted"), F.lit(1 / rest).alias("weight"))
+    both = F.arrays_zip(steps.alias("x"), draws.alias("u"))
+    step = lambda s, b: bound(
+        adaptive_step(b.x, s.weighted, s.weight, target, decay, b.u), lambda r: F.struct(F.concat(s.tokens, F.array(r.token)).alias("tokens"), r.weighted.alias("weighted"), r.weight.alias("weight"))
+    )
+    return F.aggregate(both, carried, step)

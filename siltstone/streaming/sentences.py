@@ -10,7 +10,15 @@ from pyspark.sql import DataFrame
 from siltstone.functions.sentences import spans
 
 
+#: How long a request is remembered after its last part, so that late parts of a finished one give nothing.
+_FORGET_MS = 3_600_000
+
+
 def _step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    state.setTimeoutDuration(_FORGET_MS)
     text, done = state.get if state.exists else ("", False)
     if done:
         return
@@ -26,6 +34,6 @@ def first_sentences(parts: DataFrame) -> DataFrame:
     """(request, sentence) from a stream of (request string, ordinal long, part string, last boolean).
 
     A full stop at the end of what has come may still go on, so a sentence comes out once white space or the last part
-    has come.  The state of a request is its text so far; afterwards only a mark that it is done.
+    has come.  The state of a request is its text so far; afterwards only a mark that it is done, which an hour without parts removes.
     """
-    return parts.groupBy("request").applyInPandasWithState(_step, "request string, sentence string", "text string, done boolean", "append", "NoTimeout")
+    return parts.groupBy("request").applyInPandasWithState(_step, "request string, sentence string", "text string, done boolean", "append", "ProcessingTimeTimeout")

@@ -10,8 +10,3 @@ def one(spark, value, f):
 def test_stop(spark):
     assert one(spark, "good night\nEnd: x", lambda c: T.cut_at_stop(c, ("\nEnd:", "%%"))) == "good night"
     assert one(spark, "good night\nEn", lambda c: T.cut_at_stop(c, ("\nEnd:", "%%"))) == "good night"
-
-
-def test_reasoning(spark):
-    assert tuple(one(spark, "<think> a </think> b ", T.split_reasoning)) == ("a", "b")
-    assert tuple(one(spark, "plain", T.split_reasoning)) == (None, "plain")
