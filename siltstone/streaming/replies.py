@@ -7,7 +7,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_HOUR = 3_600_000
+
+def forgetting(forget_ms: int | None) -> str:
+    """The timeout of state: none where nothing is forgotten, as in runs over what is there, which would wait for the time to pass."""
+    return "NoTimeout" if forget_ms is None else "ProcessingTimeTimeout"
 
 
 def cut(text: str, stops: tuple[str, ...], final: bool) -> tuple[str, bool]:
@@ -19,10 +22,11 @@ def cut(text: str, stops: tuple[str, ...], final: bool) -> tuple[str, bool]:
     return (text if final or not held else text[: len(text) - held]), False
 
 
-def reply_snapshots(parts: DataFrame, stops: tuple[str, ...], forget_ms: int = _HOUR) -> DataFrame:
+def reply_snapshots(parts: DataFrame, stops: tuple[str, ...], forget_ms: int | None = None) -> DataFrame:
     """(request, text, done) from a stream of (request string, ordinal long, part string, last boolean): the text so far whenever it has grown.
 
-    A stop string, or the last part, ends a request.  Its state is its text; it's forgotten ``forget_ms`` after the last part.
+    A stop string, or the last part, ends a request.  Its state is its text, then a mark that it's done.  A stream that runs on
+    should forget a request ``forget_ms`` after its last part.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -40,12 +44,13 @@ def reply_snapshots(parts: DataFrame, stops: tuple[str, ...], forget_ms: int = _
                 shown = now
                 yield pd.DataFrame({"request": [key[0]], "text": [now], "done": [done]})
         state.update(("" if done else text, "" if done else shown, done))
-        state.setTimeoutDuration(forget_ms)
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
 
-    return parts.groupBy("request").applyInPandasWithState(step, "request string, text string, done boolean", "text string, shown string, done boolean", "append", "ProcessingTimeTimeout")
+    return parts.groupBy("request").applyInPandasWithState(step, "request string, text string, done boolean", "text string, shown string, done boolean", "append", forgetting(forget_ms))
 
 
-def token_speed(counts: DataFrame, forget_ms: int = _HOUR) -> DataFrame:
+def token_speed(counts: DataFrame, forget_ms: int | None = None) -> DataFrame:
     """(request, seconds, tokens, speed) from a stream of (request string, at double, tokens long): tokens a second since the count last fell."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -61,7 +66,8 @@ def token_speed(counts: DataFrame, forget_ms: int = _HOUR) -> DataFrame:
             out.append((key[0], seconds, made, made / seconds if seconds > 0 else 0.0))
             before = int(tokens)
         state.update((began, first, before))
-        state.setTimeoutDuration(forget_ms)
+        if forget_ms:
+            state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(out, columns=["request", "seconds", "tokens", "speed"])
 
-    return counts.groupBy("request").applyInPandasWithState(step, "request string, seconds double, tokens long, speed double", "began double, first long, before long", "append", "ProcessingTimeTimeout")
+    return counts.groupBy("request").applyInPandasWithState(step, "request string, seconds double, tokens long, speed double", "began double, first long, before long", "append", forgetting(forget_ms))

@@ -187,3 +187,17 @@ def test_streams_of_replies(spark, tmp_path):
     q = replies.token_speed(stream).writeStream.format("memory").queryName("speeds").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.speed for r in spark.table("speeds").collect()) == [0.0, 0.0, 3.0, 5.0]
+
+
+def test_streams_that_forget(spark, tmp_path):
+    from siltstone.streaming import replies
+    from siltstone.streaming.sentences import first_sentences
+
+    schema = "request string, ordinal long, part string, last boolean"
+    spark.createDataFrame([("a", 0, "One. two", True)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    for i, out in enumerate((first_sentences(stream, 60_000), replies.reply_snapshots(stream, ("!",), 60_000))):
+        q = out.writeStream.format("memory").queryName(f"forgets{i}").option("checkpointLocation", str(tmp_path / f"ck{i}")).start()
+        q.awaitTermination(8)  # with a timeout of state it never runs out of batches
+        q.stop()
+        assert spark.table(f"forgets{i}").count() == 1
