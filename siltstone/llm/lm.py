@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.labelled import fold
 from siltstone.llm.storage import Workspace
+from siltstone.llm.streams import trimmed
 from siltstone.llm.words import hash_words, mix64, text_blocks
 
 
@@ -362,7 +363,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, learn: Column, cfg: BloomC
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; learns from rows where ``learn``."""
     ws = Workspace(spark, "lm")
     learn = F.coalesce(learn, F.lit(False))
-    counts = docs.where(learn).select("text").mapInArrow(count_batches, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
+    counts = docs.where(learn).select("text").mapInArrow(trimmed(count_batches), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
     counts = ws.save(counts, "counts")
     level = (1 + F.floor(F.log2("n"))).cast("int").alias("level")
     stats = counts.groupBy("kind", level).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
@@ -376,8 +377,8 @@ def score_texts(spark: SparkSession, docs: DataFrame, learn: Column, cfg: BloomC
     blocks = -(-entries * cfg.bits // _BLOCK_BITS)
     whole = blocks * _BLOCK_BYTES <= cfg.filter_bytes
     data = np.zeros(blocks * _BLOCK_BYTES if whole else 0, np.uint8)
-    rows = counts.mapInArrow(entry_batches(blocks), "slice long, keys binary, logs binary").repartition("slice").sortWithinPartitions("slice")
-    bloom = rows.mapInArrow(filter_batches(blocks, cfg.probes), "block long, bits binary")
+    rows = counts.mapInArrow(trimmed(entry_batches(blocks)), "slice long, keys binary, logs binary").repartition("slice").sortWithinPartitions("slice")
+    bloom = rows.mapInArrow(trimmed(filter_batches(blocks, cfg.probes)), "block long, bits binary")
     if not whole:
         bloom = ws.save(bloom, "filter")
     elif blocks:

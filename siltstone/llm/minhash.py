@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.graph import connected_components
 from siltstone.llm.storage import Workspace
-from siltstone.llm.streams import groups
+from siltstone.llm.streams import groups, trimmed
 from siltstone.llm.words import hash_words, mix64, shingle_hashes, text_blocks
 
 
@@ -219,14 +219,14 @@ def link_batches(threshold: int):
 
 
 def _in_tasks(rows: DataFrame, key: str, fn, schema: str) -> DataFrame:
-    return rows.repartition(key).sortWithinPartitions(key, "rep").mapInArrow(fn, schema)
+    return rows.repartition(key).sortWithinPartitions(key, "rep").mapInArrow(trimmed(fn), schema)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: MinMaxConfig = MinMaxConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     ws = Workspace(spark, "minmax")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = ws.save(texts.mapInArrow(sketch_batches(cfg), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, bands array<long>"), "sketches")
+    sketches = ws.save(texts.mapInArrow(trimmed(sketch_batches(cfg)), "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, bands array<long>"), "sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     classes = ws.save(classes, "classes")
@@ -248,7 +248,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, cfg: MinMaxConfig = Mi
     placed = ws.save(placed.join(shape, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks"))), "placed")
     bounded = placed.count() <= cfg.broadcast_rows
     chosen = texts.join(F.broadcast(placed.select("rep")) if bounded else placed.select("rep"), F.col("doc_id") == F.col("rep"), "left_semi")
-    sets = ws.save(chosen.mapInArrow(set_batches(cfg.shingle), "rep long, shingles binary").join(placed, "rep"), "sets")
+    sets = ws.save(chosen.mapInArrow(trimmed(set_batches(cfg.shingle)), "rep long, shingles binary").join(placed, "rep"), "sets")
 
     hub = F.col("rep") == F.col("cluster")
     blocks = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.llm.streams import trimmed
 from siltstone.llm.words import SPACE, hash_chunks, text_blocks
 
 
@@ -252,10 +253,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pack_documents(docs: DataFrame, cfg: PackConfig = PackConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = rows.mapInArrow(piece_batches(cfg), PIECES)
+    pieces = rows.mapInArrow(trimmed(piece_batches(cfg)), PIECES)
     order = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = pieces.repartition(order).sortWithinPartitions(order, "doc_id", "piece", "start")
-    return dealt.mapInArrow(pack_batches(cfg), f"{PIECES}, sequence_id long, offset long")
+    return dealt.mapInArrow(trimmed(pack_batches(cfg)), f"{PIECES}, sequence_id long, offset long")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.labelled import fold, labelled_sample
 from siltstone.llm.storage import Workspace
+from siltstone.llm.streams import trimmed
 from siltstone.llm.words import hash_ranges, lower_hash_table, mix64, text_blocks
 
 
@@ -220,13 +221,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, cfg: ToxicityConfig
     """Fits on at most ``cfg.sample`` labelled rows for which the column ``learn`` over ``labels`` holds."""
     ws = Workspace(docs.sparkSession, "toxicity")
     rows = labelled_sample(docs, labels, "toxic", learn, cfg.sample).select("label", "text")
-    features = ws.save(rows.mapInArrow(sample_batches(cfg), "label int, features binary"), "features")
+    features = ws.save(rows.mapInArrow(trimmed(sample_batches(cfg)), "label int, features binary"), "features")
     sizes = {r.label: r["count"] for r in features.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     prior = (toxic + 0.5) / (toxic + clean + 1)
     keys = np.zeros(0, np.uint64)
     if toxic and clean:
-        counts = features.mapInArrow(count_batches, "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
+        counts = features.mapInArrow(trimmed(count_batches), "h long, t long, c long").groupBy("h").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
         counts = counts.where((F.col("t") >= cfg.least(toxic)) & (F.col("t") >= cfg.precision * (F.col("t") + F.col("c"))))
         known = counts.select("h").toArrow()["h"].to_numpy().view(np.uint64)
         found = features.mapInArrow(keep_batches(np.sort(known)), "label int, features binary").toArrow().to_pylist()
@@ -277,7 +278,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, cfg: ToxicityConfig =
         raise ValueError("the columns to keep may not be named score or _text")
     rows = docs.select(*keep, F.col(text_col).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(score_batches(model, cfg, len(keep)), f"{kept}, score double").drop("_text")
+    return rows.mapInArrow(trimmed(score_batches(model, cfg, len(keep))), f"{kept}, score double").drop("_text")
 
 
 def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
