@@ -179,18 +179,18 @@ def cleanup_samples(docs):
     return totals.join(first, "kind").select("kind", "changes", "files", F.col("f.doc_id").alias("first_doc"), "f.before", "f.after")
 
 
-_WORDS = "SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS t FROM documents"
+_ENDS = "SELECT doc_id, unnest(list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''), lambda w: right(w, 1))) AS t FROM documents"
 
 
 @query(
     "documents",
-    sql=f"""WITH l AS ({_WORDS}), f AS (SELECT [CASE WHEN contains(t, chr(65533)) THEN 'replacement_character' END, CASE WHEN regexp_matches(t, '[\\x00-\\x08\\x0E-\\x1B\\x7F-\\x{{84}}\\x{{86}}-\\x{{9F}}]') THEN 'control_character' END,
+    sql=f"""WITH l AS ({_ENDS}), f AS (SELECT [CASE WHEN contains(t, chr(65533)) THEN 'replacement_character' END, CASE WHEN regexp_matches(t, '[\\x00-\\x08\\x0E-\\x1B\\x7F-\\x{{84}}\\x{{86}}-\\x{{9F}}]') THEN 'control_character' END,
 CASE WHEN regexp_matches(t, '\\pP') AND NOT regexp_matches(t, '[^\\pP \\t\\n\\x0B\\f\\r\\x{{85}}\\p{{Z}}]') THEN 'punctuation_fragment' END] AS flags FROM l)
 SELECT flag, count(*) AS words FROM (SELECT unnest(list_filter(flags, lambda x: x IS NOT NULL)) AS flag FROM f) GROUP BY flag""",
 )
 def word_flags(docs):
-    """How many runs between white space carry each flag of damage."""
-    words = docs.select(F.explode(T.word_tokens(F.col("text"))).alias("t"))
+    """How many last characters of the runs between white space carry each flag of damage."""
+    words = docs.select(F.explode(T.word_tokens(F.col("text"))).alias("t")).select(F.expr("right(t, 1)").alias("t"))
     return words.select(F.explode(S.damage_flags(F.col("t"))).alias("flag")).groupBy("flag").agg(F.count("*").alias("words"))
 
 
