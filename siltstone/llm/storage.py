@@ -1,49 +1,5 @@
-"""Tables written to the cluster's shared folder, to cut lineage and to outlive lost executors."""
+"""Tables in the cluster's shared folder, as the whole library writes them."""
 
-from __future__ import annotations
+from siltstone.sources.shared import Workspace, delete_path, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``.  Without that setting a local session, as in tests, gets a temporary one; a cluster is an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    return _LOCAL[app]
-
-
-class Workspace:
-    """Parquet tables of one operator call under the shared folder."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Writes ``df`` and reads it back: what depends on it is recomputed from the files alone."""
-        self._n += 1
-        path = f"{self.root}/{self._n:03d}-{name}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._siltstone_path = path
-        return out
-
-    def drop(self, *saved: DataFrame) -> None:
-        """Removes saved tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in saved:
-            path = jvm.org.apache.hadoop.fs.Path(df._siltstone_path)
-            path.getFileSystem(conf).delete(path, True)
+__all__ = ["Workspace", "delete_path", "shared_dir"]
