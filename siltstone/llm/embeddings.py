@@ -1,13 +1,15 @@
 """Operator 2: near-duplicate embeddings by spherical k-means cells and blocked cosines.
 
-Equal vectors of a label collapse to one, with their number.  Centroids are fitted on a bounded sample; every vector goes
-home to its nearest centroid and visits the cells whose border is near.  Two linked vectors are at most
-``sqrt(2 - 2 * threshold)`` apart, so along the line between their centroids their distances to the border add up to no more than
-that, and one of the two is within half of it: with ``sigmas`` infinite a vector visits each cell within that half, and no
-link is lost.  The default takes that the difference of two linked vectors has no preferred direction: then its part along
-one line is about normal with a deviation of the distance over the root of the dimensions, and ``sigmas`` of these are
-enough (4: fewer than 1 in 10,000 pairs at the very threshold that also lie across a border).  The half shrinks to that; far
-fewer cells are visited.  Where both of a pair visit each other's cell, each counts its own links; where one does, it counts for both.
+Equal vectors of a label collapse to one, with their number.  Every label with more vectors than a cell should hold has cells
+of its own, whose centroids are fitted on a bounded sample; a vector goes home to its nearest centroid and visits the cells of
+its label whose border is near.  Two linked vectors are at most ``sqrt(2 - 2 * threshold)`` apart, so along the line between
+their centroids their distances to the border add up to no more than that, and one of the two is within half of it: a vector
+visits each cell within that half, and no link is lost, whatever the vectors are like.  Where both of a pair visit each other's
+cell, each counts its own links; where one does, it counts for both.
+
+``sigmas`` trades that certainty for speed and is for vectors known to fill all their directions alike: the part of a
+difference along one line is then about normal with a deviation of the distance over the root of the dimensions, and the half
+shrinks to so many of these.  On vectors of low rank it loses links.
 
 Within a cell, blocks of queries meet blocks of residents in one matrix product each, in double precision; a task returns
 counts of links and a spanning forest, never all pairs.  Vectors travel in the type of their column.
@@ -19,6 +21,7 @@ their own.  An empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,10 +37,10 @@ from siltstone.llm.streams import groups
 
 @dataclass(frozen=True)
 class CellConfig:
-    """``sample`` bounds the vectors that centroids are fitted on, ``max_cells`` what is sent to every task."""
+    """``sample`` bounds the vectors that centroids are fitted on, ``max_cells`` the centroids of all labels, which are sent to every task."""
 
     threshold: float = 0.93
-    sigmas: float = 4.0
+    sigmas: float = math.inf
     sample: int = 20_000
     rows_per_cell: int = 1024
     max_cells: int = 1024
@@ -67,43 +70,50 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def assign_batches(centroids: np.ndarray, cfg: CellConfig):
+def assign_batches(centroids: dict[int, tuple[int, np.ndarray]], cfg: CellConfig):
     """A mapInArrow function: (rep, label, m, embedding) to one row for each cell that a vector lives in or visits.
 
-    ``others`` are the cells that a resident visits, as 32-bit numbers, or the home of a visitor.
+    ``centroids`` has, by label, the number of its first cell and its centroids; a label without, and a vector of another size,
+    have one cell.  ``others`` are the cells that a resident visits, as 32-bit numbers, or the home of a visitor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gap = np.linalg.norm(centroids[:, None, :] - centroids[None, :, :], axis=2) if len(centroids) else np.zeros((0, 0))
+        gaps = {label: np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) for label, (_, c) in centroids.items()}
+        known = np.array(sorted(centroids), np.int64)
         for batch in batches:
             rep, label, m = (batch.column(i).to_numpy() for i in range(3))
             vectors = batch.column(3)
             flat, at = vectors.flatten().to_numpy(zero_copy_only=False), vectors.offsets.to_numpy() - vectors.offsets[0].as_py()
             dims = np.diff(at)
+            celled = np.where(np.isin(label, known), label, -1) if len(known) else np.full(len(label), -1)
+            has = np.isin(label, known) if len(known) else np.zeros(len(label), bool)
             for dim in np.unique(dims):
-                same = np.flatnonzero(dims == dim)
-                for part in np.array_split(same, -(-len(same) // 2048)):
-                    raw = flat[at[part][:, None] + np.arange(dim)]
-                    n = len(part)
-                    if len(centroids) and centroids.shape[1] == dim:
-                        s = unit_rows(raw) @ centroids.T
-                        home = s.argmax(1)
-                        near = s[np.arange(n), home][:, None] - s <= cfg.reach(dim) * gap[home]
-                        near[np.arange(n), home] = False
-                    else:
-                        home, near = np.zeros(n, np.int64), np.zeros((n, 1), bool)
-                    row, cell = np.nonzero(near)
-                    visited = np.split(cell.astype(np.int32), np.searchsorted(row, np.arange(1, n)))
-                    who, where = np.concatenate([np.arange(n), row]), np.concatenate([home, cell])
-                    others = [v.tobytes() for v in visited] + [h.tobytes() for h in home[row].astype(np.int32)]
-                    bytes_of = [v.tobytes() for v in raw]
-                    for i in range(0, len(who), 4096):
-                        a = who[i : i + 4096]
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(label[part[a]].astype(np.int64)), pa.array(np.full(len(a), dim, np.int64)), pa.array(where[i : i + 4096].astype(np.int64)), pa.array(np.arange(i, i + len(a)) < n),
-                             pa.array(rep[part[a]]), pa.array(m[part[a]]), pa.array(others[i : i + 4096], pa.binary()), pa.array([bytes_of[k] for k in a], pa.binary())],
-                            names=["label", "dim", "cell", "home", "rep", "m", "others", "x"],
-                        )
+                for own, chosen in [(None, ~has), *((x, has & (celled == x)) for x in known[np.isin(known, celled[has])])]:
+                    same = np.flatnonzero((dims == dim) & chosen)
+                    first, c = centroids[int(own)] if own is not None else (0, np.zeros((0, 0)))
+                    for part in np.array_split(same, -(-len(same) // 2048)) if len(same) else []:
+                        raw = flat[at[part][:, None] + np.arange(dim)]
+                        n = len(part)
+                        if len(c) and c.shape[1] == dim:
+                            s = unit_rows(raw) @ c.T
+                            home = s.argmax(1)
+                            near = s[np.arange(n), home][:, None] - s <= cfg.reach(dim) * gaps[int(own)][home]
+                            near[np.arange(n), home] = False
+                        else:
+                            home, near = np.zeros(n, np.int64), np.zeros((n, 1), bool)
+                        row, cell = np.nonzero(near)
+                        home, cell = home + first, cell + first
+                        visited = np.split(cell.astype(np.int32), np.searchsorted(row, np.arange(1, n)))
+                        who, where = np.concatenate([np.arange(n), row]), np.concatenate([home, cell])
+                        others = [v.tobytes() for v in visited] + [h.tobytes() for h in home[row].astype(np.int32)]
+                        bytes_of = [v.tobytes() for v in raw]
+                        for i in range(0, len(who), 4096):
+                            a = who[i : i + 4096]
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(label[part[a]].astype(np.int64)), pa.array(np.full(len(a), dim, np.int64)), pa.array(where[i : i + 4096].astype(np.int64)), pa.array(np.arange(i, i + len(a)) < n),
+                                 pa.array(rep[part[a]]), pa.array(m[part[a]]), pa.array(others[i : i + 4096], pa.binary()), pa.array([bytes_of[k] for k in a], pa.binary())],
+                                names=["label", "dim", "cell", "home", "rep", "m", "others", "x"],
+                            )
 
     return run
 
@@ -140,9 +150,8 @@ def compare_batches(threshold: float, kind: str):
                 a, b = np.nonzero(near)
                 counts = np.bincount(a, m[r][b], len(q))
                 # a resident that doesn't visit the visitor's home has no other way to learn of the link
-                silent = np.zeros(len(a), bool)
-                for k in np.flatnonzero(~home[q][a]):
-                    silent[k] = others[int(q[a[k]])].as_py() not in _cells(others[int(r[b[k]])].as_py())
+                silent = ~home[q][a]
+                silent[silent] = ~_visits(others, q[a[silent]], r[b[silent]])
                 told = np.bincount(b[silent], m[q][a[silent]], len(r))
                 ids, number = np.unique(rep, return_inverse=True)
                 label = _local_components(len(ids), number[q][a], number[r][b])
@@ -156,8 +165,50 @@ def compare_batches(threshold: float, kind: str):
     return run
 
 
-def _cells(others: bytes) -> set[bytes]:
-    return {others[i : i + 4] for i in range(0, len(others), 4)}
+def _visits(others: pa.Array, visitors: np.ndarray, residents: np.ndarray) -> np.ndarray:
+    """Whether each resident visits the home of the visitor beside it; both are rows of ``others``."""
+    if not len(residents):
+        return np.zeros(0, bool)
+    rows, place = np.unique(residents, return_inverse=True)
+    lists = others.take(pa.array(rows)).to_pylist()
+    cells = np.frombuffer(b"".join(lists), np.int32).astype(np.int64)
+    there = np.repeat(np.arange(len(rows)), [len(x) // 4 for x in lists]) << 32 | cells
+    guests, which = np.unique(visitors, return_inverse=True)
+    homes = np.frombuffer(b"".join(others.take(pa.array(guests)).to_pylist()), np.int32).astype(np.int64)
+    asked = place << 32 | homes[which]
+    if not len(there):
+        return np.zeros(len(asked), bool)
+    at = np.minimum(np.searchsorted(there, asked), len(there) - 1)
+    return there[at] == asked
+
+
+def fitted_cells(classes: DataFrame, dim: int, cfg: CellConfig) -> dict[int, tuple[int, np.ndarray]]:
+    """Centroids for each label of more than ``rows_per_cell`` vectors of size ``dim``, from a sample dealt by the labels' shares.
+
+    Where ``max_cells`` is less than asked for, the largest labels come first and all have fewer.
+    """
+    own = classes.where(F.size("embedding") == dim)
+    large = own.groupBy("label").count().where(F.col("count") > cfg.rows_per_cell).orderBy(F.desc("count"), "label").limit(max(1, cfg.max_cells // 2)).collect()
+    total = sum(r["count"] for r in large)
+    if not total:
+        return {}
+    wanted = {r.label: -(-r["count"] // cfg.rows_per_cell) for r in large}
+    share = min(1.0, cfg.max_cells / sum(wanted.values()))
+    spread = own.select("label", "embedding", F.xxhash64("h1", "h2").alias("h"))
+    bound = min(1.0, cfg.sample / total)
+    # a hash below the share is a sample of about that many rows, the same at every run; the limit holds the bound itself
+    picked = spread.where(F.col("label").isin(list(wanted))).where(F.pmod("h", F.lit(1_000_000)) < math.ceil(1_000_000 * bound)).orderBy("h").limit(cfg.sample).toArrow()
+    labels, vectors = picked["label"].to_numpy(), picked["embedding"].combine_chunks()
+    x = unit_rows(vectors.flatten().to_numpy().reshape(len(vectors), -1)) if len(vectors) else np.zeros((0, dim))
+    out, first = {}, 0
+    for label, k in wanted.items():
+        mine = x[labels == label]
+        k = min(max(1, math.floor(k * share)), len(mine))
+        if k > 1:
+            c = spherical_kmeans(mine, k, cfg.rounds)
+            out[int(label)] = (first, c)
+            first += len(c)
+    return out
 
 
 def near_embeddings(spark: SparkSession, vectors: DataFrame, cfg: CellConfig = CellConfig()) -> DataFrame:
@@ -170,14 +221,8 @@ def near_embeddings(spark: SparkSession, vectors: DataFrame, cfg: CellConfig = C
     good = rows.where("ok")
     classes = ws.save(good.groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("embedding").alias("embedding")), "classes")
 
-    n = classes.count()
     dim = classes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    k = min(cfg.max_cells, -(-n // cfg.rows_per_cell)) if n else 0
-    centroids = np.zeros((0, 0))
-    if k > 1:
-        sample = classes.where(F.size("embedding") == dim.d).orderBy("h1", "h2").select("embedding").limit(cfg.sample).toArrow()["embedding"].combine_chunks()
-        x = unit_rows(sample.flatten().to_numpy().reshape(len(sample), -1))
-        centroids = spherical_kmeans(x, min(k, len(x)), cfg.rounds)
+    centroids = fitted_cells(classes, dim.d, cfg) if dim else {}
 
     placed = ws.save(classes.select("rep", "label", "m", "embedding").mapInArrow(assign_batches(centroids, cfg), "label long, dim long, cell long, home boolean, rep long, m long, others binary, x binary"), "placed")
     cell = ["label", "dim", "cell"]

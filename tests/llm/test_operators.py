@@ -129,6 +129,36 @@ def test_embedding_query_against_all_pairs(spark, kind):
     assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (links[i], want[i]) for i in links}
 
 
+@pytest.mark.parametrize("shape", ["rank 3", "rank 6", "one direction", "full"])
+def test_embedding_links_are_complete(spark, shape):
+    """No link is lost, whatever directions the vectors vary in; two labels, and one too small for cells."""
+    rng = np.random.default_rng(4)
+    n, dim = 3000, 24
+    x = {
+        "rank 3": lambda: rng.normal(size=(n, 3)) @ rng.normal(size=(3, dim)),
+        "rank 6": lambda: rng.normal(size=(n, 6)) @ rng.normal(size=(6, dim)),
+        "one direction": lambda: 0.25 * rng.normal(size=(n, dim)) + rng.normal(size=(1, dim)),
+        "full": lambda: np.repeat(rng.normal(size=(n // 4, dim)), 4, axis=0) + 0.2 * rng.normal(size=(n, dim)),
+    }[shape]()
+    x = np.float32(x)
+    label = np.where(np.arange(n) % 50 == 0, 3, np.arange(n) // (n // 2))
+    rows = [(i, [float(v) for v in e], int(k)) for i, (e, k) in enumerate(zip(x, label, strict=True))]
+    got = {r.vec_id: r for r in embeddings.near_embeddings(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), embeddings.CellConfig(rows_per_cell=70, block=256)).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = (u @ u.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    assert near.sum() > 3000 and (np.array([got[i].n_links for i in range(n)]) == near.sum(1)).all()
+    seen = np.full(n, -1)
+    for i in range(n):
+        if seen[i] < 0:
+            edge, seen[i] = [i], i
+            while edge:
+                fresh = [int(k) for k in np.flatnonzero(near[edge].any(0) & (seen < 0))]
+                seen[fresh] = i
+                edge = fresh
+    assert [got[i].component_id for i in range(n)] == seen.tolist()
+
+
 def test_embedding_empty_table(spark):
     assert embeddings.near_embeddings(spark, spark.createDataFrame([], "vec_id long, embedding array<float>, label int, n_links string")).count() == 0
 
