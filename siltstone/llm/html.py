@@ -7,9 +7,12 @@ may not.  The renderer walks the tree and emits all visible text: white space of
 of their own with a blank line around paragraphs, headings, lists, tables and quotes, list items have markers and indents,
 table cells are padded to columns under their column and row spans, and preformatted text stays as it is.
 
-Neither depth nor size of a page is limited: nothing recurses.  A null or empty page has the empty text; a null page_id stays null,
-rows with equal ids are rows of their own, an empty table gives an empty result.  Unclosed comments and tags at the end of a
-page are dropped, as browsers do.
+Neither depth nor size of a page is limited: nothing recurses, and time and output grow in proportion to the page.  For that
+an indent ends at 64 columns, cells are padded up to column 400 at most, and tables more than 8 deep in others have their
+cells side by side without columns.  A closed dialog and what a closed details element holds beside its summary don't show;
+``!important`` counts.  A null or empty page has the empty text; a null page_id stays null,
+rows with equal ids are rows of their own, an empty table gives an empty result.  Unclosed comments, tags and
+quoted values run to the end of the page and are dropped, as browsers do.
 """
 
 from __future__ import annotations
@@ -42,13 +45,15 @@ _IMPLIED = {
     "thead": ({"tr", "thead", "tbody", "tfoot", "caption"}, {"table"}), "tbody": ({"tr", "thead", "tbody", "tfoot", "caption"}, {"table"}), "tfoot": ({"tr", "thead", "tbody", "tfoot", "caption"}, {"table"}), "body": ({"head"}, set()),
 }
 _WALLS = frozenset("td th table caption button body".split())
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_DISPLAY = re.compile(r"display\s*:\s*([a-z-]+)", re.I)
-_VISIBILITY = re.compile(r"visibility\s*:\s*([a-z-]+)", re.I)
-_RULE = re.compile(r"([^{}@;]+)\{([^{}]*)\}")
+_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)(>?)", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_SAID = re.compile(r"(?<![\w-])(display|visibility)\s*+:\s*+([a-z-]+)\s*+(!\s*+important)?", re.I)
+_BRACE = re.compile("[{};]")
 _SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?", re.I)
 _BLANK = re.compile(r"[ \t\n\r\f]+")
+_INDENT, _PAD, _TABLES = 64, 400, 8
+#: Whether it was said to be important, and the value, by property.
+Said = dict[str, tuple[bool, str]]
 
 
 class Node:
@@ -75,40 +80,60 @@ class Sheet:
     """What style sheets say on display and visibility, by selector; of equal selectors the last counts."""
 
     def __init__(self) -> None:
-        self.rules: dict[tuple[str, str, str], dict[str, str]] = defaultdict(dict)
+        self.rules: dict[tuple[str, str, str], Said] = defaultdict(dict)
 
     def add(self, css: str) -> None:
+        """One pass over braces; what stands in @ blocks is left out, as media may not apply."""
         css = re.sub(r"/\*.*?(?:\*/|\Z)", "", css, flags=re.S)
-        depth, flat = 0, []
-        for part in re.split(r"(@[^{};]*[{;]|[{}])", css):  # leaves out what stands in @ blocks, media may not apply
-            if part.startswith("@"):
-                depth += part.endswith("{")
-            elif depth:
-                depth += (part == "{") - (part == "}")
-            else:
-                flat.append(part)
-        for names, body in _RULE.findall("".join(flat)):
-            said = declared(body)
-            for name in names.split(",") if said else ():
-                m = _SELECTOR.fullmatch(name.strip())
-                if m and m[0]:
-                    self.rules[(m[1] or "").lower(), m[2] or "", m[3] or ""].update(said)
-
-    def of(self, node: Node) -> dict[str, str]:
+        depth = start = opened = inner = 0
+        for m in _BRACE.finditer(css):
+            if m[0] == "{":
+                depth += 1
+                if depth == 1:
+                    opened, inner = m.start(), 0
+                elif not inner:
+                    inner = m.start()
+            elif m[0] == "}":
+                depth = max(depth - 1, 0)
+                if not depth:
+                    if opened > start:
+                        self._rule(css[start:opened], css[opened + 1 : inner or m.start()])
+                    start, opened = m.end(), 0
+            elif not depth:
+                start = m.end()
+
+    def _rule(self, names: str, body: str) -> None:
+        said = {} if names.lstrip().startswith("@") else declared(body)
+        for name in names.split(",") if said else ():
+            m = _SELECTOR.fullmatch(name.strip())
+            if m and m[0]:
+                overrule(self.rules[(m[1] or "").lower(), m[2] or "", m[3] or ""], said)
+
+    def of(self, node: Node) -> Said:
         if not self.rules:
             return {}
         classes = (node.get("class") or "").split() if "class" in node.attributes.lower() else []
         name = node.get("id") if "id" in node.attributes.lower() else None
         keys = [(node.tag, "", ""), *(("", ".", c) for c in classes), *((node.tag, ".", c) for c in classes), *([("", "#", name), (node.tag, "#", name)] if name else [])]
-        out: dict[str, str] = {}
+        out: Said = {}
         for key in keys:
-            out.update(self.rules.get(key, {}))
+            overrule(out, self.rules.get(key, {}))
         return out
 
 
-def declared(style: str) -> dict[str, str]:
-    """The last display and visibility of a list of declarations."""
-    return {k: found[-1].lower() for k, found in (("display", _DISPLAY.findall(style)), ("visibility", _VISIBILITY.findall(style))) if found}
+def overrule(said: Said, by: Said) -> None:
+    """What is said later holds, unless what was said before is important and it isn't."""
+    for k, v in by.items():
+        if v[0] or not said.get(k, (False,))[0]:
+            said[k] = v
+
+
+def declared(style: str) -> Said:
+    """The last display and visibility of a list of declarations, or the last important one."""
+    out: Said = {}
+    for k, value, important in _SAID.findall(style):
+        overrule(out, {k.lower(): (bool(important), value.lower())})
+    return out
 
 
 def apply_visibility(root: Node, sheet: Sheet) -> None:
@@ -129,12 +154,18 @@ def apply_visibility(root: Node, sheet: Sheet) -> None:
                     continue
                 said = sheet.of(child)
                 if "style" in low:
-                    said |= declared(child.get("style") or "")
-                if said.get("display") == "none":
+                    overrule(said, declared(child.get("style") or ""))
+                display, visibility = (said.get(k, (False, ""))[1] for k in ("display", "visibility"))
+                if display == "none" or (child.tag == "dialog" and not display and child.get("open") is None):
                     child.shown = False
                     continue
-                if said.get("visibility") in ("hidden", "collapse", "visible"):
-                    child.seen = said["visibility"] == "visible"
+                if visibility in ("hidden", "collapse", "visible"):
+                    child.seen = visibility == "visible"
+            elif child.tag == "dialog":
+                child.shown = False
+                continue
+            if child.tag == "details" and child.get("open") is None:
+                child.children = [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]
             todo.append(child)
 
 
@@ -169,6 +200,8 @@ def build_tree(page: str) -> Node:
         at = m.end()
         if m[2] is None:
             continue
+        if not m[4]:
+            break
         tag = m[2].lower()
         if foreign and tag in SVG and place["svg"]:
             tag = f"svg:{tag}"
@@ -222,7 +255,9 @@ def finish(walk: Iterator) -> None:
 class Renderer:
     """Lines of text; ``gap`` is how many line ends must stand before the next word."""
 
-    def __init__(self) -> None:
+    def __init__(self, tables: int = 0) -> None:
+        """``tables`` is the number of tables around."""
+        self.tables = tables
         self.parts: list[str] = []
         self.gap = 0
         self.space = False
@@ -285,7 +320,7 @@ class Renderer:
                 self.need(2 if tag == "pre" else 1)
             elif tag == "table":
                 self.need(2)
-                yield self.table(child)
+                yield self.table(child) if self.tables < _TABLES else self.render(child)
                 self.need(2)
             elif tag == "li":
                 if node.tag == "ol":
@@ -309,15 +344,16 @@ class Renderer:
 
     def nested(self, node: Node, indent: str, lines: int) -> Iterator:
         self.need(lines)
-        self.indent += indent
+        before = self.indent
+        self.indent = (before + indent)[:_INDENT]
         yield self.render(node)
-        self.indent = self.indent[: -len(indent)]
+        self.indent = before
         self.need(lines)
 
     def item(self, node: Node, marker: str) -> Iterator:
         self.need(1)
         before = self.indent, self.marker
-        self.indent, self.marker = self.indent + " " * len(marker), marker if node.seen else ""
+        self.indent, self.marker = (self.indent + " " * len(marker))[: max(_INDENT, len(marker))], marker if node.seen else ""
         yield self.render(node)
         self.indent, self.marker = before
         self.need(1)
@@ -325,26 +361,23 @@ class Renderer:
     def table(self, node: Node) -> Iterator:
         """Rows of cells: each cell is its first column, its number of columns and its lines."""
         rows: list[list[tuple[int, int, list[str]]]] = []
-        taken: dict[int, int] = {}
+        taken: list[tuple[int, int, int]] = []  # from column, to column, for so many rows more; by column
 
         def add_row(cells: list[Node]) -> Iterator:
-            row, column, below = [], 0, {}
+            row, column, below, over = [], 0, [], 0
             for cell in cells:
-                inner = Renderer()
+                inner = Renderer(self.tables + 1)
                 yield inner.render(cell)
-                while taken.get(column, 0):
-                    column += 1
+                while over < len(taken) and taken[over][0] <= column:
+                    column = max(column, taken[over][1])
+                    over += 1
                 wide, deep = cell.span("colspan"), cell.span("rowspan")
                 row.append((column, wide, inner.text().split("\n")))
                 if deep > 1:
-                    below |= {k: deep for k in range(column, column + wide)}
+                    below.append((column, column + wide, deep - 1))
                 column += wide
             rows.append(row)
-            for k in [*taken]:
-                taken[k] -= 1
-                if taken[k] <= 0:
-                    del taken[k]
-            taken.update({k: v - 1 for k, v in below.items()})
+            taken[:] = sorted([(a, b, left - 1) for a, b, left in taken if left > 1] + below)
 
         def walk(x: Node) -> Iterator:
             loose: list[Node] = []
@@ -372,6 +405,9 @@ class Renderer:
                 yield add_row(loose)
 
         yield walk(node)
+        # columns where no cell starts or ends are none
+        edges = {k: i for i, k in enumerate(sorted({k for row in rows for column, wide, _ in row for k in (column, column + wide)}))}
+        rows = [[(edges[column], edges[column + wide] - edges[column], lines) for column, wide, lines in row] for row in rows]
         widths: dict[int, int] = defaultdict(int)
         for wide_ones in (False, True):
             for row in rows:
@@ -382,16 +418,22 @@ class Renderer:
                         widths[column + wide - 1] = max(widths[column + wide - 1], own - rest)
         starts, at = {}, 0
         for k in range(max(widths, default=-1) + 1):
-            starts[k], at = at, at + widths[k] + 2
+            starts[k], at = min(at, _PAD), at + widths[k] + 2
         for row in rows:
             for i in range(max((len(lines) for _, _, lines in row), default=0)):
-                line = ""
+                line: list[str] = []
+                size = 0
                 for column, _, lines in row:
                     if i < len(lines) and lines[i]:
-                        line = line.ljust(starts[column]) + lines[i]
+                        pad = starts[column] - size
+                        if line and pad < 2:
+                            pad = 2
+                        line += [" " * pad, lines[i]]
+                        size += max(pad, 0) + len(lines[i])
                 self.need(1)
-                if line.rstrip():
-                    self.lines(line.rstrip())
+                whole = "".join(line).rstrip()
+                if whole:
+                    self.lines(whole)
 
 
 def plain_text(node: Node) -> str:
