@@ -1,12 +1,17 @@
 """Operator 5: benchmark leaks in documents, re-parameterised questions included.  DataFrame functions only.
 
-Numbers, names (runs of capitalised words, but for function words that don't stand inside a sentence) and units after numbers
-become typed placeholders.  Lower-cased template words are joined by the hash of windows of ``window`` words in two forms: with names
+Numbers, names (runs of capitalised words, but for function words of four languages that don't stand inside a sentence) and units
+after numbers become typed placeholders.  Lower-cased template words are joined by the hash of windows of ``window`` words in two forms: with names
 as placeholders, and, where too few of these are found, with their letters, so that a copy in other case is found too.  An item
-leaks into a document when at least ``coverage`` of its windows stand there and its names agree: inside the windows that matched, each at its own
-shift, at least ``agreement`` of the names go along with one document name for each item name and the other way round, so that
-a consistently renamed question is caught.  Numbers and units are free, as equal ones may be equal by chance; only where more
-than half of the matched words are slots must all kinds agree, so that a text that only shares a form isn't caught.
+leaks into a document when at least ``coverage`` of its windows stand there and its slots agree, inside the windows that matched,
+each at its own shift:
+
+- Of the values that stand more than once, on either side, the share that goes along with the commonest partner is at least
+  ``agreement`` for names and ``number_agreement`` for numbers and for units.  A value that stands once tells nothing.
+- Names that stand once and have changed need something to hold them: names that are equal or change alike at two places or more
+  count twice, and literal words of content once; together they must be at least twice as many as such names.  So a renamed
+  question is caught, and a sentence of the same build with other nouns, which some languages write like names, is not.
+- Where more than half of the matched words are slots, all kinds together must agree by ``agreement``, values that stand once included.
 
 An item of fewer than ``window`` template words, but ``shortest`` at least, is one window as long as itself.  Windows of nothing
 but placeholders tell nothing and are no windows: without that, a table of numbers would meet itself at every shift.
@@ -31,10 +36,13 @@ from siltstone.llm.storage import Workspace
 #: Units that stand after a number.
 UNITS = "kg|g|mg|km|m|cm|mm|mi|ft|in|lb|oz|l|ml|s|ms|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|meters?|metres?|miles?|feet|inches|pounds?|dollars?|euros?|cents?|percent|degrees?|litres?|liters?|grams?|kilograms?|kilometers?|kilometres?"
 NAME, NUMBER, UNIT = "⟦name⟧", "⟦num⟧", "⟦unit⟧"
-#: Words that are no names where a sentence or a quote starts with them.
+#: Words that are no names where a sentence or a quote starts with them, and no words of content anywhere.
 FUNCTION_WORDS = (
     "The|An|And|But|Or|Nor|So|Yet|If|Then|Than|When|While|Where|Who|Whom|Whose|Which|What|Why|How|That|This|These|Those|There|Here|He|She|It|We|You|They|His|Her|Its|Our|Your|Their|My|"
-    "Is|Are|Was|Were|Be|Am|Do|Does|Did|Has|Have|Had|Can|Could|Will|Would|Shall|Should|May|Might|Must|Not|No|Of|In|On|At|By|For|From|With|To|As|After|Before|During|Each|Every|All|Some|Any|Both|One|Now|Also"
+    "Is|Are|Was|Were|Be|Am|Do|Does|Did|Has|Have|Had|Can|Could|Will|Would|Shall|Should|May|Might|Must|Not|No|Of|In|On|At|By|For|From|With|To|As|After|Before|During|Each|Every|All|Some|Any|Both|One|Now|Also|"
+    "Der|Die|Das|Den|Dem|Des|Ein|Eine|Einen|Einem|Einer|Eines|Und|Oder|Aber|Wenn|Als|Wie|Was|Wer|Wo|Warum|Er|Sie|Es|Wir|Ihr|Ich|Ist|Sind|War|Waren|Hat|Haben|Wird|Werden|Nicht|Kein|Keine|Im|Am|Auf|Aus|Bei|Mit|Nach|Von|Zu|Zum|Zur|Vor|Neben|Unter|Zwischen|Durch|Ohne|Um|Bis|Seit|Auch|Dann|Noch|Nur|Schon|Sehr|Dieser|Diese|Dieses|"
+    "Le|La|Les|Un|Une|Du|De|Et|Ou|Mais|Si|Quand|Comme|Que|Qui|Quoi|Pourquoi|Il|Elle|Nous|Vous|Ils|Elles|Je|Est|Sont|Sur|Sous|Dans|Avec|Sans|Par|Pour|Ce|Cet|Cette|Ces|Au|Aux|"
+    "El|Los|Las|Unos|Unas|Una|Uno|Del|Al|Pero|Cuando|Como|Qué|Quién|Por|Para|Con|Sin|Sobre|Entre|Hasta|Desde|Él|Ella|Nosotros|Ellos|Ellas|Yo|Es|Son|Era|Este|Esta|Estos|Estas|Se|Su|Sus|Más|Muy|También|Donde|Dónde"
 )
 _NAME = rf"(?=\p{{Lu}})(?:.(?<=[\p{{Ll}},;:] .)\p{{L}}+|(?<!\p{{L}})(?!(?:{FUNCTION_WORDS})(?!\p{{L}})).\p{{L}}+)(?: \p{{Lu}}\p{{L}}+)*"
 _NUMBER = r"\d+(?:[.,:/]\d+)*"
@@ -48,6 +56,7 @@ class DecontaminationConfig:
     shortest: int = 3
     coverage: float = 0.5
     agreement: float = 0.75
+    number_agreement: float = 0.5
     broadcast_windows: int = 1_000_000
     broadcast_docs: int = 1_000_000
 
@@ -133,7 +142,7 @@ def _item_windows(items: DataFrame, cfg: DecontaminationConfig) -> DataFrame:
 
 
 def _with_slots(rows: DataFrame, ids: list[str]) -> DataFrame:
-    """(ids, form, slots): position, kind and value of every slot, for each form."""
+    """(ids, form, slots, plain), for each form: position, kind and value of every slot; position and letters of every word of content."""
 
     def slots_of(words: Column, kind: str, name: str) -> Column:
         at = F.filter(F.transform(words, lambda w, i: F.when(w == kind, i)), lambda i: i.isNotNull())
@@ -143,21 +152,39 @@ def _with_slots(rows: DataFrame, ids: list[str]) -> DataFrame:
     for form, names in FORMS:
         text = F.col("text") if names else F.lower("text")  # small letters alone hold no names
         made = rows.select(*ids, template_words(F.col("text"), names).alias("words"), slot_values(text).alias("values"))
+        plain = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda p: ~p.word.isin([NAME, NUMBER, UNIT, *FUNCTION_WORDS.lower().split("|")]))
         slots = [slots_of(F.col("words"), NUMBER, "numbers"), slots_of(F.col("words"), UNIT, "units"), *([slots_of(F.col("words"), NAME, "names")] if names else [])]
-        forms.append(made.select(*ids, F.lit(form).alias("form"), F.filter(F.concat(*slots), lambda s: s.pos.isNotNull()).alias("slots")))
+        forms.append(made.select(*ids, F.lit(form).alias("form"), F.filter(F.concat(*slots), lambda s: s.pos.isNotNull()).alias("slots"), plain.alias("plain")))
     return forms[0].unionByName(forms[1])
 
 
-def _agreement(met: Column) -> Column:
-    """The share of ``met`` that the commonest partner of each value accounts for, in the worse direction."""
-    pairs = F.transform(F.array_distinct(F.transform(met, lambda m: F.struct(m.kind, m.ours, m.theirs))), lambda p: F.struct(p.kind, p.ours, p.theirs, F.size(F.filter(met, lambda m: (m.kind == p.kind) & (m.ours == p.ours) & (m.theirs == p.theirs))).alias("n")))
+def _pairs(met: Column) -> Column:
+    """Each distinct (kind, ours, theirs) of ``met`` with the number n of its places."""
+    distinct = F.array_distinct(F.transform(met, lambda m: F.struct(m.kind.alias("kind"), m.ours.alias("ours"), m.theirs.alias("theirs"))))
+    same = lambda p: F.filter(met, lambda m: (m.kind == p.kind) & (m.ours == p.ours) & (m.theirs == p.theirs))
+    return F.transform(distinct, lambda p: F.struct(p.kind.alias("kind"), p.ours.alias("ours"), p.theirs.alias("theirs"), F.size(same(p)).alias("n")))
+
+
+def _agreement(pairs: Column, least: int = 1) -> Column:
+    """The share of places that the commonest partner of each value accounts for, in the worse direction; of values at ``least`` places alone."""
 
     def one_way(name: str) -> Column:
-        values = F.array_distinct(F.transform(met, lambda m: F.struct(m.kind.alias("kind"), m[name].alias("value"))))
-        best = F.transform(values, lambda v: F.array_max(F.transform(F.filter(pairs, lambda p: (p.kind == v.kind) & (p[name] == v.value)), lambda p: p.n)))
-        return F.aggregate(best, F.lit(0), lambda a, n: a + n)
+        values = F.array_distinct(F.transform(pairs, lambda p: F.struct(p.kind.alias("kind"), p[name].alias("value"))))
+        counts = lambda v: F.transform(F.filter(pairs, lambda p: (p.kind == v.kind) & (p[name] == v.value)), lambda p: p.n)
+        summed = lambda xs: F.aggregate(xs, F.lit(0), lambda a, n: a + n)
+        shares = F.filter(F.transform(values, lambda v: F.struct(F.array_max(counts(v)).alias("best"), summed(counts(v)).alias("all"))), lambda s: s["all"] >= least)
+        total = summed(F.transform(shares, lambda s: s["all"]))
+        return F.when(total == 0, F.lit(1.0)).otherwise(summed(F.transform(shares, lambda s: s.best)) / total)
+
+    return F.least(one_way("ours"), one_way("theirs"))
+
 
-    return F.when(F.size(met) == 0, F.lit(1.0)).otherwise(F.least(one_way("ours"), one_way("theirs")) / F.size(met))
+def _held(pairs: Column, content: Column) -> Column:
+    """Whether names that stand once and have changed are outweighed by names that agree and words of content."""
+    names = F.filter(pairs, lambda p: p.kind == "names")
+    loose = F.size(F.filter(names, lambda p: (p.n == 1) & (p.ours != p.theirs)))
+    firm = F.aggregate(F.filter(names, lambda p: (p.n > 1) | (p.ours == p.theirs)), F.lit(0), lambda a, p: a + p.n)
+    return 2 * firm + content >= 2 * loose
 
 
 def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg: DecontaminationConfig = DecontaminationConfig()) -> DataFrame:
@@ -179,20 +206,25 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cfg:
     ids = hits.select("doc_id").distinct()
     bounded = hits.count() <= cfg.broadcast_docs
     texts = _with_slots(docs.join(F.broadcast(ids) if bounded else ids, "doc_id", "left_semi"), ["doc_id"])
-    pairs = hits.join(texts.withColumnRenamed("slots", "theirs"), ["doc_id", "form"]).join(_with_slots(items, ["item_id"]).withColumnRenamed("slots", "ours"), ["item_id", "form"])
+    pairs = hits.join(texts.drop("plain").withColumnRenamed("slots", "theirs"), ["doc_id", "form"]).join(_with_slots(items, ["item_id"]).withColumnRenamed("slots", "ours"), ["item_id", "form"])
     inside = lambda w: F.transform(
         F.filter("ours", lambda o: (o.pos >= w.item_pos) & (o.pos < w.item_pos + F.col("size"))), lambda o: F.struct(o.pos.alias("pos"), w["shift"].alias("shift"), o.kind.alias("kind"), o.value.alias("ours"))
     )
     pairs = pairs.withColumn("stood", F.array_distinct(F.flatten(F.transform("aligned", inside))))
-    words = F.size(F.array_distinct(F.flatten(F.transform("aligned", lambda w: F.sequence(w.item_pos, w.item_pos + F.col("size") - 1)))))
+    covered = F.array_distinct(F.flatten(F.transform("aligned", lambda w: F.sequence(w.item_pos, w.item_pos + F.col("size") - 1))))
+    pairs = pairs.withColumn("covered", covered)
+    content = F.size(F.array_distinct(F.transform(F.filter("plain", lambda p: F.array_contains("covered", p.pos)), lambda p: p.word)))
     opposite = lambda o: F.get(F.filter("theirs", lambda t: (t.pos == o.pos + o["shift"]) & (t.kind == o.kind)), F.lit(0)).value
     # a name beside the item's own in the document is a part of its run there, not another name
     same = lambda ours, theirs: F.when(F.endswith(theirs, F.concat(F.lit(" "), ours)) | F.startswith(theirs, F.concat(ours, F.lit(" "))), ours).otherwise(theirs)
     met = F.transform("stood", lambda o: F.struct(o.pos.alias("pos"), o.kind.alias("kind"), o.ours.alias("ours"), same(o.ours, opposite(o)).alias("theirs")))
-    pairs = pairs.select(*pair, "hits", "windows", words.alias("words"), F.filter(met, lambda m: m.theirs.isNotNull()).alias("met"))
-    names = _agreement(F.filter("met", lambda m: m.kind == "names")) >= cfg.agreement
+    pairs = pairs.select(*pair, "hits", "windows", F.size("covered").alias("words"), content.alias("content"), F.filter(met, lambda m: m.theirs.isNotNull()).alias("met"))
+    pairs = pairs.withColumn("paired", _pairs(F.col("met")))
+    of = lambda kind: F.filter("paired", lambda p: p.kind == kind)
+    names = (_agreement(of("names"), 2) >= cfg.agreement) & _held(F.col("paired"), F.col("content"))
+    numbers = (_agreement(of("numbers"), 2) >= cfg.number_agreement) & (_agreement(of("units"), 2) >= cfg.number_agreement)
     literal = 2 * F.size(F.array_distinct(F.transform("met", lambda m: m.pos))) <= F.col("words")
-    leaks = pairs.withColumn("leaks", names & (literal | (_agreement(F.col("met")) >= cfg.agreement))).withColumn("met", F.array_distinct(F.transform("met", lambda m: F.struct(m.kind.alias("kind"), m.ours.alias("ours"), m.theirs.alias("theirs")))))
+    leaks = pairs.withColumn("leaks", names & numbers & (literal | (_agreement(F.col("paired")) >= cfg.agreement))).withColumn("met", F.array_distinct(F.transform("met", lambda m: F.struct(m.kind.alias("kind"), m.ours.alias("ours"), m.theirs.alias("theirs")))))
     changed = F.size(F.filter("met", lambda m: m.ours != m.theirs)).cast("long")
     # rows of one doc_id: the one that leaks counts; letters count only where the form with placeholders has too few windows
     row = F.struct("form", (~F.col("leaks")).alias("clean"), -F.col("hits"), F.col("hits").cast("long").alias("hits"), F.col("windows").cast("long").alias("windows"), F.size("met").cast("long").alias("slots"), changed.alias("changed"))

@@ -318,9 +318,27 @@ def leaks_by_hand(docs, items, cfg):
             for i in hits:
                 best = max((j - i for j in at[i]), key=lambda d: (shifts[d], -d))
                 pairs |= {(p, best) for p in range(i, i + k) if ours[p][0]}
-            names = [(ours[p][1], theirs[p + d][1]) for p, d in pairs if ours[p][0] == "N"]
-            one = lambda ps: sum(max(Counter(y for x, y in ps if x == v).values()) for v in {x for x, _ in ps})
-            if not names or min(one(names), one([(y, x) for x, y in names])) >= cfg.agreement * len(names):
+            met = [(kind, ours[p][1], theirs[p + d][1]) for p, d in pairs if (kind := ours[p][0])]
+
+            def share(kinds, least, met=met):
+                out = 1.0
+                for side in (1, 2):
+                    groups = {}
+                    for x in met:
+                        if x[0] in kinds:
+                            groups.setdefault((x[0], x[side]), Counter())[x[3 - side]] += 1
+                    groups = [g for g in groups.values() if g.total() >= least]
+                    if groups:
+                        out = min(out, sum(max(g.values()) for g in groups) / sum(g.total() for g in groups))
+                return out
+
+            covered = {p for i in hits for p in range(i, i + k)}
+            content = {ours[p][1] for p in covered if not ours[p][0]} - set(functions.lower().split("|"))
+            named = Counter(x for x in met if x[0] == "N")
+            loose = sum(n == 1 and x[1] != x[2] for x, n in named.items())
+            firm = sum(n for x, n in named.items() if n > 1 or x[1] == x[2])
+            literal = 2 * len({p for p, _ in pairs}) <= len(covered)
+            if share("N", 2) >= cfg.agreement and 2 * firm + len(content) >= 2 * loose and min(share("#", 2), share("U", 2)) >= cfg.number_agreement and (literal or share("N#U", 1) >= cfg.agreement):
                 found.add((doc_id, item_id))
     return found
 
@@ -350,6 +368,21 @@ def test_leaks_against_loops(spark):
         assert sum(x in have for x in spots) >= 0.4 * len(spots)
 
 
+def test_sentences_of_one_build_are_no_leaks(spark):
+    items = [
+        "Das Messer liegt auf dem Teller neben dem Glas in der Küche", "Der Hund liegt in der Hütte.", "they met at 3 with 3 riders and 3 bags and then they left at 3 for the far town",
+        "Tom has 3 apples and buys 5 more at the shop. How many apples does he have?", "La casa de Marta está cerca de la plaza y Marta vende pan cada día",
+    ]
+    docs = [
+        (1, "Das Buch liegt auf dem Tisch neben dem Fenster in der Schule"), (2, "Der Ball liegt in der Garage."), (3, "they met at 5 with 7 riders and 9 bags and then they left at 2 for the far town"),
+        (4, "Das Buch liegt auf dem Teller neben dem Fenster in der Schule"), (5, "Eine Zeile davor. " + items[0] + "."), (6, items[2].replace("3", "8")), (7, "Bob has 4 apples and buys 7 more at the shop. How many apples does he have?"),
+        (8, items[4].replace("Marta", "Elena")), (9, items[4].replace("Marta", "Elena", 1)), (10, items[1]),
+    ]
+    bench = spark.createDataFrame(list(enumerate(items, 20)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(spark, frame(spark, docs), bench).collect()}
+    assert got == {(5, 20), (6, 22), (7, 23), (8, 24), (10, 21)}
+
+
 def test_leaks_without_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(spark, frame(spark, [(1, "a b c d e f g h i j")]), none).count() == 0
