@@ -136,14 +136,26 @@ def needed_stops(stops: Column) -> Column:
     return F.array_distinct(F.filter(stops, lambda x: ~F.exists(stops, lambda y: (x != y) & F.startswith(x, y))))
 
 
-def template_stops(user: str, assistant: str) -> list[str]:
-    """Stop strings of a template's turn starts: white space gone, and of a name with a colon what stands up to it, on a line of its own."""
+_BRACKETS = {"<": ">", "[": "]", "(": ")", "{": "}"}
+
+
+def template_stops(rendered: str, said: tuple[str, str, str, str]) -> list[str]:
+    """Stop strings of a template, from what it makes of two exchanges ``said`` (user, assistant, user, assistant).
+
+    What stands behind the first message, behind the first answer and at the end opens a turn: its first mark in brackets, or
+    else all up to its first colon.  Strings that start with another are left out.
+    """
+    ends = [rendered.index(x) + len(x) for x in said]
+    starts = [rendered.index(x) for x in said]
     found = []
-    for start in (user, assistant):
-        bare = start.strip()
-        if bare:
-            found.append("\n" + bare.split(":")[0] + ":" if ":" in bare else bare)
-    return list(dict.fromkeys(found))
+    for gap in (rendered[ends[0] : starts[1]], rendered[ends[1] : starts[2]], rendered[ends[3] :]):
+        bare = gap.strip()
+        closing = bare.find(_BRACKETS[bare[0]]) if bare[:1] in _BRACKETS else -1
+        if closing > 0:
+            found.append(bare[: closing + 1])
+        elif ":" in gap:
+            found.append(gap[: gap.index(":") + 1])
+    return [x for x in dict.fromkeys(found) if not any(x != y and x.startswith(y) for y in found)]
 
 
 def version_at(versions: Column, current: Column, step: Column) -> Column:

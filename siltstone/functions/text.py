@@ -273,9 +273,11 @@ def regex_chunks(text: Column, pattern: str, context: int) -> Column:
 
 
 def natural_key(text: Column) -> Column:
-    """Sorts digit runs as numbers and the rest in lower case."""
+    """Sorts digit runs of any length as numbers and the rest in lower case: a run is led by the number of its digits."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    number = lambda p: F.concat(F.lit("\x01"), F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), number(p)).otherwise(p)), "")
 
 
 def cut_at_stop(text: Column, stops: tuple[str, ...]) -> Column:

@@ -81,30 +81,48 @@ def _bare(text: str, names: frozenset[str]) -> list[Call]:
     return _before_objects(rf"({known})\s*(?=\{{)")(text, names) if names else []
 
 
+#: A string between quote tokens, a bracket, a key, or anything else.
+_PIECE = re.compile(r'<\|"\|>(?P<string>.*?)<\|"\|>|(?P<brace>[{}])|(?P<key>\w+)(?=\s*:)|(?:[^<{}\w]+|.)', re.S)
+
+
 def _quote_tokens(text: str, names: frozenset[str]) -> list[Call]:
-    """Objects with bare keys whose strings stand between quote tokens."""
+    """Objects with bare keys whose strings stand between quote tokens: written as JSON piece by piece, up to the closing brace."""
     out = []
-    for m in re.finditer(r"<\|tool_call>call:([^\s{]+)\s*(?=\{)", text):
-        parts, depth, made = text[m.end() :].split('<|"|>'), 0, []
-        for i, part in enumerate(parts):
-            if i % 2:
-                made.append(json.dumps(part, ensure_ascii=False))
-                continue
-            for k, c in enumerate(part):
-                depth += (c == "{") - (c == "}")
-                if depth == 0:
-                    part = part[: k + 1]
-                    break
-            made.append(re.sub(r"([{,\[]|^)\s*(\w+)\s*:", r'\1"\2":', part))
-            if depth == 0:
+    for call in re.finditer(r"<\|tool_call>call:([^\s{]+)\s*(?=\{)", text):
+        depth, made = 0, []
+        for piece in _PIECE.finditer(text, call.end()):
+            bare = piece[piece.lastgroup] if piece.lastgroup in ("string", "key") else None
+            made.append(piece[0] if bare is None else json.dumps(bare, ensure_ascii=False))
+            depth += {"{": 1, "}": -1}.get(piece["brace"], 0)
+            if not depth:
                 break
-        found = _object_at("".join(made), 0) if depth == 0 else None
-        if m[1].strip() in names and found is not None:
-            out.append((m.start(), m[1].strip(), found))
+        found = None if depth else _object_at("".join(made), 0)
+        if found is not None and call[1] in names:
+            out.append((call.start(), call[1], found))
     return out
 
 
-_ARGUMENT = re.compile(r"""(\w+)\s*=\s*("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[^,)]+)""")
+def _named_arguments(text: str, at: int) -> dict:
+    """The arguments ``key=value`` from ``at`` to the bracket that closes them; commas and brackets in quotes are text."""
+    given, key, begin, quote = {}, "", at, ""
+    while at < len(text):
+        c = text[at]
+        if quote:
+            at += c == "\\"
+            quote = "" if c == quote else quote
+        elif c in "\"'" and key and not text[begin:at].strip():
+            quote = c
+        elif c == "=" and not key:
+            key, begin = text[begin:at].strip(), at + 1
+        elif c in ",)":
+            value = text[begin:at].strip()
+            if key and value:
+                given[key] = _value(value[1:-1] if value[0] in "\"'" and value[-1] == value[0] and len(value) > 1 else value)
+            key, begin = "", at + 1
+            if c == ")":
+                break
+        at += 1
+    return given
 
 
 def _pythonic(text: str, names: frozenset[str]) -> list[Call]:
@@ -112,14 +130,8 @@ def _pythonic(text: str, names: frozenset[str]) -> list[Call]:
     bracket = re.search(r"\[([^\[\]]+)\]", text)
     if not bracket or not names:
         return []
-    out = []
-    for m in re.finditer(rf"({'|'.join(map(re.escape, sorted(names, key=len, reverse=True)))})\(([^)]*)\)", bracket[1]):
-        given = {}
-        for a in _ARGUMENT.finditer(m[2]):
-            raw = a[2].strip()
-            given[a[1]] = _value(raw[1:-1] if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "\"'" else raw)
-        out.append((bracket.start(), m[1], given))
-    return out
+    known = "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True))
+    return [(bracket.start(), m[1], _named_arguments(bracket[1], m.end())) for m in re.finditer(rf"({known})\(", bracket[1])]
 
 
 @dataclass(frozen=True)

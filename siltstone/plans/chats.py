@@ -123,14 +123,13 @@ def train_chunk_stride(docs):
     return token_windows(docs.select("doc_id", T.word_tokens(F.col("text")).alias("tokens")), 256, 64).select("start", "length", (256 - F.col("length")).alias("padding"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
-@query("conversations", sql=f"SELECT conv_id, turn, sum(CASE WHEN role = 'assistant' THEN n ELSE -101 * n END)::BIGINT - 202 AS checksum FROM (SELECT conv_id, turn, role, len({_WORDS}) AS n FROM conversations) GROUP BY conv_id, turn, role")
+@query("conversations", sql=f"SELECT conv_id, turn, sum(CASE WHEN role = 'assistant' THEN n ELSE -100 * n END)::BIGINT - 200 AS checksum FROM (SELECT conv_id, turn, role, len({_WORDS}) AS n FROM conversations) GROUP BY conv_id, turn, role")
 def train_labels(c):
     """Labels of each message behind a header of two tokens: its tokens if it's the assistant's, else masked; ids are all 1 here."""
     ids = F.transform(T.word_tokens(F.col("text")), lambda _: F.lit(1))
     turn = F.struct(F.col("role").alias("role"), F.array(F.lit(1), F.lit(1)).alias("header"), ids.alias("ids"))
     labels = M.labels_of(F.array(turn))
-    # a masked place counts -101, a learned one 1, and the two of the header -202
-    return c.select("conv_id", "turn", (F.aggregate(F.slice(labels, 3, F.size(labels)), F.lit(0), lambda s, x: s + F.when(x == -100, -101).otherwise(x)) - 202).cast("long").alias("checksum"))
+    return c.select("conv_id", "turn", F.aggregate(labels, F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum"))
 
 
 @query("conversations", sql=f"SELECT conv_id, turn, CASE WHEN n <= 40 THEN n WHEN conv_id % 2 = 0 THEN 40 ELSE 0 END::INT AS kept FROM (SELECT conv_id, turn, len({_WORDS}) AS n FROM conversations)")

@@ -220,7 +220,7 @@ def url_safe_predicate(pages):
     return pages.select("page_id", F.col("url").rlike(r"^https?://[^/\\@]+(/|$)").alias("allowed"))
 
 
-_NATURAL = "array_to_string(list_transform(regexp_extract_all(lower({}), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END), '')"
+_NATURAL = "array_to_string(list_transform(regexp_extract_all(lower({}), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN chr(1) || lpad(length(regexp_replace(x, '^0+([0-9])', '\\1'))::VARCHAR, 10, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END), '')"
 
 
 @query("pages", sql=f"SELECT page_id FROM pages ORDER BY {_NATURAL.format('url')}, page_id LIMIT 10 OFFSET ((least(3, (SELECT (count(*) + 9) // 10 FROM pages)) - 1) * 10)")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siltstone.operators.retrieval import recency_weight
 from siltstone.operators.vectors import dot, top_k
 from siltstone.plans import query
 
@@ -67,11 +68,12 @@ def median_outlier_filter(e):
     return near.join(stats, "query_id").where((F.round("d", 9) <= F.round(0.95 * F.col("m"), 9)) | (F.col("d") == F.col("least"))).select("query_id", "id", F.abs(F.round("d", 6)).alias("distance"))
 
 
-@query("embeddings", sql="SELECT vec_id, round(1 - 0.3 + 0.3 / (1 + exp(-(20.0 * vec_id / (SELECT max(vec_id) FROM embeddings) - 10))), 6) AS weight FROM embeddings")
+@query("embeddings", sql="""WITH p AS (SELECT vec_id, 20.0 * (vec_id - (SELECT min(vec_id) FROM embeddings)) / (SELECT max(vec_id) - min(vec_id) FROM embeddings) - 10 AS x FROM embeddings)
+SELECT vec_id, round(1 - 0.3 + 0.3 * (1 / (1 + exp(x)) - 1 / (1 + exp(10))) / (1 / (1 + exp(-10)) - 1 / (1 + exp(10))), 6) AS weight FROM p""")
 def recency_sigmoid(e):
-    """Weight by a sigmoid over the position."""
-    top = e.agg(F.max("vec_id").alias("top"))
-    return e.crossJoin(F.broadcast(top)).select("vec_id", F.round(1 - 0.3 + 0.3 / (1 + F.exp(-(20.0 * F.col("vec_id") / F.col("top") - 10))), 6).alias("weight"))
+    """The factor of a distance by a sigmoid over the position: 1 for the first, 0.7 for the last."""
+    ends = e.agg(F.min("vec_id").alias("least"), F.max("vec_id").alias("most"))
+    return e.crossJoin(F.broadcast(ends)).select("vec_id", F.round(recency_weight(F.col("vec_id"), F.col("least"), F.col("most"), 0.3), 6).alias("weight"))
 
 
 @query(

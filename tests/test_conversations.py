@@ -77,7 +77,10 @@ def test_message_functions(spark):
     assert {(r.call_id, r.content) for r in messages.answered_calls(calls, results, ["c"]).collect()} == {("a", "done"), ("b", "")}
     ran = {r.name: r.content for r in messages.run_registry(calls, {"up": F.upper}).collect()}
     assert ran["up"] == "X" and json.loads(ran["nope"])["error"] == "Unknown tool: nope"
-    assert messages.template_stops(" <|user|>\n", "ASSISTANT: go") == ["<|user|>", "\nASSISTANT:"]
+    said = ("u1", "a1", "u2", "a2")
+    assert messages.template_stops("<U>u1</U>\n<A> a1 </A>\n<U>u2</U>\n<A> a2 </A>\n", said) == ["</U>", "</A>"]
+    assert messages.template_stops("Q: u1\nReply: a1\n\nQ: u2\nReply: a2", said) == ["\nReply:", "\n\nQ:"]
+    assert messages.template_stops("[x] u1 [/x] a1 [x] u2 [/x] a2 (end", said) == ["[/x]", "[x]"]
     row = spark.range(1).select(
         messages.title(F.lit("20240102-03-04-05"), F.array(F.lit("<|BEGIN-VISIBLE-CHAT|>"), F.lit(" a &amp; b "))).alias("a"), messages.title(F.lit("my notes on a very long subject indeed"), F.array(F.lit("x"))).alias("b"),
         messages.without_speaker(F.lit(" Ada: hi"), F.lit("Ada")).alias("c"), messages.padded(F.array(F.lit(1)), F.lit(3), 0).alias("d"), messages.title(F.lit("20240102-03-04-05"), F.array().cast("array<string>")).alias("e"),
@@ -154,13 +157,9 @@ def test_budgets(spark):
 
 
 def test_small_tools(spark):
-    assert [small.evaluate(x) for x in ("2 + 3 * -4", "2 ** 10 % 7", "(1 + 2) / 4")] == [-10, 2, 0.75]
-    for bad in ("__import__('os')", "2 ** 20000", "1 < 2", "'a' * 3", "True + 1"):
-        with pytest.raises(ValueError):
-            small.evaluate(bad)
-    df = spark.sql("select timestamp'2024-03-05 07:09:11' t, '1 / 0' x, '7 % 4' y")
-    row = df.select(small.calculated(F.col("x")).alias("a"), small.calculated(F.col("y")).alias("b"), small.message_time(F.col("t")).alias("c"), small.chat_id(F.col("t")).alias("d"), small.dice_total(F.array(F.lit(0.0), F.lit(0.99)), 6).alias("e"), small.time_sentence(F.col("t")).alias("s")).first()
-    assert row.a.startswith("error") and (row.b, row.c, row.d, row.e) == ("3", "Mar 05, 2024 07:09", "20240305-07-09-11", 7) and "Tuesday" in row.s
+    df = spark.sql("select timestamp'2024-03-05 07:09:11' t")
+    row = df.select(small.message_time(F.col("t")).alias("c"), small.chat_id(F.col("t")).alias("d"), small.dice_total(F.array(F.lit(0.0), F.lit(0.99)), 6).alias("e"), small.time_sentence(F.col("t")).alias("s")).first()
+    assert (row.c, row.d, row.e) == ("Mar 05, 2024 07:09", "20240305-07-09-11", 7) and row.s == "Current time is 07:09:11. Today is Tuesday. The current date is 2024-03-05."
     hooks = small.Hooks()
     hooks.add("input", F.upper)
     hooks.add("input", lambda t: F.concat(t, F.lit("!")))

@@ -18,19 +18,60 @@ def flags_of(spark, text):
     return [[f for f in s.flags if f != "short_reference"] for s in frame(spark, text).select(S.assessed(F.col("t"), True).alias("s")).first().s]
 
 
-@pytest.mark.parametrize(
-    ("text", "flags"),
-    [
-        ("Our house near the lake was small and. very cold. Nobody came by again.", [["suspicious_boundary"], ["suspicious_boundary"], []]),
-        ("Our house near the lake is one of. the oldest in town. Nobody came.", [["suspicious_boundary", "dangling_function_boundary"], ["suspicious_boundary", "dangling_function_boundary"], []]),
-        ("Our house near the lake was small.\n\nvery cold. End here.", [[], [], []]), ('He said it was the "small one." then left. More here.', [[], [], []]), ("our house near the lake was small. very cold.", [[], []]),
-        ("Our house near the lake was small... very cold.", [[], []]), ("It 5 s a long way to the town. End.", [["ocr_quote_digit"], []]), ("Give it 5 s to cool down.", [[]]),
-        ("“Come here at once!” She did. 'Stop there, 7 he said.", [[], ["ocr_quote_digit"]]), ("Text ||| ___ ¦¦ |.", [["symbol_noise"]]), ("7\n\nThey walked along the shore.", [["leading_digit_paragraph"]]),
-        ("77\n\nThey walked along the shore.", [[]]), ("7\nThey walked along the shore.", [[]]), ("7\n\nEnd.", [[]]),
-    ],
-)
-def test_flags_of_scanned_text(spark, text, flags):
-    assert flags_of(spark, text) == flags
+GOOD = "Three boats crossed the wide bay at dawn."
+
+
+def framed(middle):
+    """A sentence between two that have no flag: the flags of all three."""
+    return f"{GOOD} {middle} The crew slept until late in the evening."
+
+
+def test_no_flags_without_damage(spark):
+    assert flags_of(spark, framed("Nobody on the shore had seen them leave.")) == [[], [], []]
+
+
+def test_symbols_need_a_run_and_a_share(spark):
+    """From three marks in a row, six in all and two fifths of what is visible."""
+    for marks, letters, found in [("|||___", 5, True), ("|||___", 20, False), ("|| __ ¦¦", 2, False), ("|||__", 3, False), ("¦¦¦¦¦¦¦¦", 10, True)]:
+        text = f"{GOOD} {marks} {'k' * letters}. {GOOD}"
+        assert flags_of(spark, text)[1] == (["symbol_noise"] if found else []), text
+
+
+def test_borders_inside_a_paragraph(spark):
+    """A short rest in small letters behind a full stop casts doubt on both sides; a new paragraph, quotes, dots or a long rest don't."""
+    head = "The ferry to the northern islands was late"
+    both = [["suspicious_boundary"], ["suspicious_boundary"]]
+    assert flags_of(spark, f"{head}. again today.") == both
+    for join in (".\n\n", "... ", ".” ", ".\f"):
+        assert flags_of(spark, f"{head}{join}again today.") == [[], []], join
+    assert flags_of(spark, f"{head}. and it stayed away for the whole day.") == [[], []]
+    assert flags_of(spark, f"{head.lower()}. again today.") == [[], []]
+    assert flags_of(spark, "Late. again today.") == [[], []]
+
+
+@pytest.mark.parametrize("word", ["if", "in", "of", "to"])
+def test_borders_behind_function_words(spark, word):
+    found = flags_of(spark, f"Every morning the baker thought {word}. new kinds of bread and of cake for us.")
+    assert found == [["dangling_function_boundary"], ["dangling_function_boundary"]]
+    assert flags_of(spark, f"Every morning the baker thought {word}. New kinds of bread and of cake came.") == [[], []]
+
+
+@pytest.mark.parametrize("who", ["it", "He", "what", "There"])
+def test_a_five_in_place_of_an_s(spark, who):
+    assert flags_of(spark, f"{who} 5 s cold up here in winter.") == [["ocr_quote_digit"]]
+    assert flags_of(spark, f"So {who} 5 s cold up here in winter.") == [[]] and flags_of(spark, f"{who} 5 sheep.") == [[]]
+
+
+def test_a_digit_in_place_of_a_quote(spark):
+    for verb in ("asked", "muttered", "shouted"):
+        assert flags_of(spark, f"“Is the road open? 9 they {verb} from the cart.")[0] == ["ocr_quote_digit"]
+    assert flags_of(spark, "“Is the road open?” they asked from the cart.") == [[]] and flags_of(spark, "Is the road open? 9 they asked from the cart.") == [[]]
+
+
+@pytest.mark.parametrize(("lead", "found"), [("4\n\n", True), ("  4 \n \n", True), ("4\f", True), ("4 ", False), ("4\n", False), ("41\n\n", False)])
+def test_a_digit_on_its_own_ahead(spark, lead, found):
+    assert flags_of(spark, lead + GOOD) == [["leading_digit_paragraph"] if found else []]
+    assert flags_of(spark, lead + "Go.") == [[]]
 
 
 def test_policy_and_names(spark):
@@ -104,11 +145,18 @@ def test_small_text_functions(spark):
 
 
 def test_replacing_a_sentence(spark):
-    df = frame(spark, "One here. Two here. tail")
-    assert df.select(S.replace_sentence(F.col("t"), F.lit(" Three there. ")).alias("x")).first().x == "One here. Three there. tail"
-    for bad in ("", "part", "One. Two.", "One. part", "Mr."):
+    """Any sentence of a set takes the last one's place; whatever isn't one sentence as a whole is refused."""
+    sound = ["Fog hid the pier.", "At 5 p.m. the bell rang.", "So it was late or early..."]
+    for old in sound:
+        for new in sound:
+            df = frame(spark, f"{GOOD}\n{old} and so")
+            assert df.select(S.replace_sentence(F.col("t"), F.lit(f"\t{new}\n")).alias("x")).first().x == f"{GOOD}\n{new} and so"
+    df = frame(spark, GOOD)
+    for bad in (" ", "no stop", " ".join(sound[:2]), sound[0] + " rest", "Dr."):
         with pytest.raises(Exception, match="one complete sentence"):
             df.select(S.replace_sentence(F.col("t"), F.lit(bad))).collect()
+    with pytest.raises(Exception, match="one complete sentence"):
+        frame(spark, "nothing to replace").select(S.replace_sentence(F.col("t"), F.lit(sound[0]))).collect()
 
 
 def test_context(spark):
