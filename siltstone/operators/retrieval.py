@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions.text import jaccard, strip, word_set
+from siltstone.operators.ranks import SortedTable, sorted_table
+from siltstone.sources.shared import Workspace
 
 
 def combine_distances(a: Column, b: Column, strategy: str) -> Column:
@@ -40,10 +42,14 @@ def merge_passages(hits: DataFrame, keys: list[str], strategy: str = "min") -> D
     return grouped.select(*keys, F.size("p").alias("members"), merged.alias("m")).select(*keys, "m.start", "m.stop", "members", "m.distance", "m.text")
 
 
-def page_of(rows: DataFrame, order: list, page: int, size: int) -> DataFrame:
-    """One page of ``rows`` in order, from 1; a page below or beyond is the first or last.  Only the head of the order is kept by a task."""
-    pages = max(1, -(-rows.count() // size))
-    return rows.orderBy(*order).offset((min(max(page, 1), pages) - 1) * size).limit(size)
+def page_of(ordered: SortedTable, page: int, size: int) -> DataFrame:
+    """One page of a sorted table, from 1, with ``row_no``; a page below or beyond is the first or last.
+
+    Reads the files of the ranges that hold the page; no task sorts or skips the rows before it.
+    """
+    pages = max(1, -(-ordered.n // size))
+    start = (min(max(page, 1), pages) - 1) * size
+    return ordered.between(start, start + size)
 
 
 def eligible(candidates: DataFrame, query: Column, sentences: int | None = None, query_tokens: Column | None = None, empty_tokens: int = 0, least_ratio: float | None = None, tolerance: float | None = None) -> DataFrame:
@@ -144,16 +150,17 @@ def split_by_cache(texts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataF
     return texts.join(known, "text"), texts.select("text").distinct().join(known, "text", "left_anti")
 
 
-def add_to_store(store: DataFrame, new: DataFrame) -> DataFrame:
-    """``store`` and the rows of ``new``, which get the ids after the greatest, in order of (source, start).
+def add_to_store(store: DataFrame, new: DataFrame, ws: Workspace | None = None) -> DataFrame:
+    """``store`` and the rows of ``new``, which get the ids after the greatest, in order of (source, start) and, where these are equal, of all columns.
 
-    Numbers are dealt in two steps, by source and within it, so that no task sorts all rows.
+    Numbers come from ranges of that order, so that neither a source nor the number of sources bounds a task.
     """
-    top = store.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_top"))
-    before = Window.orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = new.groupBy("source").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("source").orderBy("start"))
-    numbered = new.withColumn("_place", place).join(sizes, "source").join(F.broadcast(top)).withColumn("id", F.col("_top") + F.col("_before") + F.col("_place"))
+    ws = ws or Workspace(store.sparkSession, "store")
+    plain = [c for c in store.columns if c not in ("id", "source", "start") and not new.schema[c].dataType.simpleString().startswith("map")]
+    ordered = sorted_table(ws, new, [F.col("source"), F.col("start"), *map(F.col, plain)])
+    top = store.agg(F.max("id")).first()[0]
+    first = 0 if top is None else top + 1
+    numbered = ordered.numbered("_place").withColumn("id", F.col("_place") + first)
     return store.unionByName(numbered.select(*store.columns))
 
 
@@ -168,9 +175,15 @@ def delete_from_store(store: DataFrame, ids: DataFrame | None = None, where: dic
     return store.join(gone, "id", "left_anti").select(*store.columns)
 
 
-def refresh_source(store: DataFrame, new: DataFrame, source: str) -> DataFrame:
+def refresh_source(store: DataFrame, new: DataFrame, source: str, ws: Workspace | None = None) -> DataFrame:
     """``store`` with the rows of one source replaced by ``new``."""
-    return add_to_store(delete_from_store(store, where={"source": source}), new)
+    return add_to_store(delete_from_store(store, where={"source": source}), new, ws)
+
+
+def replace_store(store: DataFrame, new: DataFrame | None = None, ws: Workspace | None = None) -> DataFrame:
+    """An empty store of the same columns, or one of ``new`` alone, numbered from 0."""
+    empty = store.where(F.lit(False))
+    return empty if new is None else add_to_store(empty, new, ws)
 
 
 def in_order_of_ids(hits: DataFrame, by: list[str], k: int) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql.window import Window
 
 from siltstone.functions import sentences as S
 from siltstone.functions import text as T
+from siltstone.operators.ranks import sorted_table
 from siltstone.operators.retrieval import merge_passages, page_of
 from siltstone.plans import query
+from siltstone.sources.shared import Workspace
 
 _CHUNKS = "WITH c AS (SELECT doc_id, (n.i)::INT AS chunk, substr(text, n.i * 700 + 1, 700) AS chunk_text FROM documents, LATERAL (SELECT unnest(range(0, (length(text) + 699) // 700)) AS i) n) "
 
@@ -223,13 +225,24 @@ def url_safe_predicate(pages):
 _NATURAL = "array_to_string(list_transform(regexp_extract_all(lower({}), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN chr(1) || lpad(length(regexp_replace(x, '^0+([0-9])', '\\1'))::VARCHAR, 10, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END), '')"
 
 
+def _by_address(pages):
+    return sorted_table(Workspace(pages.sparkSession, "pages"), pages.select("page_id", "url"), [T.natural_key(F.col("url")), F.col("page_id")])
+
+
 @query("pages", sql=f"SELECT page_id FROM pages ORDER BY {_NATURAL.format('url')}, page_id LIMIT 10 OFFSET ((least(3, (SELECT (count(*) + 9) // 10 FROM pages)) - 1) * 10)")
 def paginate(pages):
     """The third page of ten by natural order of the address."""
-    return page_of(pages, [T.natural_key(F.col("url")), "page_id"], 3, 10).select("page_id")
+    return page_of(_by_address(pages), 3, 10).select("page_id")
 
 
 @query("pages", sql=f"SELECT page_id FROM pages ORDER BY {_NATURAL.format('url')}, page_id LIMIT 7 OFFSET (((SELECT (count(*) + 6) // 7 FROM pages) - 1) * 7)")
 def paginate_clamped(pages):
     """A page beyond the end is the last one."""
-    return page_of(pages, [T.natural_key(F.col("url")), "page_id"], 1_000_000, 7).select("page_id")
+    return page_of(_by_address(pages), 1_000_000, 7).select("page_id")
+
+
+@query("documents", sql="SELECT doc_id, row_number() OVER (ORDER BY source, n_chars DESC, doc_id) - 1 AS place FROM documents")
+def ranks_of_all(docs):
+    """The number of every document in order of source, length and id, by ranges and running offsets."""
+    order = [F.col("source"), F.col("n_chars").desc(), F.col("doc_id")]
+    return sorted_table(Workspace(docs.sparkSession, "ranks"), docs.select("doc_id", "source", "n_chars"), order).numbered("place").select("doc_id", "place")

@@ -88,10 +88,10 @@ def search_provenance(docs):
     return p.select(F.md5("id").alias("digest"), "occurrences", F.get("provenance", F.lit(0)).source.alias("first_source"), F.md5(places).alias("places"), F.array_join("flags", ",").alias("flags"))
 
 
-@query("documents", sql="WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(split_part(text, '.', 1)), '[\\p{L}\\p{N}_]+')) AS w FROM documents) SELECT a.doc_id, CASE WHEN len(list_distinct(a.w || b.w)) = 0 THEN 0.0 ELSE round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 6) END::DOUBLE AS overlap FROM s a JOIN s b ON b.doc_id = a.doc_id + 1")
+@query("documents", sql="WITH s AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents) SELECT a.doc_id, CASE WHEN len(list_distinct(a.w || b.w)) = 0 THEN 0.0 ELSE round(len(list_intersect(a.w, b.w)) / len(list_distinct(a.w || b.w)), 6) END::DOUBLE AS overlap FROM s a JOIN s b ON b.doc_id = a.doc_id + 1")
 def word_overlap(docs):
-    """Shared words of neighbouring documents' first sentences over all their words."""
-    s = docs.select("doc_id", T.word_set(F.substring_index("text", ".", 1)).alias("w"))
+    """Shared words of neighbouring documents over all their words."""
+    s = docs.select("doc_id", T.word_set(F.col("text")).alias("w"))
     n = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v"))
     return s.join(n, "doc_id").select("doc_id", F.round(T.jaccard(F.col("w"), F.col("v")), 6).alias("overlap"))
 
@@ -150,15 +150,15 @@ def criteria_met(docs):
     return R.met_criteria(c, docs.where("doc_id % 10 > 2").select(F.floor(F.col("doc_id") / 10).alias("question"), F.col("text").alias("passage")))
 
 
-_STORE = "SELECT doc_id AS id, source, length(text) AS start, md5(text) AS digest FROM documents WHERE doc_id % 3 = 0"
+_STORE = "SELECT doc_id AS id, source, length(text) AS start, md5(text) AS digest FROM documents"
 
 
 def _store(docs):
     rows = docs.select(F.col("doc_id").alias("id"), "source", F.length("text").cast("long").alias("start"), F.md5("text").alias("digest"))
-    return rows.where("id % 3 = 0"), rows.where("id % 3 = 1").withColumn("start", F.col("id"))
+    return rows, rows.withColumn("start", F.col("id"))
 
 
-@query("documents", sql=f"WITH s AS ({_STORE}), n AS (SELECT source, doc_id AS start, md5(text) AS digest FROM documents WHERE doc_id % 3 = 1) SELECT * FROM s UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY source, start), source, start, digest FROM n")
+@query("documents", sql=f"WITH s AS ({_STORE}), n AS (SELECT source, doc_id AS start, md5(text) AS digest FROM documents) SELECT * FROM s UNION ALL SELECT (SELECT max(id) FROM s) + row_number() OVER (ORDER BY source, start), source, start, digest FROM n")
 def store_add(docs):
     """New rows get the ids after the greatest, by source and start."""
     return R.add_to_store(*_store(docs))
@@ -172,7 +172,7 @@ def store_delete(docs):
     return R.delete_from_store(store, docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id")), {"source": source}).where("source is not null")
 
 
-@query("documents", sql=f"WITH s AS ({_STORE}), m AS (SELECT min(source) AS m FROM documents), r AS (SELECT s.* FROM s, m WHERE source IS DISTINCT FROM m), n AS (SELECT source, doc_id AS start, md5(text) AS digest FROM documents, m WHERE doc_id % 3 = 1 AND source = m) SELECT * FROM r UNION ALL SELECT (SELECT max(id) FROM r) + row_number() OVER (ORDER BY source, start), source, start, digest FROM n")
+@query("documents", sql=f"WITH s AS ({_STORE}), m AS (SELECT min(source) AS m FROM documents), r AS (SELECT s.* FROM s, m WHERE source IS DISTINCT FROM m), n AS (SELECT source, doc_id AS start, md5(text) AS digest FROM documents, m WHERE source = m) SELECT * FROM r UNION ALL SELECT (SELECT max(id) FROM r) + row_number() OVER (ORDER BY source, start), source, start, digest FROM n")
 def store_refresh(docs):
     """The rows of one source are replaced."""
     store, new = _store(docs)
@@ -180,10 +180,10 @@ def store_refresh(docs):
     return R.refresh_source(store, new.where(F.col("source") == source), source)
 
 
-@query("documents", sql="WITH t AS (SELECT doc_id, trim(split_part(text, '.', 1)) AS text FROM documents), c AS (SELECT DISTINCT text FROM t WHERE doc_id % 2 = 0) SELECT (SELECT count(*) FROM t JOIN c USING (text)) AS hits, (SELECT count(DISTINCT text) FROM t WHERE text NOT IN (SELECT text FROM c)) AS misses")
+@query("documents", sql="WITH t AS (SELECT doc_id, text FROM documents), c AS (SELECT DISTINCT text FROM t WHERE doc_id % 2 = 0) SELECT (SELECT count(*) FROM t JOIN c USING (text)) AS hits, (SELECT count(DISTINCT text) FROM t WHERE text NOT IN (SELECT text FROM c)) AS misses")
 def store_cache_split(docs):
     """How many texts have an embedding already, and how many distinct ones need one."""
-    t = docs.select("doc_id", F.trim(F.substring_index("text", ".", 1)).alias("text"))
+    t = docs.select("doc_id", "text")
     hits, misses = R.split_by_cache(t, t.where("doc_id % 2 = 0").select("text", F.array(F.lit(1.0)).alias("embedding")))
     return hits.agg(F.count("*").alias("hits")).crossJoin(misses.agg(F.count("*").alias("misses")))
 

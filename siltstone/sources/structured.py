@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from siltstone.functions.text import natural_key
+from siltstone.operators.ranks import sorted_table
+from siltstone.sources.shared import Workspace
 
 
 def dataset_kind(schema: StructType) -> str:
@@ -177,14 +179,13 @@ _PARTS = r"^(.+)-(\d+)-of-(\d+)(\.[^.]+)$"
 
 def catalogue(files: DataFrame, suffix: str) -> DataFrame:
     """(name, parts, bytes, place) of files (path, length) with a suffix in any case: parts of one model are one entry under its first
-    part's name, in natural order.  The catalogue of a folder is small; its places are dealt in one task."""
+    part's name, in natural order; places come from ranges of that order."""
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select(name.alias("name"), F.col("length")).where(F.endswith(F.lower("name"), F.lit(suffix.lower())) & ~F.startswith(F.lower("name"), F.lit("mmproj")))
     whole = F.when(F.col("name").rlike(_PARTS), F.regexp_replace("name", _PARTS, "$1$4")).otherwise(F.col("name"))
     one = rows.groupBy(whole.alias("_whole")).agg(F.min_by("name", F.coalesce(F.regexp_extract("name", _PARTS, 2).try_cast("int"), F.lit(0))).alias("name"), F.count("*").alias("parts"), F.sum("length").alias("bytes"))
-    from pyspark.sql.window import Window
-
-    return one.withColumn("place", F.row_number().over(Window.orderBy(natural_key(F.col("name")), "name"))).drop("_whole")
+    ordered = sorted_table(Workspace(files.sparkSession, "catalogue"), one.drop("_whole"), [natural_key(F.col("name")), F.col("name")])
+    return ordered.numbered("place").withColumn("place", (F.col("place") + 1).cast("int"))
 
 
 def sample_rows(rows: DataFrame, path: str, n: int = 10) -> None:
