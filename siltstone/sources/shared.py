@@ -50,3 +50,7 @@ class Workspace:
         """Removes saved tables that nothing reads any more."""
         for df in saved:
             delete_path(self.spark, df._siltstone_path)
+
+    def drop_all(self) -> None:
+        """Removes everything that was saved here."""
+        delete_path(self.spark, self.root)
