@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from siltstone.plans import ORACLE_SQL, QUERIES, chats, corpus, documents, evaluation, passages, search, tokens, vectors
+from siltstone.plans import ORACLE_SQL, QUERIES, chats, corpus, documents, evaluation, indexes, passages, search, tokens, vectors
 
-__all__ = ["ORACLE_SQL", "QUERIES", "chats", "corpus", "documents", "evaluation", "passages", "search", "tokens", "vectors"]
+__all__ = ["ORACLE_SQL", "QUERIES", "chats", "corpus", "documents", "evaluation", "indexes", "passages", "search", "tokens", "vectors"]

@@ -32,7 +32,8 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, block: int = 2048) -> Dat
         query, ids = found["query"].to_numpy(), found["id"].to_numpy()
         if not query.any() or query.all():
             return
-        x = np.array(found["vector"].to_pylist(), float)
+        flat = found["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        x = flat.astype(float).reshape(found.num_rows, -1)
         q, r = np.flatnonzero(query), np.flatnonzero(~query)
         r = r[np.argsort(ids[r], kind="stable")]
         score = np.round(x[q] @ x[r].T, 9)
