@@ -36,3 +36,19 @@ def token_windows(docs: DataFrame, cutoff: int, stride: int) -> DataFrame:
     p = p.select("_k", "offset", F.slice("tokens", (at + 1).cast("int"), (end - at).cast("int")).alias("part")).where("size(part) > 0")
     w = p.groupBy("_k").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "part"))), lambda x: x.part)).alias("tokens"))
     return w.select((F.col("_k") * step).alias("start"), F.size("tokens").cast("long").alias("length"), "tokens")
+
+
+def training_windows(docs: DataFrame, cutoff: int, stride: int, pad: int, end: int | None = None, ignored: int = -100) -> DataFrame:
+    """(start, input_ids, labels, attention_mask) over docs(doc_id, ids) in a row, with ``end`` behind each document if given.
+
+    The last window is padded: its padding has the label ``ignored`` and no attention.  Fewer tokens than one window are an error.
+    """
+    ids = F.coalesce("ids", F.array().cast(docs.schema["ids"].dataType))
+    tokens = docs.select("doc_id", (ids if end is None else F.concat(ids, F.array(F.lit(end)))).alias("tokens"))
+    if (tokens.agg(F.sum(F.size("tokens"))).first()[0] or 0) < cutoff:
+        raise ValueError("the documents don't fill one window")
+    missing = F.lit(cutoff) - F.size("tokens")
+    filled = lambda x: F.array_repeat(F.lit(x), missing)
+    return token_windows(tokens, cutoff, stride).select(
+        "start", F.concat("tokens", filled(pad)).alias("input_ids"), F.concat("tokens", filled(ignored)).alias("labels"), F.concat(F.array_repeat(F.lit(1), F.size("tokens")), filled(0)).alias("attention_mask")
+    )

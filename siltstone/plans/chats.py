@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from siltstone.functions import messages as M
 from siltstone.functions import reasoning as R
 from siltstone.functions import text as T
-from siltstone.operators.windows import token_windows
+from siltstone.operators.windows import token_windows, training_windows
 from siltstone.plans import query
 
 _W = "[ \\t\\n\\x0B\\f\\r]+"
@@ -123,6 +123,21 @@ def train_chunk_stride(docs):
     return token_windows(docs.select("doc_id", T.word_tokens(F.col("text")).alias("tokens")), 256, 64).select("start", "length", (256 - F.col("length")).alias("padding"), F.md5(F.array_join("tokens", " ")).alias("digest"))
 
 
+@query(
+    "documents",
+    sql=f"""WITH d AS (SELECT doc_id, list_append(list_transform({_WORDS}, lambda x: length(x)), 0) AS w FROM documents), o AS (SELECT *, coalesce(sum(len(w)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM d),
+t AS (SELECT off + unnest(range(0, len(w))) AS i, unnest(w) AS id FROM o), p AS (SELECT i, id, unnest(range(greatest((i - 255 + 191) // 192, 0), i // 192 + 1)) AS k FROM t WHERE true),
+g AS (SELECT k * 192 AS start, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM p WHERE i >= k * 192 AND i < k * 192 + 256 GROUP BY k)
+SELECT start, md5(ids || repeat(',-1', (256 - n)::INT)) AS input_ids, md5(ids || repeat(',-100', (256 - n)::INT)) AS labels, n AS attended FROM g""",
+)
+def train_windows(docs):
+    """Windows of 256 ids with a step of 192, an end behind each document, with labels and attention; ids are lengths of words here."""
+    ids = F.transform(T.word_tokens(F.col("text")), F.length)
+    joined = lambda c: F.md5(F.array_join(F.col(c).cast("array<string>"), ","))
+    made = training_windows(docs.select("doc_id", ids.alias("ids")), 256, 64, -1, end=0)
+    return made.select("start", joined("input_ids").alias("input_ids"), joined("labels").alias("labels"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda s, x: s + x).alias("attended"))
+
+
 @query("conversations", sql=f"SELECT conv_id, turn, sum(CASE WHEN role = 'assistant' THEN n ELSE -100 * n END)::BIGINT - 200 AS checksum FROM (SELECT conv_id, turn, role, len({_WORDS}) AS n FROM conversations) GROUP BY conv_id, turn, role")
 def train_labels(c):
     """Labels of each message behind a header of two tokens: its tokens if it's the assistant's, else masked; ids are all 1 here."""

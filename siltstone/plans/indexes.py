@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.ann import AnnIndex, results_each
 from siltstone.operators.substrings import gram_index, holding
+from siltstone.operators.feeding import chunk_stream, distinct_chunks
 from siltstone.operators.summaries import summaries as summaries_of
+from siltstone.operators.tuning import race
 from siltstone.plans import query
+from siltstone.plans.vectors import _SCORED, _nearest
 from siltstone.sources.shared import Workspace, shared_dir
 
 
@@ -53,3 +56,39 @@ def document_summaries(docs):
     """The fifth of each document's sentences that the others lean on."""
     found = summaries_of(docs.select(F.col("doc_id").alias("doc"), "text"))
     return found.select(F.col("doc").alias("doc_id"), F.col("n").alias("sentences"), F.size("sentences").alias("kept"), F.md5(F.array_join("sentences", "\n")).alias("digest"))
+
+
+@query("documents")
+def chunk_feed(docs):
+    """Numbers and chunks of 400 and 900 characters of each document's lines, with context, without near repeats."""
+    stream = chunk_stream(docs.select(F.col("doc_id").alias("source"), "text"), [400, 900], 30, separator="\n", pattern=r"[0-9]{3,}")
+    return distinct_chunks(stream, 200).select(F.col("source").alias("doc_id"), "place.stream", "place.offset", "place.n", F.md5("chunk").alias("chunk"), F.md5("context").alias("context"), "start")
+
+
+_SETTINGS = [(i, k, least) for i, (k, least) in enumerate((k, least) for k in (2, 5, 9, 20) for least in (0.0, 0.2, 0.4))]
+_VALUES = ", ".join(f"({i}, {k}, {least})" for i, k, least in _SETTINGS)
+
+
+@query(
+    "embeddings",
+    sql=_SCORED
+    + f""", s(setting_id, k, least) AS (VALUES {_VALUES}), h AS (SELECT s.setting_id, least(3, count_if(k.rank <= s.k AND round(k.score, 6) >= s.least AND a.label = b.label) + CASE WHEN s.k < 9 THEN 1 ELSE 0 END) AS hits
+FROM s, k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.id GROUP BY s.setting_id, s.k, k.query_id), t AS (SELECT setting_id, sum(hits)::BIGINT AS hits FROM h GROUP BY setting_id)
+SELECT setting_id::BIGINT AS setting_id, hits FROM t ORDER BY hits DESC, setting_id LIMIT 1""",
+)
+def tuned_retrieval(e):
+    """The best of twelve settings for neighbours of one label, three at most a query, found by rounds that leave out what can't win."""
+    ws, spark = Workspace(e.sparkSession, "tuning"), e.sparkSession
+    label = e.select(F.col("vec_id").alias("id"), "label")
+    near = ws.save(_nearest(e).join(label, "id").join(label.select(F.col("id").alias("query_id"), F.col("label").alias("own")), "query_id").select("query_id", "rank", F.round("score", 6).alias("score"), (F.col("label") == F.col("own")).alias("same")), "near")
+    settings = spark.createDataFrame(_SETTINGS, "setting_id long, k int, least double")
+
+    def score(going, fresh):
+        every = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("setting_id"), F.lit(k).alias("k"), F.lit(least).alias("least")) for i, k, least in _SETTINGS))).alias("s")
+        met = near.join(fresh.select(F.col("question").alias("query_id")), "query_id").select("*", every).select("*", "s.*").join(going.select("setting_id"), "setting_id", "left_semi")
+        good = F.count_if((F.col("rank") <= F.col("k")) & (F.col("score") >= F.col("least")) & F.col("same"))
+        return met.groupBy("setting_id", "k", F.col("query_id").alias("question")).agg(F.least(F.lit(3), good + F.when(F.col("k") < 9, 1).otherwise(0)).alias("hits"))
+
+    questions = near.select(F.col("query_id").alias("question"), F.lit(3).cast("long").alias("most")).distinct()
+    log, _ = race(ws, settings, questions, score)
+    return log.where("best").select("setting_id", "hits")
