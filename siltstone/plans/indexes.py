@@ -72,8 +72,8 @@ _VALUES = ", ".join(f"({i}, {k}, {least})" for i, k, least in _SETTINGS)
 @query(
     "embeddings",
     sql=_SCORED
-    + f""", s(setting_id, k, least) AS (VALUES {_VALUES}), h AS (SELECT s.setting_id, least(3, count_if(k.rank <= s.k AND round(k.score, 6) >= s.least AND a.label = b.label) + CASE WHEN s.k < 9 THEN 1 ELSE 0 END) AS hits
-FROM s, k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.id GROUP BY s.setting_id, s.k, k.query_id), t AS (SELECT setting_id, sum(hits)::BIGINT AS hits FROM h GROUP BY setting_id)
+    + f""", g(setting_id, k, least) AS (VALUES {_VALUES}), h AS (SELECT g.setting_id, least(3, count_if(k.rank <= g.k AND round(k.score, 6) >= g.least AND a.label = b.label) + CASE WHEN g.k < 9 THEN 1 ELSE 0 END) AS hits
+FROM g, k JOIN embeddings a ON a.vec_id = k.query_id JOIN embeddings b ON b.vec_id = k.id GROUP BY g.setting_id, g.k, k.query_id), t AS (SELECT setting_id, sum(hits)::BIGINT AS hits FROM h GROUP BY setting_id)
 SELECT setting_id::BIGINT AS setting_id, hits FROM t ORDER BY hits DESC, setting_id LIMIT 1""",
 )
 def tuned_retrieval(e):

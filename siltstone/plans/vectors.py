@@ -85,7 +85,33 @@ SELECT vec_id, category, round(score, 6) AS score, score > 0.5 AS flagged FROM s
 )
 def moderation_scores(e):
     """Twice the dot product with each category's mean vector, flagged above 0.5.  There is one prototype a label."""
+    every = F.explode(category_scores(F.col("embedding"), _prototypes(e))).alias("c")
+    return e.select("vec_id", every).select("vec_id", "c.category", F.round("c.score", 6).alias("score"), (F.col("c.score") > 0.5).alias("flagged"))
+
+
+@query(
+    "embeddings",
+    sql="""WITH x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+p AS (SELECT label AS category, i, avg(v) AS m FROM x GROUP BY ALL),
+s AS (SELECT x.vec_id, p.category, 2 * sum(x.v * p.m) AS score FROM x JOIN p USING (i) GROUP BY ALL)
+SELECT vec_id, bool_or(round(score, 6) > 0.5) AS flagged, count_if(round(score, 6) > 0.5)::INT AS categories, round(max(score), 6) AS most FROM s GROUP BY vec_id""",
+)
+def moderation_any(e):
+    """Whether any category flags a vector, how many do, and the highest score."""
+    scored = e.select("vec_id", F.transform(category_scores(F.col("embedding"), _prototypes(e)), lambda c: F.round(c.score, 6)).alias("s"))
+    over = F.size(F.filter("s", lambda x: x > 0.5))
+    return scored.select("vec_id", (over > 0).alias("flagged"), over.alias("categories"), F.array_max("s").alias("most"))
+
+
+def category_scores(vector, prototypes):
+    """Array of (category, score): twice the product with each of ``prototypes``, rows of (category, mean), of which there are a bounded number."""
+    return F.array(*(F.struct(F.lit(c).alias("category"), (2 * dot(vector, F.array(*map(F.lit, mean)))).alias("score")) for c, mean in prototypes))
+
+
+def _prototypes(e: DataFrame, most: int = 1000) -> list[tuple]:
+    """(category, mean) by label; more than ``most`` categories are an error, as each is a part of the plan."""
     parts = e.select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    means = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x.m).alias("mean"))
-    score = 2 * dot(F.col("embedding"), F.col("mean"))
-    return e.drop("label").crossJoin(F.broadcast(means)).select("vec_id", F.col("label").alias("category"), F.round(score, 6).alias("score"), (score > 0.5).alias("flagged"))
+    found = parts.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x.m).alias("mean")).orderBy("label").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"there are more than {most} categories")
+    return [(r.label, [float(v) for v in r.mean]) for r in found]
