@@ -30,7 +30,7 @@ def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
 
 
 def cancel(spark: SparkSession, tag: str) -> bool:
-    """Interrupts the running jobs of ``tag``; whether there were any.  Work is between two jobs now and then: ask again until it has ended."""
+    """Interrupts the running jobs of ``tag``; whether any were seen.  Work is between two jobs now and then: ask again until it has ended."""
     context = spark.sparkContext
     running = list(context._jsc.sc().statusTracker().getJobIdsForTag(tag))
     active = set(context.statusTracker().getActiveJobsIds())
