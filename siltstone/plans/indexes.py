@@ -1,4 +1,4 @@
-"""Queries on indexes kept as tables: approximate neighbours, substrings, summaries."""
+"""Queries on indexes kept as tables: approximate neighbours, substrings, summaries, grammar masks."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from siltstone.operators.ann import AnnIndex, results_each
 from siltstone.operators.substrings import gram_index, holding
 from siltstone.operators.feeding import chunk_stream, distinct_chunks
+from siltstone.operators.grammar import Grammar, Rule, allowed_codes, chars
 from siltstone.operators.summaries import summaries as summaries_of
 from siltstone.operators.tuning import race
 from siltstone.plans import query
@@ -92,3 +93,31 @@ def tuned_retrieval(e):
     questions = near.select(F.col("query_id").alias("question"), F.lit(3).cast("long").alias("most")).distinct()
     log, _ = race(ws, settings, questions, score)
     return log.where("best").select("setting_id", "hits")
+
+
+_UPPER, _LETTER = chars("AZ", "ÀÞ"), chars("AZ", "az", "Àÿ")
+#: Sentences of words: a capital first, single spaces or a comma and a space between words, a mark at the end, then a space or a new line.
+SENTENCES = Grammar(
+    {
+        "root": ((Rule("sentence"), Rule("more")),),
+        "more": ((), (chars("  ", "\n\n"), Rule("sentence"), Rule("more"))),
+        "sentence": ((_UPPER, Rule("letters"), Rule("words"), chars("..", "!!", "??")),),
+        "letters": ((), (_LETTER, Rule("letters"))),
+        "words": ((), (" ", Rule("word"), Rule("words")), (", ", Rule("word"), Rule("words"))),
+        "word": ((_LETTER, Rule("letters")),),
+    }
+)
+
+
+@query("conversations")
+def grammar_masks(c):
+    """Each state that messages come to by a grammar of sentences: in how many, whether they may end there, and which of all words, with the space before, may follow."""
+    ws = Workspace(c.sparkSession, "grammar")
+    met = c.where("text is not null").select(F.explode(SENTENCES.met(F.col("text"))).alias("stacks")).groupBy("stacks").agg(F.count("*").alias("messages"))
+    states = ws.save(met.select(F.to_json("stacks").alias("state_id"), "stacks", "messages"), "states")
+    words = c.select(F.explode(F.regexp_extract_all("text", F.lit(r"(\s?\S+)"))).alias("token")).distinct()
+    tokens = words.groupBy(SENTENCES.code(F.col("token")).alias("code")).agg(F.count("*").alias("tokens"), F.sum(F.crc32("token")).alias("sums"))
+    tokens = ws.save(tokens, "tokens")
+    sums = allowed_codes(ws, SENTENCES, states, tokens.select("code")).join(tokens, "code").groupBy("state_id").agg(F.sum("tokens").alias("tokens"), F.sum("sums").alias("sums"))
+    out = states.join(sums, "state_id", "left").na.fill(0, ["tokens", "sums"])
+    return out.select("messages", SENTENCES.may_end(F.col("stacks")).alias("ends"), "tokens", "sums", F.col("state_id").alias("state"))
