@@ -165,11 +165,22 @@ def clean_with_offsets(docs):
     return docs.select("doc_id", F.md5(T.clean_report(F.col("text")).text).alias("digest"))
 
 
-@query("documents", sql=f"SELECT 'line_wraps' AS kind, sum(n)::BIGINT AS changes, count_if(n > 0)::BIGINT AS files FROM (SELECT len(regexp_extract_all({_unwrapped_sql(False)}, ' *\\n *')) AS n FROM documents)")
+_WRAP = f"'({_JOIN})\\x{{AD}}{_BLANK}*\\n{_BLANK}*({_JOIN})'"
+_SOFT = "len(regexp_extract_all({}, '\\x{{AD}}'))"
+#: How often each pass of the conservative clean-up changes something, each on the text that the passes before it left.
+_PASS_COUNTS = f"""WITH x AS (SELECT regexp_replace(text, '^\\x{{FEFF}}', '') AS a, regexp_replace(a, '\\r\\n?', chr(10), 'g') AS b, regexp_replace(b, '[\\x{{2029}}\\f]', chr(10) || chr(10), 'g') AS c, regexp_replace(c, '\\x{{2028}}', chr(10), 'g') AS d,
+regexp_replace(regexp_replace(d, {_WRAP}, '\\1\\2', 'g'), {_WRAP}, '\\1\\2', 'g') AS e, replace(e, chr(173), '') AS f, regexp_replace(f, '{_BLANK}+', ' ', 'g') AS g, regexp_replace(g, ' *\\n(?: *\\n)+ *', chr(8233), 'g') AS h, text FROM documents),
+n AS (SELECT MAP {{'byte_order_mark': length(text) - length(a), 'line_endings': len(list_filter(regexp_extract_all(a, '\\r\\n?|\\n'), lambda m: m <> chr(10))), 'paragraph_separators': len(regexp_extract_all(b, '[\\x{{2029}}\\f]')),
+'line_separators': len(regexp_extract_all(c, '\\x{{2028}}')), 'soft_hyphen_wraps': {_SOFT.format("d")} - {_SOFT.format("e")}, 'soft_hyphens': {_SOFT.format("e")}, 'horizontal_whitespace': len(list_filter(regexp_extract_all(f, '{_BLANK}+'), lambda m: m <> ' ')),
+'paragraph_whitespace': len(list_filter(regexp_extract_all(g, ' *\\n(?: *\\n)+ *'), lambda m: m <> chr(10) || chr(10))), 'line_wraps': len(regexp_extract_all(h, ' *\\n *'))}} AS m FROM x)
+SELECT key AS kind, sum(value)::BIGINT AS changes, count_if(value > 0)::BIGINT AS files FROM (SELECT unnest(map_entries(m), recursive := true) FROM n) GROUP BY key HAVING sum(value) > 0"""
+
+
+@query("documents", sql=_PASS_COUNTS)
 def cleanup_totals(docs):
-    """How often wrapped lines were joined, and in how many texts."""
+    """How often each pass of the clean-up changed something, and in how many texts."""
     kinds = docs.select(F.explode(T.clean_report(F.col("text")).counts).alias("kind", "n"))
-    return kinds.where("kind = 'line_wraps'").groupBy("kind").agg(F.sum("n").alias("changes"), F.count("*").alias("files"))
+    return kinds.groupBy("kind").agg(F.sum("n").alias("changes"), F.count("*").alias("files"))
 
 
 @query("documents")
@@ -181,18 +192,19 @@ def cleanup_samples(docs):
     return totals.join(first, "kind").select("kind", "changes", "files", F.col("f.doc_id").alias("first_doc"), "f.before", "f.after")
 
 
-_ENDS = "SELECT doc_id, unnest(list_transform(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''), lambda w: right(w, 1))) AS t FROM documents"
+_PIECE = r"[\p{L}\p{M}\p{N}]+|[^\p{L}\p{M}\p{N} \t\n\x0B\f\r]+"
+_PIECES = f"SELECT unnest(regexp_extract_all(text, '{_PIECE}')) AS t FROM documents"
 
 
 @query(
     "documents",
-    sql=f"""WITH l AS ({_ENDS}), f AS (SELECT [CASE WHEN contains(t, chr(65533)) THEN 'replacement_character' END, CASE WHEN regexp_matches(t, '[\\x00-\\x08\\x0E-\\x1B\\x7F-\\x{{84}}\\x{{86}}-\\x{{9F}}]') THEN 'control_character' END,
+    sql=f"""WITH l AS ({_PIECES}), f AS (SELECT [CASE WHEN contains(t, chr(65533)) THEN 'replacement_character' END, CASE WHEN regexp_matches(t, '[\\x00-\\x08\\x0E-\\x1B\\x7F-\\x{{84}}\\x{{86}}-\\x{{9F}}]') THEN 'control_character' END,
 CASE WHEN regexp_matches(t, '\\pP') AND NOT regexp_matches(t, '[^\\pP \\t\\n\\x0B\\f\\r\\x{{85}}\\p{{Z}}]') THEN 'punctuation_fragment' END] AS flags FROM l)
 SELECT flag, count(*) AS words FROM (SELECT unnest(list_filter(flags, lambda x: x IS NOT NULL)) AS flag FROM f) GROUP BY flag""",
 )
 def word_flags(docs):
-    """How many last characters of the runs between white space carry each flag of damage."""
-    words = docs.select(F.explode(T.word_tokens(F.col("text"))).alias("t")).select(F.expr("right(t, 1)").alias("t"))
+    """How many words, and runs of other characters between them, carry each flag of damage."""
+    words = docs.select(F.explode(F.regexp_extract_all("text", F.lit(f"({_PIECE})"))).alias("t"))
     return words.select(F.explode(S.damage_flags(F.col("t"))).alias("flag")).groupBy("flag").agg(F.count("*").alias("words"))
 
 

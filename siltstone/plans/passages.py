@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siltstone.functions import sentences as S
-from siltstone.functions.tools import held_back, tool_calls
+from siltstone.functions.tools import MARKERS, held_back, tool_calls
 from siltstone.operators import passages as P
 from siltstone.plans import query
 
@@ -60,20 +60,25 @@ _WRITTEN = (
 )
 
 
-@query("conversations", sql="""SELECT conv_id, turn, 0 AS call, 'lookup' AS name, '{"turn": ' || turn || '}' AS arguments FROM conversations WHERE NOT contains(text, '[')""")
+@query("conversations", sql="""SELECT conv_id, turn, 0 AS call, 'lookup' AS name, '{"turn": ' || turn || '}' AS arguments FROM conversations WHERE (conv_id + turn) % 12 <> 10 OR text IS NULL OR NOT regexp_matches(text, '\\[[^\\[\\]]+\\]')""")
 def tool_calls_parse(c):
-    """Calls in messages that carry one behind them, each in one of twelve ways of writing it."""
+    """Calls in messages that carry one behind them, each in one of twelve ways of writing it; a bracketed list counts only as the first bracket."""
     ways = F.array(*map(F.lit, _WRITTEN))
     call = F.replace(F.get(ways, ((F.col("conv_id") + F.col("turn")) % len(_WRITTEN)).cast("int")), F.lit("%"), F.col("turn").cast("string"))
     reply = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), call)
-    return c.where(~F.contains("text", F.lit("["))).select("conv_id", "turn", F.posexplode(tool_calls(reply, ("lookup",))).alias("call", "c")).select("conv_id", "turn", "call", "c.name", "c.arguments")
+    return c.select("conv_id", "turn", F.posexplode(tool_calls(reply, ("lookup",))).alias("call", "c")).select("conv_id", "turn", "call", "c.name", "c.arguments")
 
 
-@query("conversations", sql="SELECT conv_id, turn, turn % 3 = 0 OR (turn % 3 = 1 AND conv_id % 2 = 0) AS held FROM conversations")
+_BEGUN = sorted({m[:k] for m in MARKERS for k in range(1, len(m))})
+_BROKEN = "text || CASE turn % 3 WHEN 0 THEN ' <tool_call>{' WHEN 1 THEN CASE conv_id % 2 WHEN 0 THEN ' <tool_ca' ELSE ' <tool_ca.' END ELSE ' x' END"
+_HELD = " OR ".join([f"contains(r, '{m}')" for m in MARKERS] + [f"suffix(r, '{b}')" for b in _BEGUN])
+
+
+@query("conversations", sql=f"SELECT conv_id, turn, {_HELD} AS held FROM (SELECT *, {_BROKEN} AS r FROM conversations)")
 def tool_stream_held(c):
     """Whether a reply that breaks off may be a call: a whole mark, the start of one, or neither."""
-    text = F.concat(F.translate("text", "<[t{", "____"), F.when(F.col("turn") % 3 == 0, " <tool_call>{").when(F.col("turn") % 3 == 1, F.when(F.col("conv_id") % 2 == 0, " <tool_ca").otherwise(" <tool_ca.")).otherwise(" x"))
-    return c.select("conv_id", "turn", held_back(text).alias("held"))
+    end = F.when(F.col("turn") % 3 == 0, " <tool_call>{").when(F.col("turn") % 3 == 1, F.when(F.col("conv_id") % 2 == 0, " <tool_ca").otherwise(" <tool_ca.")).otherwise(" x")
+    return c.select("conv_id", "turn", held_back(F.concat("text", end)).alias("held"))
 
 
 def _rows(column: str):

@@ -11,14 +11,13 @@ from siltstone.plans import query
 from siltstone.plans.vectors import _SCORED
 
 _TOKENS = "len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> ''))"
-_CANDIDATES = f"SELECT doc_id AS id, trim(split_part(text, '.', 1)) AS text, 1 + length(split_part(text, '.', 1)) % 3 AS sentences FROM documents"
+_CANDIDATES = "SELECT doc_id AS id, trim(text) AS text, len(regexp_extract_all(text, '[.!?]+')) AS sentences FROM documents"
 _C = f"c AS (SELECT *, {_TOKENS} + 2 AS tokens, {_TOKENS} AS content_tokens FROM ({_CANDIDATES}))"
 
 
 def _candidates(docs):
-    """The first sentence of each document; an encoder adds two tokens."""
-    first = F.substring_index("text", ".", 1)
-    c = docs.select(F.col("doc_id").alias("id"), F.trim(first).alias("text"), (1 + F.length(first) % 3).alias("sentences"))
+    """Whole texts with their numbers of sentence ends and of words; an encoder adds two tokens."""
+    c = docs.select(F.col("doc_id").alias("id"), F.trim("text").alias("text"), F.size(F.regexp_extract_all("text", F.lit("([.!?]+)"))).alias("sentences"))
     n = F.size(T.word_tokens(F.col("text")))
     return c.withColumn("tokens", n + 2).withColumn("content_tokens", n)
 
@@ -195,9 +194,26 @@ def distance_strategies(docs):
     return d.select("doc_id", *(F.round(R.combine_distances(F.col("a"), F.col("b"), s), 6).alias(f"d_{s}") for s in ("min", "harmonic", "geometric", "arithmetic")))
 
 
-@query("embeddings", sql="WITH x AS (SELECT vec_id, embedding[1]::DOUBLE AS s, embedding[2]::DOUBLE AS e, embedding[3]::DOUBLE AS c FROM embeddings) SELECT a.vec_id, round((a.s + b.s) / 2 + 0.25 * least(a.e, b.e) - 0.25 * greatest(a.c, b.c), 6) AS score FROM x a JOIN x b ON b.vec_id = a.vec_id + 1")
+_ZIPPED = "list_sum(list_transform(list_zip(a.v, b.v), lambda z: {}))"
+
+
+@query(
+    "embeddings",
+    sql=f"""WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT a.vec_id, {_ZIPPED.format("z[1] * z[2]")} AS s, {_ZIPPED.format("least(z[1], z[2])")} AS t, {_ZIPPED.format("greatest(z[1] - z[2], 0)")} AS e, {_ZIPPED.format("greatest(z[2] - z[1], 0)")} AS f,
+{_ZIPPED.format("CASE WHEN z[1] * z[2] < 0 THEN abs(z[1]) ELSE 0 END")} AS c, {_ZIPPED.format("CASE WHEN z[1] * z[2] < 0 THEN abs(z[2]) ELSE 0 END")} AS d FROM x a JOIN x b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round((s + t) / 2 + 0.25 * least(e, f) - 0.25 * greatest(c, d), 6) AS score FROM p""",
+)
 def pair_scores(e):
-    """Scores of both directions of a pair as one."""
-    x = e.select("vec_id", F.struct(*(F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(("semantic", "entailment", "contradiction")))).alias("f"))
-    b = x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("f").alias("b"))
-    return x.join(b, "vec_id").select("vec_id", F.round(R.pair_score(F.col("f"), F.col("b")), 6).alias("score"))
+    """Scores of both directions of a pair as one; each of them is summed over two whole vectors."""
+    x = e.select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("a"))
+    p = x.join(x.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    zero = F.lit(0.0)
+    total = lambda f, a, b: F.aggregate(F.zip_with(a, b, f), zero, lambda s, v: s + v)
+
+    def way(semantic, a, b):
+        entailment = total(lambda u, v: F.greatest(u - v, zero), a, b)
+        contradiction = total(lambda u, v: F.when(u * v < 0, F.abs(u)).otherwise(zero), a, b)
+        return F.struct(total(semantic, a, b).alias("semantic"), entailment.alias("entailment"), contradiction.alias("contradiction"))
+
+    p = p.select("vec_id", way(lambda u, v: u * v, "a", "b").alias("f"), way(lambda u, v: F.least(u, v), "b", "a").alias("g"))
+    return p.select("vec_id", F.round(R.pair_score(F.col("f"), F.col("g")), 6).alias("score"))

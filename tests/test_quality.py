@@ -162,3 +162,19 @@ def test_replacing_a_sentence(spark):
 def test_context(spark):
     row = frame(spark, "abcdef").select(S.context_of(F.col("t"), F.lit(2), F.lit(4), 1).alias("a"), S.context_of(F.col("t"), F.lit(0), F.lit(4)).alias("b")).first()
     assert tuple(row.a) == ("b", "e") and tuple(row.b) == ("", "ef")
+
+
+def test_totals_of_every_pass(spark):
+    import duckdb
+    import pandas as pd
+
+    from siltstone.plans import documents
+
+    texts = ["\ufeffa\r\nb\rc\n\nd", "so\xad\nft hy\xadphen\xad \n x", "a\u2029b\fc\u2028d", "two  blanks\t\tand\u00a0one \n \n end\n\n\nlast \n line", "plain", "", None, "a\xad\nb\xad\nc", "\r\r\n\n"]
+    docs = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})  # noqa: F841  read by DuckDB
+    con = duckdb.connect()
+    con.register("documents", docs)
+    want = sorted(con.execute(documents._PASS_COUNTS).fetchall())
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, documents.cleanup_totals(given).select("kind", "changes", "files").collect())) == want
+    assert {k for k, *_ in want} == {kind for kind, *_ in T.clean_passes("conservative", False)}
