@@ -31,8 +31,10 @@ from siltstone.llm.words import hash_ranges, lower_hash_table, mix64, text_block
 class ToxicityConfig:
     """``sample`` bounds the labelled rows that are learned from, and by that what the driver holds of them.
 
-    A voter needs ``min_documents`` toxic documents (fewer if there are very few) and that share of toxic ones; there is no other
-    limit on candidates or voters (72 voters of 788 candidates on 20,000 rows of generated documents).
+    A voter needs ``min_documents`` toxic documents (fewer if there are very few) and that share of toxic ones.  A voter is chosen for as many
+    documents that count still, and a document counts ``cover`` times, so there are at most ``cover * sample / min_documents`` voters: 26,666
+    (72 voters of 788 candidates on 20,000 rows of generated documents).  Votes are kept as pairs, correlations are summed in blocks of 256 columns
+    and 1024 rows: 6 KB for each voter and 16 bytes for each pair.
     """
 
     sample: int = 20_000
@@ -159,37 +161,103 @@ def choose_voters(sets: list[np.ndarray], labels: np.ndarray, cfg: ToxicityConfi
     return np.sort(keys[chosen])
 
 
-def votes_of(present: np.ndarray, agree: tuple[int, ...]) -> np.ndarray:
-    """The vote matrix: a lexicon voter says 1 or abstains (0); a voter on agreement says 1 from ``agree`` voters on,
-    and -1 if there is none at all."""
-    count = present.sum(1)
-    return np.concatenate([present.astype(np.int8), np.stack([np.where(count >= n, 1, np.where(count == 0, -1, 0)) for n in agree], 1).astype(np.int8)], 1)
+@dataclass(frozen=True)
+class Present:
+    """Which lexicon voters stand in which rows, as pairs in order of row, and how many in each row."""
+
+    row: np.ndarray
+    voter: np.ndarray
+    rows: int
+    voters: int
+
+    @classmethod
+    def of(cls, sets: list[np.ndarray], keys: np.ndarray) -> Present:
+        """``sets`` are sorted distinct features; those that aren't among the sorted ``keys`` are passed over."""
+        found = [np.flatnonzero(np.isin(keys, s, assume_unique=True)) for s in sets]
+        row = np.repeat(np.arange(len(sets)), [len(f) for f in found])
+        return cls(row, np.concatenate([np.zeros(0, np.int64), *found]), len(sets), len(keys))
+
+    @property
+    def count(self) -> np.ndarray:
+        return np.bincount(self.row, minlength=self.rows)
+
+    def by_row(self, weights: np.ndarray) -> np.ndarray:
+        """For each row the sum of its voters' weights."""
+        return np.bincount(self.row, weights[self.voter], self.rows)
+
+    def by_voter(self, values: np.ndarray) -> np.ndarray:
+        """For each voter the sum of its rows' values."""
+        return np.bincount(self.voter, values[self.row], self.voters)
+
+    def dense(self, extra: np.ndarray, first: int, last: int) -> np.ndarray:
+        """Rows ``first`` to ``last`` as a matrix, with the columns of ``extra`` behind the voters."""
+        out = np.zeros((last - first, self.voters + extra.shape[1]), np.float32)
+        i, j = np.searchsorted(self.row, [first, last])
+        out[self.row[i:j] - first, self.voter[i:j]] = 1
+        out[:, self.voters :] = extra[first:last]
+        return out
 
 
-def label_model(votes: np.ndarray, start: np.ndarray, rounds: int) -> np.ndarray:
+def agreement_votes(count: np.ndarray, agree: tuple[int, ...]) -> np.ndarray:
+    """A voter on agreement says 1 from ``agree`` lexicon voters on, -1 if there is none at all, else it abstains."""
+    return np.stack([np.where(count >= n, 1, np.where(count == 0, -1, 0)) for n in agree], 1).astype(np.int8)
+
+
+def evidence_shares(x: Present, extra: np.ndarray, posterior: np.ndarray, mean: np.ndarray, columns: int = 256, rows: int = 1024) -> np.ndarray:
+    """1 / (1 + the sum of a voter's absolute residual correlations with the others), where those of 0.1 and more count.
+
+    The residual of a vote is what its expectation given the class leaves.  Products of residuals follow from products of votes, which are summed
+    over blocks of rows for a block of columns at a time.
+    """
+    share = np.stack([1 - posterior, posterior], 1)
+    d = x.voters + extra.shape[1]
+    with_class = np.concatenate([np.stack([x.by_voter(share[:, k]) for k in (0, 1)], 1), extra.T.astype(float) @ share])
+    class_class = share.T @ share
+    own = np.concatenate([np.bincount(x.voter, minlength=x.voters), (extra.astype(float) ** 2).sum(0)])
+    variance = own - 2 * (with_class * mean.T).sum(1) + ((class_class @ mean) * mean).sum(0)
+    scale = np.sqrt(np.maximum(variance, 0) / x.rows) + 1e-9
+    out = np.zeros(d)
+    for at in range(0, d, columns):
+        block = slice(at, min(at + columns, d))
+        both = np.zeros((d, block.stop - at))
+        for first in range(0, x.rows, rows):
+            part = x.dense(extra, first, min(first + rows, x.rows))
+            both += part.T @ part[:, block]
+        left = both - with_class @ mean[:, block] - mean.T @ with_class[block].T + mean.T @ (class_class @ mean[:, block])
+        correlation = np.abs(left / x.rows / scale[:, None] / scale[None, block])
+        correlation[correlation < 0.1] = 0
+        out[block] = 1 / np.maximum(correlation.sum(0), 1)
+    return out
+
+
+def label_model(x: Present, extra: np.ndarray, start: np.ndarray, rounds: int) -> np.ndarray:
     """Posterior of toxicity for each row from votes alone; ``start`` gives first posteriors.
 
-    Expectation maximisation of class-conditional vote frequencies.  After the first rounds each voter's evidence is
+    Expectation maximisation of class-conditional vote frequencies.  A lexicon voter says 1 or abstains, so that its evidence is that of absence
+    for all rows and a difference for the rows it stands in; ``extra`` are columns of -1, 0 and 1.  After the first rounds each voter's evidence is
     divided by 1 + the sum of its absolute residual correlations with the others, given the class.
     """
-    values = (-1, 0, 1)
-    posterior, share = start.astype(float), np.ones(votes.shape[1])
+    posterior, share = start.astype(float), np.ones(x.voters + extra.shape[1])
+    stands = np.bincount(x.voter, minlength=x.voters)
     for step in range(rounds):
         total = np.array([(1 - posterior).sum(), posterior.sum()])
         prior = np.clip((total[1] + 1) / (total.sum() + 2), 1e-3, 1 - 1e-3)
-        evidence = np.zeros(len(votes))
-        mean = np.zeros((2, votes.shape[1]))
-        for v in values:
-            is_v = (votes == v).astype(float)
-            p1, p0 = (posterior @ is_v + 0.5) / (total[1] + 1.5), ((1 - posterior) @ is_v + 0.5) / (total[0] + 1.5)
-            evidence += is_v @ (share * np.log(p1 / p0))
-            mean += v * np.stack([p0, p1])
+        rate = lambda seen, k: (seen + 0.5) / (total[k] + 1.5)
+        in_toxic = x.by_voter(posterior)
+        in_clean = stands - in_toxic
+        lexicon = share[: x.voters]
+        absent = lexicon * np.log(rate(total[1] - in_toxic, 1) / rate(total[0] - in_clean, 0))
+        evidence = absent.sum() + x.by_row(lexicon * np.log(rate(in_toxic, 1) / rate(in_clean, 0)) - absent)
+        of_extra = np.zeros((2, extra.shape[1]))
+        for v in (-1, 0, 1):
+            is_v = (extra == v).astype(float)
+            p1, p0 = rate(posterior @ is_v, 1), rate((1 - posterior) @ is_v, 0)
+            evidence += is_v @ (share[x.voters :] * np.log(p1 / p0))
+            of_extra += v * np.stack([p0, p1])
         if step == min(3, rounds - 1):
-            left = votes - (mean[1] * posterior[:, None] + mean[0] * (1 - posterior)[:, None])
-            scale = np.sqrt((left**2).mean(0)) + 1e-9
-            correlation = np.abs(left.T @ left / len(votes) / scale[:, None] / scale[None, :])
-            correlation[correlation < 0.1] = 0
-            share = 1 / np.maximum(correlation.sum(0), 1)
+            # no row has the vote -1 of a lexicon voter, whose smoothed frequency counts in the mean all the same
+            of_lexicon = np.stack([rate(in_clean, 0) - rate(0, 0), rate(in_toxic, 1) - rate(0, 1)])
+            share = evidence_shares(x, extra, posterior, np.concatenate([of_lexicon, of_extra], 1))
         new = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
         if np.abs(new - posterior).max() < 1e-6 and step > 4:
             return new
@@ -197,26 +265,31 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int) -> np.ndarray
     return posterior
 
 
-def fit_linear(x: np.ndarray, target: np.ndarray, penalty: float = 1e-5, steps: int = 500) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets by accelerated gradient steps."""
-    n, d = x.shape
+def fit_linear(x: Present, extra: np.ndarray, target: np.ndarray, penalty: float = 1e-5, steps: int = 500) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft targets by accelerated gradient steps; ``extra`` are columns of 0 and 1 behind those of the voters."""
+    n, d = x.rows, x.voters + extra.shape[1]
+    extra = extra.astype(float)
+    times = lambda z: x.by_row(z[: x.voters]) + extra @ z[x.voters :]
+    back = lambda e: np.concatenate([x.by_voter(e), extra.T @ e])
+    v, norm = np.ones(d), 0.0
+    for _ in range(100):
+        v = back(times(v))
+        norm = float(np.linalg.norm(v))
+        if not norm:
+            break
+        v /= norm
     w, b = np.zeros(d), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
     z, c, momentum = w.copy(), b, 1.0
-    rate = 1 / (0.25 * (np.linalg.norm(x, 2) ** 2 / n + 1) + penalty)
+    rate = 1 / (0.25 * (1.02 * norm / n + 1) + penalty)
     for _ in range(steps):
-        error = 1 / (1 + np.exp(-np.clip(x @ z + c, -30, 30))) - target
-        nw, nb = z - rate * (x.T @ error / n + penalty * z), c - rate * error.mean()
+        error = 1 / (1 + np.exp(-np.clip(times(z) + c, -30, 30))) - target
+        nw, nb = z - rate * (back(error) / n + penalty * z), c - rate * error.mean()
         nm = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         z, c = nw + (momentum - 1) / nm * (nw - w), nb + (momentum - 1) / nm * (nb - b)
         w, b, momentum = nw, nb, nm
     return w, b
 
 
-def _design(present: np.ndarray, agree: tuple[int, ...]) -> np.ndarray:
-    count = present.sum(1)
-    return np.concatenate([present, np.stack([count >= n for n in agree], 1)], 1).astype(float)
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, cfg: ToxicityConfig = ToxicityConfig()) -> ToxicityModel:
     """Fits on at most ``cfg.sample`` labelled rows for which the column ``learn`` over ``labels`` holds."""
     ws = Workspace(docs.sparkSession, "toxicity")
@@ -238,10 +311,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn, cfg: ToxicityConfig
     ws.drop(features)
     if not len(keys):
         return ToxicityModel(float(min(prior, 0.49)))
-    present = np.stack([np.isin(keys, s, assume_unique=True) for s in sets])
-    votes = votes_of(present, cfg.agree)
-    posterior = label_model(votes, np.where(present.any(1), 0.9, 0.05), cfg.rounds)
-    w, b = fit_linear(_design(present, cfg.agree), posterior)
+    present = Present.of(sets, keys)
+    count = present.count
+    posterior = label_model(present, agreement_votes(count, cfg.agree), np.where(count > 0, 0.9, 0.05), cfg.rounds)
+    w, b = fit_linear(present, np.stack([count >= n for n in cfg.agree], 1), posterior)
     return ToxicityModel(float(prior), keys, w[: len(keys)], w[len(keys) :], b)
 
 
