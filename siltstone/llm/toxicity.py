@@ -34,7 +34,7 @@ class ToxicityConfig:
     A voter needs ``min_documents`` toxic documents (fewer if there are very few) and that share of toxic ones.  A voter is chosen for as many
     documents that count still, and a document counts ``cover`` times, so there are at most ``cover * sample / min_documents`` voters: 26,666
     (72 voters of 788 candidates on 20,000 rows of generated documents).  Votes are kept as pairs, correlations are summed in blocks of 256 columns
-    and 1024 rows: 6 KB for each voter and 16 bytes for each pair.
+    and 1024 rows: about 10 KB for each voter and 16 bytes for each pair (44 MB for 6,000 voters; at 26,000, 268 MB and some 3 minutes).
     """
 
     sample: int = 20_000
@@ -223,10 +223,13 @@ def evidence_shares(x: Present, extra: np.ndarray, posterior: np.ndarray, mean:
         for first in range(0, x.rows, rows):
             part = x.dense(extra, first, min(first + rows, x.rows))
             both += part.T @ part[:, block]
-        left = both - with_class @ mean[:, block] - mean.T @ with_class[block].T + mean.T @ (class_class @ mean[:, block])
-        correlation = np.abs(left / x.rows / scale[:, None] / scale[None, block])
-        correlation[correlation < 0.1] = 0
-        out[block] = 1 / np.maximum(correlation.sum(0), 1)
+            del part
+        both -= with_class @ mean[:, block]
+        both += mean.T @ (class_class @ mean[:, block] - with_class[block].T)
+        both /= x.rows * scale[:, None] * scale[None, block]
+        np.abs(both, out=both)
+        both[both < 0.1] = 0
+        out[block] = 1 / np.maximum(both.sum(0), 1)
     return out
 
 

@@ -678,3 +678,59 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     secret = dict(docs)[403].replace("password: hunter2hunter2", "[SECRET]")
     (row,) = [r for r in out if r.doc_id == 403]
     assert row.ids_crc32 == zlib.crc32(np.array([*model.encode(secret, add_special_tokens=False).ids, 0], "<u4").tobytes())
+
+
+def test_label_model_against_whole_matrices():
+    rng = np.random.default_rng(4)
+    seen = rng.random((700, 30)) < 0.03 + 0.15 * (rng.random((700, 1)) < 0.2)
+    seen[:, 7] = seen[:, 8]
+    keys, agree = np.arange(100, 130, dtype=np.uint64), (1, 2, 3)
+    x = toxicity.Present.of([np.r_[np.uint64(5), keys[r]] for r in seen], keys)
+    extra = toxicity.agreement_votes(x.count, agree)
+    assert (x.count == seen.sum(1)).all() and (x.dense(extra, 100, 300) == np.c_[seen, extra][100:300]).all()
+    posterior, votes = rng.random(700), np.c_[seen, extra].astype(float)
+    mean = rng.normal(size=(2, 33)) * 0.1
+    left = votes - (mean[1] * posterior[:, None] + mean[0] * (1 - posterior)[:, None])
+    scale = np.sqrt((left**2).mean(0)) + 1e-9
+    correlation = np.abs(left.T @ left / 700 / scale[:, None] / scale)
+    want = 1 / np.maximum(np.where(correlation < 0.1, 0, correlation).sum(0), 1)
+    for columns, rows in ((256, 1024), (7, 64)):
+        assert np.allclose(toxicity.evidence_shares(x, extra, posterior, mean, columns, rows), want, atol=1e-6)
+    # without rounds that weigh voters down, plain expectation maximisation
+    plain = rng.random(700)
+    got = toxicity.label_model(x, extra, plain, 1)
+    total = np.array([700 - plain.sum(), plain.sum()])
+    log_odds = np.log((total[1] + 1) / (total[0] + 1)) * np.ones(700)
+    for j in range(33):
+        for i in range(700):
+            same = votes[:, j] == votes[i, j]
+            log_odds[i] += np.log((plain[same].sum() + 0.5) / (total[1] + 1.5)) - np.log(((1 - plain)[same].sum() + 0.5) / (total[0] + 1.5))
+    assert np.allclose(got, 1 / (1 + np.exp(-np.clip(log_odds, -30, 30))), atol=1e-3)
+
+
+def test_linear_weights_meet_the_slope():
+    rng = np.random.default_rng(5)
+    seen = rng.random((400, 6)) < 0.3
+    x = toxicity.Present.of([np.flatnonzero(r).astype(np.uint64) for r in seen], np.arange(6, dtype=np.uint64))
+    extra = rng.random((400, 2)) < 0.5
+    target = 1 / (1 + np.exp(-(seen @ rng.normal(size=6) + extra @ [1.0, -1.0] - 0.5)))
+    w, b = toxicity.fit_linear(x, extra, target, penalty=1e-3, steps=3000)
+    whole = np.c_[seen, extra].astype(float)
+    error = 1 / (1 + np.exp(-(whole @ w + b))) - target
+    assert np.abs(whole.T @ error / 400 + 1e-3 * w).max() < 1e-6 and abs(error.mean()) < 1e-6
+
+
+def test_many_voters_stay_within_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    keys = np.arange(6_000, dtype=np.uint64)
+    sets = [np.unique(rng.integers(0, 6_000, 4)).astype(np.uint64) if i % 2 else np.zeros(0, np.uint64) for i in range(2_000)]
+    tracemalloc.start()
+    x = toxicity.Present.of(sets, keys)
+    extra = toxicity.agreement_votes(x.count, (1, 2, 3))
+    posterior = toxicity.label_model(x, extra, np.where(x.count > 0, 0.9, 0.05), 5)
+    toxicity.fit_linear(x, extra > 0, posterior, steps=20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6_003 * 14_000  # whole correlations are 288 MB
