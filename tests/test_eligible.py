@@ -1,8 +1,12 @@
-"""Counts of eligible candidates against all pairs."""
+"""Counts of eligible candidates against all pairs, and exact search whose tasks hold few products at a time."""
 
 import random
+import tracemalloc
 
-from siltstone.operators.retrieval import eligible_counts
+import numpy as np
+
+from siltstone.operators.retrieval import eligible_counts, met_criteria
+from siltstone.operators.vectors import best_of
 
 
 def test_counts_of_eligible(spark):
@@ -28,3 +32,23 @@ def test_counts_make_no_pairs(spark):
     assert len(got) == 2000 and got[0] == (39_998, 1) and got[20_000] == (39_999, 0)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_best_of_rows_holds_little():
+    x = np.random.default_rng(1).integers(-3, 4, (64, 5000)) / 4
+    x[3, 7] = np.nan
+    i, j, s = best_of(x, 20)
+    for row in range(64):
+        want = sorted(range(5000), key=lambda c: (-(np.inf if np.isnan(x[row, c]) else x[row, c]), c))[:20]
+        assert list(j[i == row]) == want
+    assert len(best_of(x[:, :5], 20)[0]) == 64 * 5
+    tracemalloc.start()
+    best_of(np.random.default_rng(2).random((64, 8192)), 20)
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
+
+
+def test_hits_of_questions_without_passages(spark):
+    c = spark.createDataFrame([(1, "a"), (1, None), (2, "b"), (3, "")], "question long, criterion string")
+    p = spark.createDataFrame([(1, "a cat"), (3, "x")], "question long, passage string")
+    assert sorted(map(tuple, met_criteria(c, p).collect())) == [(1, 1, 2), (2, None, 1), (3, 1, 1)]
