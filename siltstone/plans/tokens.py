@@ -26,7 +26,8 @@ def _x(e):
 
 
 def _seen():
-    return F.transform("embedding", lambda v: (F.floor(F.abs(v) * 100).cast("int") % 6))
+    # the product is one of 32 bits, as in the SQL: 0.29 is token 29 % 6, not 28 % 6
+    return F.transform("embedding", lambda v: (F.floor(F.abs(v) * F.lit(100).cast("float")).cast("int") % 6))
 
 
 def _kept(e, step):
