@@ -1,10 +1,14 @@
-"""Products at 32 bits."""
+"""Products at 32 bits, clean-up without offsets, and the memory of both."""
+
+import tracemalloc
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from siltstone.catalog import ORACLE_SQL, QUERIES
+from siltstone.functions import text as T
 
 
 def test_tokens_seen_by_products_of_32_bits(spark, tmp_path):
@@ -16,3 +20,20 @@ def test_tokens_seen_by_products_of_32_bits(spark, tmp_path):
         want = con.execute(ORACLE_SQL[name]).fetchall()
         got = QUERIES[name](spark, str(tmp_path)).select("vec_id", "total", "weighted").collect()
         assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_counts_of_clean_up_without_offsets(spark):
+    texts = ["﻿a \t b\r\n\r\n\r\nc­\nd", "Page 12\nx  y\n", "", None, "plain"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    for mode in ("conservative", "scanned_book"):
+        full = df.select("id", T.clean_report(F.col("t"), mode).alias("c")).select("id", "c.counts", "c.snippets")
+        assert sorted(df.select("id", T.clean_counts(F.col("t"), mode).alias("c")).select("id", "c.counts", "c.snippets").collect()) == sorted(full.collect())
+
+
+def test_clean_up_holds_few_texts():
+    column = pa.array(["some words  of a text " * 500] * 2000)
+    kind = pa.struct([("counts", pa.map_(pa.string(), pa.int32()))])
+    tracemalloc.start()
+    T.in_slices(column, lambda t: {"counts": [("chars", len(t))]}, kind)
+    assert tracemalloc.get_traced_memory()[1] < 5e6  # all texts are 22 MB
+    tracemalloc.stop()
