@@ -8,6 +8,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from siltstone.catalog import ORACLE_SQL, QUERIES
+from siltstone.functions import sentences as S
 from siltstone.functions import text as T
 
 
@@ -37,3 +38,8 @@ def test_clean_up_holds_few_texts():
     T.in_slices(column, lambda t: {"counts": [("chars", len(t))]}, kind)
     assert tracemalloc.get_traced_memory()[1] < 5e6  # all texts are 22 MB
     tracemalloc.stop()
+
+
+def test_sentences_are_sized_once(spark):
+    plan = spark.createDataFrame([("a. b.",)], "t string").select(S.assessed(F.col("t"), True).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count") <= 3  # one for sizes and two in flags; there were nine
