@@ -8,7 +8,9 @@ many sentences share a word.  Texts whose ranks stand still leave the rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -60,6 +62,49 @@ def sentence_ranks(ws: Workspace, words: DataFrame, damping: float = 0.85, toler
     return every.join(ranks, one, "left").select(*one, F.coalesce("rank", F.lit(1 - damping)).alias("rank"))
 
 
+def ranks_within(sentence: np.ndarray, word: np.ndarray, count: int, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100, at_once: int = 5) -> np.ndarray:
+    """The ranks of ``count`` sentences of one text by the rule of ``sentence_ranks``; ``sentence`` and ``word`` are the distinct pairs of them, as numbers."""
+    out = np.full(count, 1 - damping)
+    n = np.bincount(sentence, minlength=count)
+    _, word, held = np.unique(word, return_inverse=True, return_counts=True)
+    sentence, word = sentence[held[word] > 1], word[held[word] > 1]
+    if not len(word):
+        return out
+    over = 1 / np.sqrt(np.maximum(n, 1))
+    of_words = lambda by: np.bincount(word, by[sentence])
+    of_sentences = lambda by: np.bincount(sentence, by[word], minlength=count)
+    own = np.bincount(sentence, minlength=count) / np.maximum(n, 1)
+    degree = of_sentences(of_words(over)) * over - own
+    linked = degree > 1e-12
+    send = np.where(linked, 1 / np.where(linked, degree, 1), 0.0)
+    rank, moved = np.where(linked, 1.0, 0.0), np.inf
+    for _ in range(-(-rounds // at_once)):
+        before = rank
+        for _ in range(at_once):
+            sent = rank * send
+            rank = np.where(linked, 1 - damping + damping * (of_sentences(of_words(sent * over)) * over - own * sent), 0.0)
+        moved = np.abs(rank - before).max()
+        if moved <= tolerance:
+            break
+    out[linked] = rank[linked]
+    return out
+
+
+def ranks_of(words: Column) -> Column:
+    """The ranks of a text's sentences, given as an array of their arrays of distinct words."""
+
+    @F.arrow_udf("array<double>")
+    def ranked(column: pa.Array) -> pa.Array:
+        out = []
+        for at in range(len(column)):  # a text at a time
+            sets = column[at].values
+            flat = sets.flatten().dictionary_encode().indices.to_numpy() if sets is not None else None
+            out.append(None if sets is None else ranks_within(np.repeat(np.arange(len(sets)), sets.value_lengths().to_numpy()), flat, len(sets)))
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return ranked(words)
+
+
 def summaries(docs: DataFrame, least: int = 5, share: float = 0.2, ws: Workspace | None = None) -> DataFrame:
     """(doc, n, sentences) for ``docs(doc, text)``: the best ``share`` of a text's sentences, in order of standing; ties go to the earlier one.
 
@@ -67,12 +112,10 @@ def summaries(docs: DataFrame, least: int = 5, share: float = 0.2, ws: Workspace
     """
     ws = ws or Workspace(docs.sparkSession, "summaries")
     cut = ws.save(docs.select("doc", "text", S.sentences(F.col("text")).alias("all")), "cut")
-    long = cut.where(F.size("all") >= least)
-    listed = long.select("doc", F.posexplode("all").alias("s", "a")).select("doc", "s", F.explode_outer(word_set(F.col("a.text"))).alias("word"))
-    ranks = sentence_ranks(ws, listed)
-    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc(F.round("rank", 5)), "s"))
-    chosen = ranks.withColumn("place", place).join(long.select("doc", F.size("all").alias("n")), "doc").where(F.col("place") <= F.ceil(F.col("n") * share))
-    kept = chosen.groupBy("doc").agg(F.array_sort(F.collect_list("s")).alias("kept"))
-    best = long.join(kept, "doc").select("doc", F.size("all").alias("n"), F.transform("kept", lambda s: F.get("all", s).text).alias("sentences"))
+    ranks = cut.where(F.size("all") >= least).select("doc", "all", ranks_of(F.transform("all", lambda a: word_set(a.text))).alias("ranks"))
+    # greater ranks first, then earlier sentences
+    order = F.array_sort(F.transform("ranks", lambda r, s: F.struct((-F.round(r, 5)).alias("rank"), s.alias("s"))))
+    kept = F.array_sort(F.transform(F.slice(order, F.lit(1), F.ceil(F.size("all") * share).cast("int")), lambda x: x.s))
+    best = ranks.select("doc", "all", kept.alias("kept")).select("doc", F.size("all").alias("n"), F.transform("kept", lambda s: F.get("all", s).text).alias("sentences"))
     short = cut.where((F.size("all") < least) & F.col("text").isNotNull()).select("doc", F.size("all").alias("n"), F.array("text").alias("sentences"))
     return best.unionByName(short)

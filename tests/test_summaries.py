@@ -54,3 +54,14 @@ def test_summaries(spark):
             best = sorted(sorted(range(len(spans)), key=lambda s: (-r[s], s))[: math.ceil(0.2 * len(spans))])
             assert got[i] == (len(spans), [t[spans[s][0] : spans[s][1]] for s in best]), i
     assert M.summaries(spark.createDataFrame([], "doc long, text string")).count() == 0
+
+
+def test_ranks_within_a_row(spark):
+    plan = M.summaries(spark.createDataFrame(texts(), "doc long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    for _, t in texts():
+        sets = sets_of(t)
+        names = sorted(set().union(*sets))
+        pairs = [(s, names.index(w)) for s, words in enumerate(sets) for w in sorted(words)]
+        got = M.ranks_within(*(np.array([p[k] for p in pairs], int) for k in (0, 1)), len(sets))
+        assert len(got) == len(sets) and np.abs(got - dense(sets)).max(initial=0) < 1e-5
