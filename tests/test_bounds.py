@@ -5,6 +5,7 @@ import tracemalloc
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.catalog import ORACLE_SQL, QUERIES
@@ -43,3 +44,11 @@ def test_clean_up_holds_few_texts():
 def test_sentences_are_sized_once(spark):
     plan = spark.createDataFrame([("a. b.",)], "t string").select(S.assessed(F.col("t"), True).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_count") <= 3  # one for sizes and two in flags; there were nine
+
+
+def test_no_offsets_without_passes(spark):
+    df = spark.createDataFrame([("a  b",), (None,)], "t string").select(T.clean_report(F.col("t"), "none").alias("c"))
+    assert [r.c and (r.c.text, r.c.offsets, r.c.counts, r.c.changes, r.c.snippets) for r in df.collect()] == [("a  b", None, {}, 0, []), None]
+    assert df.where("c is not null").select(T.source_span(F.col("c"), F.lit(1), F.lit(4)).alias("s")).first().s == (1, 4)
+    with pytest.raises(Exception, match="no such span"):
+        df.where("c is not null").select(T.source_span(F.col("c"), F.lit(1), F.lit(5))).collect()
