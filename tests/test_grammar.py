@@ -118,3 +118,28 @@ def test_query_against_partial_matches(spark):
     assert set(ours) == set(want)
     assert all(max(n) <= want[k] <= sum(n) for k, n in ours.items())
     assert {r.ends for r in got} == {True, False}
+
+
+def test_states_by_number(spark):
+    plain = Grammar({"root": ((Rule("word"), Rule("more")),), "more": ((), (chars("!!", "é😀"), Rule("word"), Rule("more"))), "word": ((chars("az"), Rule("tail")), ("\0$",)), "tail": ((), (chars("az", "09"), Rule("tail")))})
+    assert NESTED.automaton is None and 1 < len(plain.automaton[0]) <= 57
+    texts = [a + b + c for a in ["", "a", "\0", "é", "😀", "$", "\0$", "!"] for b in ["", "b9", "9", "!\0$", "é\\", "\n"] for c in ["", "z", "😀a", "\U0010ffff"]]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    text = F.col("text")
+    assert df.where(~F.array_sort(plain.met(text)).eqNullSafe(F.array_sort(plain._met_by_stacks(text)))).count() == 0
+    assert df.where(F.array_contains(plain.met(text), plain.after(text)) != (F.size(plain.after(text)) > 0)).count() == 0
+    assert df.where("text is null").select(plain.met(text)).first()[0] is None
+    # a text costs neither a walk over stacks nor a search of borders by character
+    shown = df.select(plain.met(text))._jdf.queryExecution().analyzed().toString()
+    assert "forall" not in shown and "translate" in shown
+    # each range has the class of its borders
+    borders, kinds = plain.classes
+    odd = [b + d for b in borders for d in (-1, 0, 1) if 0 <= b + d]
+    marks = spark.createDataFrame([(i, chr(i)) for i in odd], "i int, c string").select("i", plain.code(F.col("c"))).collect()
+    assert all(m == chr(33 + kinds[sum(b <= i for b in borders) - 1]) for i, m in marks)
+
+
+def test_rule_nested_deeply_goes_by_stacks(spark):
+    df = spark.createDataFrame([("[[5],5]",), ("[" * 9,), ("]",), (None,)], "text string")
+    got = [r[0] for r in df.select(F.size(NESTED.met(F.col("text")))).collect()]
+    assert got[1] == 10 and got[2] == 1
