@@ -44,8 +44,9 @@ FUNCTION_WORDS = (
     "Le|La|Les|Un|Une|Du|De|Et|Ou|Mais|Si|Quand|Comme|Que|Qui|Quoi|Pourquoi|Il|Elle|Nous|Vous|Ils|Elles|Je|Est|Sont|Sur|Sous|Dans|Avec|Sans|Par|Pour|Ce|Cet|Cette|Ces|Au|Aux|"
     "El|Los|Las|Unos|Unas|Una|Uno|Del|Al|Pero|Cuando|Como|Qué|Quién|Por|Para|Con|Sin|Sobre|Entre|Hasta|Desde|Él|Ella|Nosotros|Ellos|Ellas|Yo|Es|Son|Era|Este|Esta|Estos|Estas|Se|Su|Sus|Más|Muy|También|Donde|Dónde"
 )
-_NAME = rf"(?=\p{{Lu}})(?:.(?<=[\p{{Ll}},;:] .)\p{{L}}+|(?<!\p{{L}})(?!(?:{FUNCTION_WORDS})(?!\p{{L}})).\p{{L}}+)(?: \p{{Lu}}\p{{L}}+)*"
-_NUMBER = r"\d+(?:[.,:/]\d+)*"
+#: The groups that repeat are possessive, which changes no match: Java calls itself for each word of a greedy one, and a long run of them ends the executor.
+_NAME = rf"(?=\p{{Lu}})(?:.(?<=[\p{{Ll}},;:] .)\p{{L}}+|(?<!\p{{L}})(?!(?:{FUNCTION_WORDS})(?!\p{{L}})).\p{{L}}+)(?: \p{{Lu}}\p{{L}}+)*+"
+_NUMBER = r"\d+(?:[.,:/]\d+)*+"
 _UNIT = rf"(?<={NUMBER}) ?(?:{UNITS})(?!\p{{L}})"
 _SEPARATORS = r"[^\p{L}\p{M}\p{Nd}⟦⟧]+"
 

@@ -383,6 +383,14 @@ def test_sentences_of_one_build_are_no_leaks(spark):
     assert got == {(5, 20), (6, 22), (7, 23), (8, 24), (10, 21)}
 
 
+def test_leaks_behind_long_runs(spark):
+    item = "Anna Bell has 3 apples and gives 2 of them to Carl who lives near the old river"
+    runs = [" ".join([word] * 20_000) for word in ("Word", "SHOUT")] + [sep.join(["7"] * 20_000) for sep in ".:"]
+    docs = [(i, f"see the {run}. {item}.") for i, run in enumerate(runs)] + [(9, runs[0])]
+    got = {(r.doc_id, r.hits) for r in decontaminate.find_leaks(spark, frame(spark, docs), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert {i for i, _ in got} == {0, 1, 2, 3} and len({n for _, n in got}) == 1
+
+
 def test_leaks_without_benchmark(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_leaks(spark, frame(spark, [(1, "a b c d e f g h i j")]), none).count() == 0
