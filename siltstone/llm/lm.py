@@ -5,14 +5,15 @@ Unigrams and bigrams of all training texts are counted exactly by hash.  The fil
 (but for false positives).  All probes of one n-gram fall into one 64 KB block, so blocks are built on executors and only
 joined on the driver; the filter's size is proportional to its entries, at ``bits`` an entry.  It is broadcast while it has at
 most ``filter_bytes``; beyond that its blocks stay in the shared folder, the distinct keys of each run of texts are shuffled to
-slices of blocks, and the levels go back to the run: the same levels and scores as by broadcast.
+slices of blocks, and the levels go back to the run: the same levels and scores as by broadcast.  A run's texts are stored once,
+compressed; keys travel as differences, and levels without them, in the order of keys that the run's texts give again.
 
 A level stands for the mean count of all n-grams of that level, taken over the whole corpus.  Probability of a word after
 another: a * c(vw) / c(v) + (1 - a) * (c(w) + 1) / (N + V + 1), where a word without a level counts 0.  Here a is the share of
 training pairs that would have been seen without the pair itself, the sum of c - 1 over N, times (c(v) - 1) / (c(v) - 1 + prior).
 
-The base score needs exact counts: they are broadcast while there are at most ``broadcast_tokens`` of them; beyond that, each
-document's distinct tokens are joined with the counts by shuffle.
+The base score needs exact counts: they are broadcast with the filter while there are at most ``broadcast_tokens`` of them; beyond
+that, nothing is broadcast, and a slice that is asked for levels has the counts of its tokens too.
 
 A null or empty text is its end token alone.  Without training texts all counts are 0.  Rows with a null doc_id are scored as held out.
 """
@@ -52,7 +53,7 @@ _BIT, _THREE, _SEVEN = np.uint64(_BLOCK_BITS - 1), np.uint64(3), np.uint64(7)
 #: Blocks of the filter that are built and probed together.
 _SLICE = 32
 #: Bytes of text whose distinct keys are probed together where the filter isn't broadcast.
-_RUN_BYTES = 4 << 20
+_RUN_BYTES = 16 << 20
 #: Keys packed in one row at most: Spark puts up to 10,000 rows in a batch.
 _PACKED = 1024
 #: Levels go up to 1 + floor(log2(2**63 - 1)): no count has a higher one, so probing ends there.
@@ -158,15 +159,15 @@ def slices_of(block: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield int(part[i]), order[k : min(k + _PACKED, j)]
 
 
-def entry_batches(blocks: int):
-    """A mapInArrow function: (kind, h, n) to (slice, keys, logs), packed in runs of 1 M rows; logs are floor(log2(n)) in a byte."""
+def entry_batches(blocks: int, exact: bool = False):
+    """A mapInArrow function: (kind, h, n) to (slice, keys, numbers), packed in runs of 1 M rows; numbers are floor(log2(n)) in a byte, or n if ``exact``."""
 
     def packed(kept: list[pa.RecordBatch]) -> pa.RecordBatch:
         kind, h, n = (np.concatenate([b.column(i).to_numpy() for b in kept]) for i in range(3))
         key = key_of(kind, h.view(np.uint64))
-        log = np.floor(np.log2(n)).astype(np.uint8)
-        rows = [(part, key[at].tobytes(), log[at].tobytes()) for part, at in slices_of(block_of(key, blocks))]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["slice", "keys", "logs"])
+        number = n.astype(np.int64) if exact else np.floor(np.log2(n)).astype(np.uint8)
+        rows = [(part, key[at].tobytes(), number[at].tobytes()) for part, at in slices_of(block_of(key, blocks))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["slice", "keys", "numbers"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, size = [], 0
@@ -188,20 +189,20 @@ def filter_batches(blocks: int, probes: int):
 
     def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> pa.RecordBatch:
-            key, n = np.frombuffer(b"".join(keys), np.uint64), np.int64(1) << np.frombuffer(b"".join(logs), np.uint8).astype(np.int64)
+            key, n = np.frombuffer(b"".join(keys), np.uint64), np.int64(1) << np.frombuffer(b"".join(numbers), np.uint8).astype(np.int64)
             block = block_of(key, blocks)
             order = np.argsort(block)
             return pa.RecordBatch.from_arrays([pa.array(block[order]), pa.array(key[order].view(np.int64)), pa.array(n[order])], names=["block", "key", "n"])
 
-        now, keys, logs = -1, [], []
+        now, keys, numbers = -1, [], []
         for batch in batches:
             for part, k, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now and keys:
                     yield rows()
-                    keys, logs = [], []
+                    keys, numbers = [], []
                 now = part
                 keys.append(k)
-                logs.append(n)
+                numbers.append(n)
         if keys:
             yield rows()
 
@@ -209,61 +210,112 @@ def filter_batches(blocks: int, probes: int):
 
 
 def run_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A mapInArrow function: (row, text) to (run, row, text)."""
+    """A mapInArrow function: (row, text) to (run, data), the rows of a run as a compressed stream."""
     run = TaskContext.get().partitionId() << 32
     for batch in batches:
         for at, end, _, _ in text_blocks(batch.column(1), _RUN_BYTES):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(end - at, run)), *(c.slice(at, end - at) for c in batch.columns)], names=["run", "row", "text"])
+            sink = pa.BufferOutputStream()
+            part = batch.slice(at, end - at)
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_batch(part)
+            yield pa.RecordBatch.from_arrays([pa.array([run]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["run", "data"])
             run += 1
 
 
+def rows_of(data: bytes) -> pa.RecordBatch:
+    """The rows of a run."""
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
+def keys_of(column: pa.Array) -> np.ndarray:
+    """The distinct keys of all tokens and pairs of a run's texts, in order; so those of a slice follow each other."""
+    return np.unique(np.concatenate([np.unique(np.concatenate([key_of(1, tokens), key_of(2, pair_hashes(tokens))])) for _, _, tokens, _ in tokens_of(column)]))
+
+
+def as_differences(key: np.ndarray) -> bytes:
+    """Ascending keys as differences, all first bytes, then all second ones: the upper ones are zeros, which Spark's codec takes away."""
+    return np.diff(key, prepend=np.zeros(1, np.uint64)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_differences(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def ask_batches(blocks: int):
-    """A mapInArrow function: (run, text) to (slice, run, block, data), the distinct keys of a run by slice; block is -1."""
+    """A mapInArrow function: (run, data) to (slice, run, at, keys), the distinct keys of a run by slice; ``at`` is the place of the first among all of the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = batch.column(0).to_numpy()
-            cut = np.flatnonzero(np.r_[True, runs[1:] != runs[:-1], True]) if len(runs) else np.zeros(1, int)
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                keys = [x for _, _, tokens, _ in tokens_of(batch.column(1).slice(i, j - i)) for x in (key_of(1, tokens), key_of(2, pair_hashes(tokens)))]
-                key = np.unique(np.concatenate(keys))
-                parts, data = zip(*((part, key[at].tobytes()) for part, at in slices_of(block_of(key, blocks))), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(parts, pa.int64()), pa.array(np.full(len(parts), runs[i])), pa.array(np.full(len(parts), -1)), pa.array(data, pa.binary())], names=["slice", "run", "block", "data"]
-                )
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                key = keys_of(rows_of(data.as_buffer()).column(1))
+                parts, at, keys = zip(*((part, int(rows[0]), as_differences(key[rows])) for part, rows in slices_of(block_of(key, blocks))), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array(np.full(len(parts), number)), pa.array(at, pa.int64()), pa.array(keys, pa.binary())], names=["slice", "run", "at", "keys"])
 
     return run
 
 
+#: What stands for a run where a slice gets the counts of its tokens, and its blocks of the filter: before all runs.
+_COUNTS, _BLOCKS = -2, -1
+
+
 def answer_batches(blocks: int, probes: int):
-    """A mapInArrow function over blocks of the filter (run is -1) and keys of runs, in order of slice and run: (run, keys, levels)."""
+    """A mapInArrow function over rows (slice, run, at, keys, numbers) in order of slice and run: (run, at, levels, places, counts).
+
+    Levels are those of the keys asked for, in their order; counts those of the keys at ``places``, the others have none.  ``keys`` of a block are its bits.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, bits = -1, np.zeros(_SLICE * _BLOCK_BYTES, np.uint8)
+        now, bits, kept, counts = -1, np.zeros(_SLICE * _BLOCK_BYTES, np.uint8), [], None
         for batch in batches:
-            for part, asked, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for part, asked, at, data, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != now:
-                    now, bits = part, np.zeros(_SLICE * _BLOCK_BYTES, np.uint8)
-                if asked < 0:
-                    at = block % _SLICE * _BLOCK_BYTES
-                    bits[at : at + _BLOCK_BYTES] = np.frombuffer(data, np.uint8)
+                    now, bits, kept, counts = part, np.zeros(_SLICE * _BLOCK_BYTES, np.uint8), [], None
+                if asked == _COUNTS:
+                    kept.append((data, numbers))
+                    continue
+                if asked == _BLOCKS:
+                    place = at % _SLICE * _BLOCK_BYTES
+                    bits[place : place + _BLOCK_BYTES] = np.frombuffer(data, np.uint8)
                     continue
-                level = LogBloom(bits, blocks, probes, part * _SLICE).levels(np.frombuffer(data, np.uint64)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([asked], pa.int64()), pa.array([data], pa.binary()), pa.array([level.tobytes()], pa.binary())], names=["run", "keys", "levels"])
+                if kept:
+                    key, n = np.frombuffer(b"".join(k for k, _ in kept), np.uint64), np.frombuffer(b"".join(n for _, n in kept), np.int64)
+                    order = np.argsort(key)
+                    counts, kept = (key[order], n[order]), []
+                key = from_differences(data)
+                level = LogBloom(bits, blocks, probes, part * _SLICE).levels(key).astype(np.uint8)
+                c = looked_up(*counts, key) if counts else np.zeros(len(key), np.int64)
+                met = np.flatnonzero(c)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([asked], pa.int64()), pa.array([at], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (level, met.astype(np.uint16), c[met]))], names=["run", "at", "levels", "places", "counts"]
+                )
 
     return run
 
 
+def looked_up(keys: np.ndarray, numbers: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The number of each key that is asked for, 0 for those that aren't there; ``keys`` ascend."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64)
+    place = np.searchsorted(keys, asked)
+    place[place == len(keys)] = 0
+    return np.where(keys[place] == asked, numbers[place], 0)
+
+
 class FoundLevels:
-    """Levels that were probed elsewhere, by key."""
+    """Levels and counts of a run's keys that were looked up elsewhere."""
 
-    def __init__(self, keys: list[bytes], levels: list[bytes]) -> None:
-        self.keys, first = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_index=True)
-        self.found = np.frombuffer(b"".join(levels), np.uint8)[first].astype(np.int64)
+    def __init__(self, keys: np.ndarray, answers: list[tuple[int, bytes, bytes, bytes]]) -> None:
+        self.keys, self.found, self.numbers = keys, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for at, levels, places, counts in answers:
+            self.found[at : at + len(levels)] = np.frombuffer(levels, np.uint8)
+            self.numbers[at + np.frombuffer(places, np.uint16).astype(np.int64)] = np.frombuffer(counts, np.int64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         return self.found[np.searchsorted(self.keys, keys)]
 
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        return self.numbers[np.searchsorted(self.keys, key_of(1, words))]
+
 
 class LogBloom:
     """The filter, or its blocks from ``first`` on: levels of keys by probing."""
@@ -291,14 +343,14 @@ class LogBloom:
         return found
 
 
-def score_batches(shared, blocks: int, cfg: BloomConfig, total: int, distinct: int, means: dict[int, np.ndarray], share: float, exact: bool, whole: bool = True):
-    """A mapInArrow function: (row, text) to (row, n_tokens, score, n_known, base_score); the last two only with exact counts.
+def score_batches(shared, blocks: int, cfg: BloomConfig, total: int, distinct: int, means: dict[int, np.ndarray], share: float, whole: bool = True):
+    """A mapInArrow function: (row, text) to (row, n_tokens, score, n_known, base_score).
 
-    Where the filter isn't ``whole``, rows are (run, part, row, text, keys, levels) in order of run and part: a run's levels
+    Where the filter isn't ``whole``, rows are (run, part, at, levels, places, counts, data) in order of run and part: a run's answers
     are part 0, its texts part 1.
     """
 
-    def scored(batch: pa.RecordBatch, levels: LogBloom | FoundLevels, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def scored(batch: pa.RecordBatch, levels: LogBloom | FoundLevels, counts_of) -> Iterator[pa.RecordBatch]:
         norm = float(total + distinct + 1)
         table = np.log10((np.arange(1, 65).astype(float)) / norm)
         for at, end, tokens, cut in tokens_of(batch.column(1)):
@@ -313,58 +365,39 @@ def score_batches(shared, blocks: int, cfg: BloomConfig, total: int, distinct: i
             a = share * np.maximum(history - 1, 0) / (history - 1 + cfg.prior)
             p = (1 - a) * unigram[number] + a * np.minimum(pair, history) / np.maximum(history, 1)
             score = np.add.reduceat(np.log10(p), cut[:-1])
-            columns = [batch.column(0).slice(at, end - at), pa.array(size), pa.array(score)]
-            if exact:
-                place = np.searchsorted(keys, words)
-                place[place == len(keys)] = 0
-                c = np.where(keys[place] == words, counts[place], 0) if len(keys) else np.zeros(len(words), np.int64)
-                base = np.where(c < 64, table[np.minimum(c, 63)], np.log10((c + 1) / norm))
-                columns += [pa.array(np.add.reduceat((c > 0)[number].astype(np.int64), cut[:-1])), pa.array(np.add.reduceat(base[number], cut[:-1]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "score", "n_known", "base_score"][: len(columns)])
+            c = counts_of(words)
+            base = np.where(c < 64, table[np.minimum(c, 63)], np.log10((c + 1) / norm))
+            known = pa.array(np.add.reduceat((c > 0)[number].astype(np.int64), cut[:-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(size), pa.array(score), known, pa.array(np.add.reduceat(base[number], cut[:-1]))], names=["row", "n_tokens", "score", "n_known", "base_score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, keys, counts = (np.frombuffer(x, kind) for x, kind in zip(shared.value, (np.uint8, np.uint64, np.int32 if total < 1 << 31 else np.int64), strict=True))
         if whole:
+            data, keys, counts = (np.frombuffer(x, kind) for x, kind in zip(shared.value, (np.uint8, np.uint64, np.int32 if total < 1 << 31 else np.int64), strict=True))
             bloom = LogBloom(data, blocks, cfg.probes)
             for batch in batches:
-                yield from scored(batch, bloom, keys, counts)
+                yield from scored(batch, bloom, lambda words: looked_up(keys, counts, words))
             return
-        now, found, asked, got = -1, None, [], []
+        now, answers = -1, []
         for batch in batches:
-            runs, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cut = np.flatnonzero(np.r_[True, (runs[1:] != runs[:-1]) | (part[1:] != part[:-1]), True]) if len(runs) else np.zeros(1, int)
-            for i, j in zip(cut[:-1], cut[1:], strict=True):
-                if runs[i] != now:
-                    now, found, asked, got = runs[i], None, [], []
-                if part[i] == 0:
-                    asked += batch.column(4).slice(i, j - i).to_pylist()
-                    got += batch.column(5).slice(i, j - i).to_pylist()
+            for number, part, at, levels, places, found, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if number != now:
+                    now, answers = number, []
+                if part == 0:
+                    answers.append((at, levels, places, found))
                     continue
-                found = found or FoundLevels(asked, got)
-                yield from scored(pa.RecordBatch.from_arrays([batch.column(2).slice(i, j - i), batch.column(3).slice(i, j - i)], names=["row", "text"]), found, keys, counts)
+                rows = rows_of(data)
+                run = FoundLevels(keys_of(rows.column(1)), answers)
+                yield from scored(rows, run, run.counts)
 
     return run
 
 
-def token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A mapInArrow function: (row, text) to (row, h, n), a row's distinct tokens, one batch for each block of texts."""
-    for batch in batches:
-        rows = batch.column(0).to_numpy()
-        for at, end, tokens, cut in tokens_of(batch.column(1)):
-            owner = np.repeat(np.arange(end - at), np.diff(cut))
-            order = np.lexsort((tokens, owner))
-            h, owner = tokens[order], owner[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
-            n = np.diff(np.append(first, len(h)))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[at + owner[first]]), pa.array(h[first].view(np.int64)), pa.array(n)], names=["row", "h", "n"])
-
-
 def score_texts(spark: SparkSession, docs: DataFrame, learn: Column, cfg: BloomConfig = BloomConfig()) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row; learns from rows where ``learn``."""
     ws = Workspace(spark, "lm")
     learn = F.coalesce(learn, F.lit(False))
     counts = docs.where(learn).select("text").mapInArrow(trimmed(count_batches), "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    counts = ws.save(counts, "counts")
+    counts = ws.save(counts, "counts", once=True)
     level = (1 + F.floor(F.log2("n"))).cast("int").alias("level")
     stats = counts.groupBy("kind", level).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     of = lambda kind, f: sum(f(r) for r in stats if r.kind == kind)
@@ -375,52 +408,43 @@ def score_texts(spark: SparkSession, docs: DataFrame, learn: Column, cfg: BloomC
     share = of(2, lambda r: r.n - r.v) / max(total, 1)
     entries = int(sum(r.level * r.v for r in stats))
     blocks = -(-entries * cfg.bits // _BLOCK_BITS)
-    whole = blocks * _BLOCK_BYTES <= cfg.filter_bytes
-    data = np.zeros(blocks * _BLOCK_BYTES if whole else 0, np.uint8)
-    rows = counts.mapInArrow(trimmed(entry_batches(blocks)), "slice long, keys binary, logs binary").repartition("slice").sortWithinPartitions("slice")
-    bloom = rows.mapInArrow(trimmed(filter_batches(blocks, cfg.probes)), "block long, bits binary")
-    if not whole:
-        bloom = ws.save(bloom, "filter")
-    elif blocks:
+    whole = blocks * _BLOCK_BYTES <= cfg.filter_bytes and distinct <= cfg.broadcast_tokens
+    packed = "slice long, keys binary, numbers binary"
+    rows = counts.mapInArrow(trimmed(entry_batches(blocks)), packed).repartition("slice").sortWithinPartitions("slice")
+    bloom = ws.save(rows.mapInArrow(trimmed(filter_batches(blocks, cfg.probes)), "block long, bits binary"), "filter", once=True)
+    texts = docs.select(F.col("doc_id").cast("long").alias("row"), "text")
+    shared = None
+    if whole:
+        data = np.zeros(blocks * _BLOCK_BYTES, np.uint8)
         for batch in bloom.toArrow().to_batches():
             for block, bits in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data[block * _BLOCK_BYTES : (block + 1) * _BLOCK_BYTES] = np.frombuffer(bits.as_buffer(), np.uint8)
-    exact = distinct <= cfg.broadcast_tokens
-    keys, numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32 if total < 1 << 31 else np.int64)
-    if exact and distinct:
         found = counts.where("kind = 1").select("h", F.col("n").cast("int" if total < 1 << 31 else "long").alias("n")).toArrow()
         keys, numbers = found["h"].to_numpy().view(np.uint64), found["n"].to_numpy()
         order = np.argsort(keys)
         keys, numbers = keys[order], numbers[order]
         del found
-    # bytes are read back in place by a worker; arrays would be copied once more
-    shared = spark.sparkContext.broadcast((data.tobytes(), keys.tobytes(), numbers.tobytes()))
-    del data, keys, numbers
-    fields = "row long, n_tokens long, score double" + ", n_known long, base_score double" * exact
-
-    def scored(texts: DataFrame) -> DataFrame:
-        score = score_batches(shared, blocks, cfg, total, distinct, means, share, exact, whole)
-        if whole:
-            return texts.mapInArrow(score, fields)
-        runs = ws.save(texts.mapInArrow(run_batches, "run long, row long, text string"), "runs")
-        asked = runs.select("run", "text").mapInArrow(ask_batches(blocks), "slice long, run long, block long, data binary")
-        stored = bloom.select(F.expr(f"block div {_SLICE}").alias("slice"), F.lit(-1).cast("long").alias("run"), "block", F.col("bits").alias("data"))
-        answers = stored.unionByName(asked).repartition("slice").sortWithinPartitions("slice", "run").mapInArrow(answer_batches(blocks, cfg.probes), "run long, keys binary, levels binary")
-        none = lambda kind: F.lit(None).cast(kind)
-        levels = answers.select("run", F.lit(0).alias("part"), none("long").alias("row"), none("string").alias("text"), "keys", "levels")
-        both = levels.unionByName(runs.select("run", F.lit(1).alias("part"), "row", "text", none("binary").alias("keys"), none("binary").alias("levels")))
-        return both.repartition("run").sortWithinPartitions("run", "part").mapInArrow(score, fields)
-
-    if exact:
-        out = scored(docs.select(F.col("doc_id").cast("long").alias("row"), "text")).withColumnRenamed("row", "doc_id")
+        # bytes are read back in place by a worker; arrays would be copied once more
+        shared = spark.sparkContext.broadcast((data.tobytes(), keys.tobytes(), numbers.tobytes()))
+        del data, keys, numbers
+        ws.drop(counts, bloom)
     else:
-        numbered = ws.save(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
-        per_score = scored(numbered.select("row", "text"))
-        per = numbered.select("row", "text").mapInArrow(token_batches, "row long, h long, n long").join(counts.where("kind = 1").select("h", F.col("n").alias("c")), "h", "left")
-        c = F.coalesce("c", F.lit(0))
-        base = per.groupBy("row").agg(F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * F.log10((c + 1) / F.lit(float(total + distinct + 1)))).alias("base_score"))
-        out = numbered.select("row", "doc_id").join(per_score, "row").join(base, "row").drop("row")
-    return out.select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        tokens = ws.save(counts.where("kind = 1").mapInArrow(trimmed(entry_batches(blocks, exact=True)), packed), "tokens")
+        ws.drop(counts)
+        runs = ws.save(texts.mapInArrow(trimmed(run_batches), "run long, data binary"), "runs")
+        none = F.lit(None).cast("binary")
+        asked = runs.mapInArrow(trimmed(ask_batches(blocks)), "slice long, run long, at long, keys binary").withColumn("numbers", none)
+        stored = bloom.select(F.expr(f"block div {_SLICE}").alias("slice"), F.lit(_BLOCKS).cast("long").alias("run"), F.col("block").alias("at"), F.col("bits").alias("keys"), none.alias("numbers"))
+        counted = tokens.select("slice", F.lit(_COUNTS).cast("long").alias("run"), F.lit(0).cast("long").alias("at"), "keys", "numbers")
+        both = counted.unionByName(stored).unionByName(asked).repartition("slice").sortWithinPartitions("slice", "run")
+        answers = ws.save(both.mapInArrow(trimmed(answer_batches(blocks, cfg.probes)), "run long, at long, levels binary, places binary, counts binary"), "answers", once=True)
+        ws.drop(tokens, bloom)
+        parts = answers.select("run", F.lit(0).alias("part"), "at", "levels", "places", "counts", none.alias("data"))
+        parts = parts.unionByName(runs.select("run", F.lit(1).alias("part"), F.lit(0).cast("long").alias("at"), *(none.alias(n) for n in ("levels", "places", "counts")), "data"))
+        texts = parts.repartition("run").sortWithinPartitions("run", "part")
+    score = score_batches(shared, blocks, cfg, total, distinct, means, share, whole)
+    out = texts.mapInArrow(score if whole else trimmed(score), "row long, n_tokens long, score double, n_known long, base_score double")
+    return out.select(F.col("row").alias("doc_id"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op7_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -439,6 +439,29 @@ def test_bloom_filter_grows_past_its_broadcast(spark, tokens):
         assert math.isclose(parts[i].score, r.score, rel_tol=1e-9) and math.isclose(parts[i].base_score, r.base_score, rel_tol=1e-9)
 
 
+def test_bloom_filter_past_its_broadcast_leaves_little_on_disk(spark):
+    from pathlib import Path
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName(): f.length() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(30_000)}" for _ in range(400))) for i in range(300)]
+    root = Path(lm.Workspace(spark, "x").root.removeprefix("file://")).parent
+    folders, files = set(root.glob("lm-*")), shuffled()
+    lm.score_texts(spark, frame(spark, rows), labelled.fold("doc_id", 7) != 2, lm.BloomConfig(filter_bytes=1 << 16, broadcast_tokens=3)).collect()
+    (made,) = set(root.glob("lm-*")) - folders
+    assert sorted(x.name[4:] for x in made.iterdir()) == ["answers", "runs"]
+    assert sum(n for name, n in shuffled().items() if name not in files) < 1.5 * sum(len(t) for _, t in rows)
+
+
+def test_key_differences_come_back():
+    for key in ([], [0], [7], [0, 1, (1 << 64) - 1], np.unique(np.random.default_rng(3).integers(0, 1 << 63, 900) * 2)):
+        key = np.array(key, np.uint64)
+        assert lm.from_differences(lm.as_differences(key)).tolist() == key.tolist()
+
+
 def test_pair_seen_once_scores_above_unseen(spark):
     learned = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2]
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2]
